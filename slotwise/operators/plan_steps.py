@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import plan_text as pt
@@ -149,21 +149,46 @@ def table_readers(rs: DataFrame) -> DataFrame:
     return step_tables(rs).select("table_name", "job_id").distinct()
 
 
-def predicate_ratio(triples: DataFrame, table_jobs: DataFrame | None = None) -> DataFrame:
+TABLE_LEVEL, COLUMN_LEVEL = 0, 1
+
+
+def usage_levels(triples: DataFrame, table_jobs: DataFrame | None = None) -> DataFrame:
+    """Stack ``(table_name, job_id)`` rows (level 0) on the triples (level 1)."""
+    if table_jobs is None:
+        table_jobs = triples.select("table_name", "job_id")
+    t = table_jobs.select(
+        "table_name", F.lit(None).cast("string").alias("predicate_column"), F.lit(TABLE_LEVEL).alias("level"), "job_id"
+    )
+    c = triples.select("table_name", "predicate_column", F.lit(COLUMN_LEVEL).alias("level"), "job_id")
+    return t.unionByName(c)
+
+
+def predicate_ratio(levels: DataFrame) -> DataFrame:
     """Distinct-job counts per table and per (table, column), and their ratio.
 
-    ``table_jobs`` gives the denominator's (table_name, job_id) pairs; by
-    default the tables of the triples themselves (jobs with a predicate).
-    The per-table side has one row per table and is joined on
+    ``levels`` holds ``(table_name, predicate_column, level, job_id)``: level 0
+    rows are the denominator's table readers, level 1 rows the (table, column)
+    uses.  One distinct and one grouped count serve both levels (a hot table
+    is spread over tasks by ``job_id`` in the distinct, and pre-counted
+    map-side in the count); the two count sets are small and joined on
     ``table_name`` (NULL names drop out, as with the reference's ``using``).
     """
-    if table_jobs is None:
-        table_jobs = triples.select("table_name", "job_id").distinct()
-    table_cnt = table_jobs.groupBy("table_name").agg(F.count("job_id").alias("table_used_cnt"))
-    column_cnt = triples.groupBy("table_name", "predicate_column").agg(
-        F.count("job_id").alias("predicate_used_cnt")
+    counted = (
+        levels.distinct()
+        .groupBy("level", "table_name", "predicate_column")
+        .agg(F.count("job_id").alias("cnt"))
+    )
+    # The counted rows are few (one per table and per table column); the
+    # table count is spread onto its column rows with a window instead of a
+    # self-join, so the counting plan runs once.
+    per_table = Window.partitionBy("table_name")
+    table_used = F.max(F.when(F.col("level") == TABLE_LEVEL, F.col("cnt"))).over(per_table)
+    j = (
+        counted.filter(F.col("table_name").isNotNull())
+        .withColumn("table_used_cnt", table_used)
+        .filter((F.col("level") == COLUMN_LEVEL) & F.col("table_used_cnt").isNotNull())
+        .withColumnRenamed("cnt", "predicate_used_cnt")
     )
-    j = table_cnt.join(column_cnt, "table_name", "inner")
     out = j.select(
         "table_name",
         "predicate_column",
@@ -176,3 +201,208 @@ def predicate_ratio(triples: DataFrame, table_jobs: DataFrame | None = None) ->
         F.asc_nulls_first("table_used_cnt"),
         F.desc_nulls_last("predicate_used_cnt"),
     )
+
+
+# ----------------------------------------------------------------------------
+# In-row form: the five join keys all come from one job row, so the
+# predicate -> column -> table matching can run inside the row over its
+# ``job_stages`` array (no explode of the whole plan, no join, no shuffle).
+# Equal to the join form whenever (project_id, user_email, job_id) is unique
+# per row, as the data model states (P16 checks it).  Stages with the same
+# name are matched together, as the reference's join on ``stage_name`` does.
+
+
+def _read_groups() -> Column:
+    """Per input stage: its name, the stage struct and the READ sub-steps."""
+    stages = F.col("job_stages")
+    inputs = F.filter(stages, lambda s: s["name"].endswith(pt.INPUT_STAGE_SUFFIX))
+    return F.transform(
+        inputs,
+        lambda s: F.struct(
+            s["name"].alias("stage_name"),
+            s.alias("stage"),
+            F.flatten(
+                F.transform(
+                    F.filter(
+                        s["steps"],
+                        lambda st: (st["kind"] == F.lit(pt.READ_KIND)) & st["substeps"].isNotNull(),
+                    ),
+                    lambda st: st["substeps"],
+                )
+            ).alias("subs"),
+        ),
+    )
+
+
+def _subs_named(groups: Column, name: Column) -> Column:
+    same = F.filter(groups, lambda g: (g["stage_name"] == name) & g["subs"].isNotNull())
+    return F.flatten(F.transform(same, lambda g: g["subs"]))
+
+
+def _tables(subs: Column) -> Column:
+    return F.transform(F.filter(subs, lambda x: x.startswith(pt.FROM_PREFIX)), pt.table_name)
+
+
+def _column_pairs(subs: Column, strict: bool, trim: bool) -> Column:
+    lists = F.filter(subs, lambda x: x.startswith(pt.COLUMNS_PREFIX))
+    return F.flatten(
+        F.transform(
+            lists,
+            lambda x: F.transform(
+                pt.column_params(x, trim=trim),
+                lambda p: F.struct(
+                    pt.param_key(p, strict=strict).alias("key"), pt.param_column(p, strict=strict).alias("col")
+                ),
+            ),
+        )
+    )
+
+
+def _predicate_keys(subs: Column) -> Column:
+    return F.flatten(F.transform(F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)), pt.predicate_keys))
+
+
+def _with_named_groups(jobs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Adds ``_g`` (READ groups per input stage) and ``_n`` (sub-steps merged per stage name).
+
+    Each array is built once in its own projection; lambdas then refer to the
+    column instead of re-evaluating the expression.
+    """
+    staged = jobs.select(*keep, _read_groups().alias("_g"))
+    g = F.col("_g")
+    names = F.array_distinct(F.transform(g, lambda x: x["stage_name"]))
+    return staged.select(
+        *keep,
+        "_g",
+        F.transform(names, lambda n: F.struct(n.alias("stage_name"), _subs_named(g, n).alias("subs"))).alias("_n"),
+    )
+
+
+def _parsed_names(jobs: DataFrame, keep: Sequence[str], strict: bool, trim: bool) -> DataFrame:
+    """Adds ``_p``: per stage name, its tables, column pairs and predicate keys."""
+    staged = _with_named_groups(jobs, keep)
+    return staged.select(
+        *keep,
+        "_g",
+        F.transform(
+            F.col("_n"),
+            lambda x: F.struct(
+                x["stage_name"].alias("stage_name"),
+                _tables(x["subs"]).alias("tables"),
+                _column_pairs(x["subs"], strict, trim).alias("cols"),
+                _predicate_keys(x["subs"]).alias("keys"),
+            ),
+        ).alias("_p"),
+    )
+
+
+def _row_pairs(x: Column) -> Column:
+    """(table_name, predicate_column) pairs of one parsed stage name."""
+    matched = F.filter(x["cols"], lambda c: F.array_contains(x["keys"], c["key"]))
+    return F.flatten(
+        F.transform(
+            x["tables"],
+            lambda t: F.transform(matched, lambda c: F.struct(t.alias("table_name"), c["col"].alias("predicate_column"))),
+        )
+    )
+
+
+def usage_levels_in_row(
+    jobs: DataFrame,
+    strict: bool = True,
+    trim: bool = False,
+    denominator: str = "predicates",
+    require_column: bool = False,
+) -> DataFrame:
+    """Level rows for :func:`predicate_ratio`, matched inside each job row.
+
+    ``denominator="predicates"``: a table counts for a job when the job has a
+    matched predicate on it (P11); ``"readers"``: when the job reads it (P12).
+    ``require_column`` drops pairs whose column is NULL (P12's final filter).
+    """
+    parsed = _parsed_names(jobs, ["job_id"], strict, trim)
+    pairs = F.array_distinct(F.flatten(F.transform(F.col("_p"), _row_pairs)))
+    if require_column:
+        pairs = F.filter(pairs, lambda pr: pr["predicate_column"].isNotNull())
+    staged = parsed.select("job_id", "_p", pairs.alias("_pairs"))
+    if denominator == "predicates":
+        tables = F.array_distinct(F.transform(F.col("_pairs"), lambda pr: pr["table_name"]))
+    elif denominator == "readers":
+        tables = F.array_distinct(F.flatten(F.transform(F.col("_p"), lambda x: x["tables"])))
+    else:
+        raise ValueError(f"denominator must be 'predicates' or 'readers', got {denominator!r}")
+    level_rows = F.concat(
+        F.transform(
+            tables,
+            lambda t: F.struct(
+                t.alias("table_name"),
+                F.lit(None).cast("string").alias("predicate_column"),
+                F.lit(TABLE_LEVEL).alias("level"),
+            ),
+        ),
+        F.transform(
+            F.col("_pairs"),
+            lambda pr: F.struct(
+                pr["table_name"].alias("table_name"),
+                pr["predicate_column"].alias("predicate_column"),
+                F.lit(COLUMN_LEVEL).alias("level"),
+            ),
+        ),
+    )
+    exploded = staged.select("job_id", F.explode(level_rows).alias("lv"))
+    return exploded.select("lv.table_name", "lv.predicate_column", "lv.level", "job_id")
+
+
+def table_predicates_in_row(
+    jobs: DataFrame,
+    job_columns: Sequence[str] = PLAN_JOB_COLUMNS,
+    strict: bool = True,
+    trim: bool = False,
+) -> DataFrame:
+    """C15 listing, in-row: one output row per reference join row.
+
+    For every WHERE sub-step of an input stage's READ steps, every ``$k``
+    occurrence in it, every column pair with that key and every FROM table of
+    the stages sharing the stage name.
+    """
+    parsed = _parsed_names(jobs, list(job_columns), strict, trim)
+    p = F.col("_p")
+
+    def rows_for_group(g: Column) -> Column:
+        named = F.get(F.filter(p, lambda x: x["stage_name"] == g["stage_name"]), 0)
+        cols, tables = named["cols"], named["tables"]
+        wheres = F.filter(g["subs"], lambda x: x.startswith(pt.WHERE_PREFIX))
+        st = g["stage"]
+        return F.flatten(
+            F.transform(
+                wheres,
+                lambda w: F.flatten(
+                    F.transform(
+                        pt.predicate_keys(w),
+                        lambda k: F.flatten(
+                            F.transform(
+                                F.filter(cols, lambda c: c["key"] == k),
+                                lambda c: F.transform(
+                                    tables,
+                                    lambda t: F.struct(
+                                        st["shuffle_output_bytes"].alias("shuffle_output_bytes"),
+                                        st["shuffle_output_bytes_spilled"].alias("shuffle_output_bytes_spilled"),
+                                        st["records_read"].alias("records_read"),
+                                        st["records_written"].alias("records_written"),
+                                        st["parallel_inputs"].alias("parallel_inputs"),
+                                        g["stage_name"].alias("stage_name"),
+                                        w.alias("substep"),
+                                        t.alias("table_name"),
+                                        c["col"].alias("predicate_column"),
+                                    ),
+                                ),
+                            )
+                        ),
+                    )
+                ),
+            )
+        )
+
+    rows = F.flatten(F.transform(F.col("_g"), rows_for_group))
+    out = parsed.select(*job_columns, F.explode(rows).alias("r"))
+    return out.select(*job_columns, "r.*").select(*LISTING_COLUMNS)

@@ -76,28 +76,39 @@ def over_limit(
 
 def _profile_array(jobs: DataFrame, keep: Sequence[str], sample_filter: SamplePredicate | None) -> DataFrame:
     staged = jobs.select(*keep, sorted_timeline().alias("_tl"))
-    tl = F.col("_tl")
-    lagged = F.transform(
-        tl,
-        lambda x, i: F.struct(
-            *[x[f].alias(f) for f in SAMPLE_FIELDS],
-            *[F.get(tl, i - 1)[f].alias(f"prev_{f}") for f in LAG_FIELDS],
-        ),
-    )
-    if sample_filter is not None:
+    if sample_filter is None:
+        # posexplode + indexed get: plain codegen'd expressions, no lambda.
+        out = staged.select(*keep, "_tl", F.posexplode("_tl").alias("_pos", "_x"))
+        prev = F.get(F.col("_tl"), F.col("_pos") - F.lit(1))
+        out = out.select(
+            *keep,
+            *[F.col("_x")[f].alias(f) for f in SAMPLE_FIELDS],
+            *[prev[f].alias(f"prev_{f}") for f in LAG_FIELDS],
+            (F.col("_pos") > 0).alias("_has_prev"),
+            prev["elapsed_ms"].alias("_prev_sample_elapsed_ms"),
+        )
+    else:
+        tl = F.col("_tl")
+        lagged = F.transform(
+            tl,
+            lambda x, i: F.struct(
+                *[x[f].alias(f) for f in SAMPLE_FIELDS],
+                *[F.get(tl, i - 1)[f].alias(f"prev_{f}") for f in LAG_FIELDS],
+            ),
+        )
         lagged = F.filter(lagged, lambda x: sample_filter(lambda name: x[name]))
-    staged = staged.select(*keep, lagged.alias("_s"))
-    s = F.col("_s")
-    fields = list(SAMPLE_FIELDS) + [f"prev_{f}" for f in LAG_FIELDS]
-    final = F.transform(
-        s,
-        lambda x, i: F.struct(
-            *[x[f].alias(f) for f in fields],
-            (i > 0).alias("_has_prev"),
-            F.get(s, i - 1)["elapsed_ms"].alias("_prev_sample_elapsed_ms"),
-        ),
-    )
-    out = staged.select(*keep, F.inline(final))
+        staged = staged.select(*keep, lagged.alias("_s"))
+        s = F.col("_s")
+        fields = list(SAMPLE_FIELDS) + [f"prev_{f}" for f in LAG_FIELDS]
+        final = F.transform(
+            s,
+            lambda x, i: F.struct(
+                *[x[f].alias(f) for f in fields],
+                (i > 0).alias("_has_prev"),
+                F.get(s, i - 1)["elapsed_ms"].alias("_prev_sample_elapsed_ms"),
+            ),
+        )
+        out = staged.select(*keep, F.inline(final))
     prev_etime = F.when(
         F.col("_has_prev"),
         add_ms(F.col("start_time"), F.coalesce(F.col("_prev_sample_elapsed_ms"), F.lit(0).cast("long"))),

@@ -51,48 +51,55 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return load_fixture(spark, sf_dir)
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir).jobs
-
-
-def _slot_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = fixture(spark, sf_dir)
+def _slot_utilization(spark: SparkSession, fx: Fixture) -> DataFrame:
     cat = fx.catalog
     return P.slot_utilization(fx.jobs, cat.assignments, cat.reservations, cat.tables, SETTINGS["slot_utilization"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "spill_or_bytes_offenders": lambda spark, d: P.spill_or_bytes_offenders(
-        _jobs(spark, d), SETTINGS["spill_or_bytes_offenders"]
+# Reports over an already loaded fixture (jobs + catalog).
+REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
+    "spill_or_bytes_offenders": lambda spark, fx: P.spill_or_bytes_offenders(
+        fx.jobs, SETTINGS["spill_or_bytes_offenders"]
     ),
-    "slot_sample_offenders": lambda spark, d: P.slot_sample_offenders(_jobs(spark, d), SETTINGS["slot_sample_offenders"]),
+    "slot_sample_offenders": lambda spark, fx: P.slot_sample_offenders(fx.jobs, SETTINGS["slot_sample_offenders"]),
     "slot_utilization": _slot_utilization,
-    "resource_hog_jobs": lambda spark, d: P.resource_hog_jobs(_jobs(spark, d), SETTINGS["resource_hog_jobs"]),
-    "slot_threshold_calibration": lambda spark, d: P.slot_threshold_calibration(
-        _jobs(spark, d), SETTINGS["slot_threshold_calibration"]
+    "resource_hog_jobs": lambda spark, fx: P.resource_hog_jobs(fx.jobs, SETTINGS["resource_hog_jobs"]),
+    "slot_threshold_calibration": lambda spark, fx: P.slot_threshold_calibration(
+        fx.jobs, SETTINGS["slot_threshold_calibration"]
     ),
-    "elapsed_by_bytes_bucket": lambda spark, d: P.elapsed_by_bytes_bucket(
-        _jobs(spark, d), SETTINGS["elapsed_by_bytes_bucket"]
+    "elapsed_by_bytes_bucket": lambda spark, fx: P.elapsed_by_bytes_bucket(fx.jobs, SETTINGS["elapsed_by_bytes_bucket"]),
+    "elapsed_by_bytes_raw": lambda spark, fx: P.elapsed_by_bytes_raw(fx.jobs, SETTINGS["elapsed_by_bytes_bucket"]),
+    "minute_usage": lambda spark, fx: P.minute_usage(spark, fx.jobs, SETTINGS["minute_usage"]),
+    "minute_usage_by_reservation": lambda spark, fx: P.minute_usage_by_reservation(
+        spark, fx.jobs, SETTINGS["minute_usage"]
     ),
-    "elapsed_by_bytes_raw": lambda spark, d: P.elapsed_by_bytes_raw(_jobs(spark, d), SETTINGS["elapsed_by_bytes_bucket"]),
-    "minute_usage": lambda spark, d: P.minute_usage(spark, _jobs(spark, d), SETTINGS["minute_usage"]),
-    "minute_usage_by_reservation": lambda spark, d: P.minute_usage_by_reservation(
-        spark, _jobs(spark, d), SETTINGS["minute_usage"]
+    "slot_bucket_indicator": lambda spark, fx: P.slot_bucket_indicator(fx.jobs, SETTINGS["slot_bucket_indicator"]),
+    "monthly_slot_total": lambda spark, fx: P.monthly_slot_total(fx.jobs, SETTINGS["monthly_slot_total"]),
+    "most_used_predicates": lambda spark, fx: P.most_used_predicates(fx.jobs, SETTINGS["predicates"]),
+    "most_used_predicates_all_reads": lambda spark, fx: P.most_used_predicates_all_reads(
+        fx.jobs, SETTINGS["predicates"]
     ),
-    "slot_bucket_indicator": lambda spark, d: P.slot_bucket_indicator(_jobs(spark, d), SETTINGS["slot_bucket_indicator"]),
-    "monthly_slot_total": lambda spark, d: P.monthly_slot_total(_jobs(spark, d), SETTINGS["monthly_slot_total"]),
-    "most_used_predicates": lambda spark, d: P.most_used_predicates(_jobs(spark, d), SETTINGS["predicates"]),
-    "most_used_predicates_all_reads": lambda spark, d: P.most_used_predicates_all_reads(
-        _jobs(spark, d), SETTINGS["predicates"]
-    ),
-    "most_used_queries": lambda spark, d: P.most_used_queries(_jobs(spark, d)),
-    "most_used_queries_concise": lambda spark, d: P.most_used_queries_concise(_jobs(spark, d)),
-    "most_used_queries_spilled": lambda spark, d: P.most_used_queries_spilled(_jobs(spark, d)),
-    "predicate_listing": lambda spark, d: P.predicate_listing(_jobs(spark, d), SETTINGS["predicates"]),
-    "bucket_series": lambda spark, d: P.bucket_series(spark, _jobs(spark, d), SETTINGS["bucket_series"]),
-    "duplicate_job_ids": lambda spark, d: P.duplicate_job_ids(_jobs(spark, d)),
-    "missing_slot_jobs": lambda spark, d: P.missing_slot_jobs(_jobs(spark, d), JOB_SCALAR_COLUMNS),
-    "job_timeline": lambda spark, d: P.job_timeline(_jobs(spark, d)),
+    "most_used_queries": lambda spark, fx: P.most_used_queries(fx.jobs),
+    "most_used_queries_concise": lambda spark, fx: P.most_used_queries_concise(fx.jobs),
+    "most_used_queries_spilled": lambda spark, fx: P.most_used_queries_spilled(fx.jobs),
+    "predicate_listing": lambda spark, fx: P.predicate_listing(fx.jobs, SETTINGS["predicates"]),
+    "bucket_series": lambda spark, fx: P.bucket_series(spark, fx.jobs, SETTINGS["bucket_series"]),
+    "duplicate_job_ids": lambda spark, fx: P.duplicate_job_ids(fx.jobs),
+    "missing_slot_jobs": lambda spark, fx: P.missing_slot_jobs(fx.jobs, JOB_SCALAR_COLUMNS),
+    "job_timeline": lambda spark, fx: P.job_timeline(fx.jobs),
+}
+
+
+def _over_folder(report: Callable[[SparkSession, Fixture], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(spark, fixture(spark, sf_dir))
+
+    return run
+
+
+# Reports over a test-data folder: (spark, sf_dir) -> DataFrame.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _over_folder(report) for name, report in REPORTS.items()
 }
 
 

@@ -387,31 +387,60 @@ def _plan_jobs(jobs: DataFrame, s: S.PredicateSettings, open_ended: bool = False
     return j.filter(F.col("creation_time").between(ts_lit(s.start_date), ts_lit(s.end_date)))
 
 
-def most_used_predicates(jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings()) -> DataFrame:
-    """Columns filtered on per table; denominator = jobs with a predicate on the table."""
-    rs = PS.read_steps(PS.plan_substeps(_plan_jobs(jobs, s), PS.JOB_KEYS))
-    triples = PS.predicate_triples(rs, strict=True, trim=s.trim_columns)
-    return PS.predicate_ratio(triples)
+def most_used_predicates(
+    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+) -> DataFrame:
+    """Columns filtered on per table; denominator = jobs with a predicate on the table.
 
+    ``method="row"`` matches predicates, columns and tables inside each job
+    row (no shuffle before the distinct counts); ``method="join"`` explodes
+    the plan and joins on the five keys as the reference does.
+    """
+    j = _plan_jobs(jobs, s)
+    if method == "row":
+        levels = PS.usage_levels_in_row(j, strict=True, trim=s.trim_columns, denominator="predicates")
+    elif method == "join":
+        rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
+        levels = PS.usage_levels(PS.predicate_triples(rs, strict=True, trim=s.trim_columns))
+    else:
+        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+    return PS.predicate_ratio(levels)
 
-def most_used_predicates_all_reads(jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings()) -> DataFrame:
+
+def most_used_predicates_all_reads(
+    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+) -> DataFrame:
     """As P11, but the denominator counts every job that reads the table.
 
     Equal to the reference's ``tables LEFT JOIN predicates LEFT JOIN columns``
     followed by ``predicate_column is not null``: every table row survives the
     left joins (denominator), and only fully matched rows have a column.
     """
-    rs = PS.read_steps(PS.plan_substeps(_plan_jobs(jobs, s), PS.JOB_KEYS))
-    triples = PS.predicate_triples(rs, strict=False, trim=s.trim_columns).filter(
-        F.col("predicate_column").isNotNull()
-    )
-    return PS.predicate_ratio(triples, PS.table_readers(rs))
+    j = _plan_jobs(jobs, s)
+    if method == "row":
+        levels = PS.usage_levels_in_row(
+            j, strict=False, trim=s.trim_columns, denominator="readers", require_column=True
+        )
+    elif method == "join":
+        rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
+        triples = PS.predicate_triples(rs, strict=False, trim=s.trim_columns)
+        levels = PS.usage_levels(triples.filter(F.col("predicate_column").isNotNull()), PS.table_readers(rs))
+    else:
+        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+    return PS.predicate_ratio(levels)
 
 
-def predicate_listing(jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings()) -> DataFrame:
+def predicate_listing(
+    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+) -> DataFrame:
     """Every (predicate, column, table) occurrence, un-aggregated."""
-    rs = PS.read_steps(PS.plan_substeps(_plan_jobs(jobs, s, open_ended=True)))
-    return PS.table_predicates(rs, strict=True, trim=s.trim_columns)
+    j = _plan_jobs(jobs, s, open_ended=True)
+    if method == "row":
+        return PS.table_predicates_in_row(j, strict=True, trim=s.trim_columns)
+    if method == "join":
+        rs = PS.read_steps(PS.plan_substeps(j))
+        return PS.table_predicates(rs, strict=True, trim=s.trim_columns)
+    raise ValueError(f"method must be 'row' or 'join', got {method!r}")
 
 
 # --------------------------------------------------------------------- P13
