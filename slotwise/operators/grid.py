@@ -121,3 +121,34 @@ def usage_by_minute(
     )
     out = grid.select("stb").join(per_minute, "stb", "left")
     return out.select("stb", *dims, "total_slot_ms", "total_bytes_processed").orderBy(F.desc("stb"))
+
+
+def usage_by_minute_theta(
+    spark: SparkSession,
+    jobs: DataFrame,
+    as_of: datetime,
+    minutes: int = 1440,
+    creation_lookback: timedelta = timedelta(hours=26),
+    dims: Sequence[str] = MINUTE_DIMS,
+) -> DataFrame:
+    """The reference formulation of C19: grid LEFT JOIN jobs on the range condition.
+
+    Catalyst plans this as a nested-loop join (every grid minute against
+    every job); kept to check :func:`usage_by_minute` against, not for use at
+    scale.
+    """
+    grid = minute_buckets(spark, as_of, minutes)
+    recent = jobs.filter(F.col("creation_time") > ts_lit(as_of - creation_lookback))
+    spread = spread_over_minutes(recent, as_of)
+    cond = (spread["start_time"] >= grid["stb"]) & (
+        F.coalesce(spread["end_time"], spread["start_time"]) < grid["etb"]
+    )
+    base = grid.join(spread, cond, "left").select("stb", *dims, "avg_slot_ms", "avg_bytes_processed")
+    return (
+        base.groupBy("stb", *dims)
+        .agg(
+            F.sum("avg_slot_ms").alias("total_slot_ms"),
+            F.sum("avg_bytes_processed").alias("total_bytes_processed"),
+        )
+        .orderBy(F.desc("stb"))
+    )

@@ -70,7 +70,10 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
             F.col("l_returnflag").alias("rf"),
         ).alias("line"),
     )
-    # Line order within an order: (l_linenumber, l_partkey, l_suppkey).
+    # Line order within an order: (l_linenumber, l_partkey, l_suppkey), ties broken
+    # by quantity, price in cents and return flag (the struct's field order), so
+    # the order is total even where the three-column key repeats (it does once
+    # at sf0.001).
     per_order = li.groupBy("k").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     k = F.col("k")
