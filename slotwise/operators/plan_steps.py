@@ -203,6 +203,19 @@ def predicate_ratio(levels: DataFrame) -> DataFrame:
     )
 
 
+def with_table_sizes(report: DataFrame, table_storage: DataFrame) -> DataFrame:
+    """Left join of a report with table sizes on ``table_name``.
+
+    The storage catalog has one row per table; several projects or datasets
+    may share a table name, so the join can repeat a report row, as the
+    reference's ``using (table_name)`` would.
+    """
+    sizes = table_storage.select(
+        "table_name", "total_rows", "total_partitions", "total_logical_bytes", "total_physical_bytes"
+    )
+    return report.join(sizes, "table_name", "left")
+
+
 # ----------------------------------------------------------------------------
 # In-row form: the five join keys all come from one job row, so the
 # predicate -> column -> table matching can run inside the row over its

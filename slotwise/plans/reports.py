@@ -408,13 +408,18 @@ def most_used_predicates(
 
 
 def most_used_predicates_all_reads(
-    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+    jobs: DataFrame,
+    s: S.PredicateSettings = S.PredicateSettings(),
+    method: str = "row",
+    table_storage: DataFrame | None = None,
 ) -> DataFrame:
     """As P11, but the denominator counts every job that reads the table.
 
     Equal to the reference's ``tables LEFT JOIN predicates LEFT JOIN columns``
     followed by ``predicate_column is not null``: every table row survives the
     left joins (denominator), and only fully matched rows have a column.
+    ``table_storage`` (optional, disabled in the reference) adds the table's
+    row, partition and byte counts with a left join on ``table_name``.
     """
     j = _plan_jobs(jobs, s)
     if method == "row":
@@ -427,7 +432,10 @@ def most_used_predicates_all_reads(
         levels = PS.usage_levels(triples.filter(F.col("predicate_column").isNotNull()), PS.table_readers(rs))
     else:
         raise ValueError(f"method must be 'row' or 'join', got {method!r}")
-    return PS.predicate_ratio(levels)
+    out = PS.predicate_ratio(levels)
+    if table_storage is not None:
+        out = PS.with_table_sizes(out, table_storage)
+    return out
 
 
 def predicate_listing(
@@ -444,9 +452,20 @@ def predicate_listing(
 
 
 # --------------------------------------------------------------------- P13
-def most_used_queries(jobs: DataFrame) -> DataFrame:
-    """Repeated query shapes with the heaviest sample text (NULL hash dropped)."""
-    out = R.usage_per_hash(jobs, with_query=True).filter(F.col("hash_id").isNotNull())
+def most_used_queries(jobs: DataFrame, method: str = "aggregate") -> DataFrame:
+    """Repeated query shapes with the heaviest sample text (NULL hash dropped).
+
+    ``method="aggregate"``: one grouped aggregation with a bounded ``min_by``;
+    ``method="window"``: the reference's ``row_number() = 1`` sample joined
+    back to the per-hash sums.
+    """
+    if method == "window":
+        sums = R.usage_per_hash(jobs, with_query=False)
+        out = sums.join(R.top_query_per_hash(jobs), "hash_id", "inner")
+    elif method == "aggregate":
+        out = R.usage_per_hash(jobs, with_query=True).filter(F.col("hash_id").isNotNull())
+    else:
+        raise ValueError(f"method must be 'aggregate' or 'window', got {method!r}")
     return out.select("hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query").orderBy(
         F.desc("used_count")
     )

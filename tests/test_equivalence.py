@@ -121,3 +121,17 @@ def test_range_bucket_equals_sign_floor_for_non_negative(spark):
     ).collect()
     assert all(r["a"] == r["b"] for r in rows)
     assert [r["a"] for r in rows] == [0, 0, 1, 1, 1, 2, 2, 3, 3, None]
+
+
+def test_top_query_window_form_equals_aggregate(fixture_jobs):
+    same(P.most_used_queries(fixture_jobs.jobs, "aggregate"), P.most_used_queries(fixture_jobs.jobs, "window"))
+
+
+def test_table_sizes_join(spark, fixture_jobs):
+    from slotwise.schemas import TABLE_STORAGE
+
+    storage = spark.createDataFrame([("proj", "ds", "proj.ds.t1", 10, 1, 100, 50)], TABLE_STORAGE)
+    out = P.most_used_predicates_all_reads(fixture_jobs.jobs, SETTINGS["predicates"], table_storage=storage)
+    rows = out.filter("table_name = 'proj.ds.t1'").collect()
+    assert rows and all(r["total_rows"] == 10 for r in rows)
+    assert out.filter("table_name <> 'proj.ds.t1'").filter("total_rows is not null").count() == 0
