@@ -17,7 +17,7 @@ import os
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,101 +59,85 @@ def _div100(x: Column) -> Column:
 
 def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Nested job rows (schema :data:`slotwise.schemas.JOBS`)."""
-    li = lineitem.select(
-        F.col("l_orderkey").alias("k"),
-        F.struct(
-            F.col("l_linenumber").cast("long").alias("n"),
-            F.col("l_partkey").alias("p"),
-            F.col("l_suppkey").alias("u"),
-            F.col("l_quantity").cast("long").alias("q"),
-            _cents(F.col("l_extendedprice")).alias("ext_cents"),
-            F.col("l_returnflag").alias("rf"),
-        ).alias("line"),
-    )
+    k = F.col("l_orderkey")
+    p, u = F.col("l_partkey"), F.col("l_suppkey")
+    n = F.col("l_linenumber").cast("long")
+    q = F.col("l_quantity").cast("long")
+    ext = _cents(F.col("l_extendedprice"))
     # Line order within an order: (l_linenumber, l_partkey, l_suppkey), ties broken
-    # by quantity, price in cents and return flag (the struct's field order), so
-    # the order is total even where the three-column key repeats (it does once
-    # at sf0.001).
-    per_order = li.groupBy("k").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
-    k = F.col("k")
+    # by quantity, price in cents and return flag so the order is total even where
+    # the three-column key repeats (it does once at sf0.001).
+    line_order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", q, ext, "l_returnflag"
+    )
+    running = line_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dur_mult = F.when(k % 10 == 0, F.lit(20)).otherwise(F.lit(1)).cast("long")
     slot_mult = F.when(k % 10 == 3, F.lit(100)).otherwise(F.lit(1)).cast("long")
-
-    def dur(x: Column) -> Column:
-        return (x["q"] * 97 + x["p"] % 500 + 1) * dur_mult
-
-    def slots(x: Column) -> Column:
-        return (x["p"] % 40 + 1) * slot_mult
-
-    def running(arr: Column, value) -> Column:
-        return F.transform(
-            arr,
-            lambda x, i: F.aggregate(
-                F.slice(arr, 1, i + 1), F.lit(0).cast("long"), lambda acc, y: acc + value(y)
-            ),
-        )
-
-    lines = F.col("lines")
-    per_order = per_order.select(
-        "k",
-        "lines",
-        running(lines, dur).alias("elapsed"),
-        running(lines, lambda y: dur(y) * slots(y)).alias("slot_ms"),
+    dur = (q * 97 + p % 500 + 1) * dur_mult
+    slots = (p % 40 + 1) * slot_mult
+
+    lines = lineitem.select(
+        k.alias("k"),
+        p.alias("p"),
+        u.alias("u"),
+        n.alias("n"),
+        ext.alias("ext_cents"),
+        F.col("l_returnflag").alias("rf"),
+        F.row_number().over(line_order).cast("long").alias("rn"),
+        F.sum(dur).over(running).alias("elapsed_ms"),
+        F.sum(dur * slots).over(running).alias("total_slot_ms"),
     )
-
-    timeline = F.transform(
-        F.col("lines"),
-        lambda x, i: F.struct(
-            F.col("elapsed")[i].alias("elapsed_ms"),
-            F.col("slot_ms")[i].alias("total_slot_ms"),
-            (x["u"] % 50).alias("pending_units"),
-            ((i + 1) * 10).cast("long").alias("completed_units"),
-            (x["n"] * 3).alias("active_units"),
+    rn = F.col("rn")
+    columns = F.concat(
+        F.lit("$1:c"),
+        (F.col("u") % 6).cast("string"),
+        F.when(rn % 5 == 0, F.lit(", ")).otherwise(F.lit(",")),
+        F.lit("$2:d"),
+        (F.col("p") % 4).cast("string"),
+    )
+    from_ = F.concat(F.lit("FROM proj.ds.t"), (F.col("p") % 20).cast("string"))
+    where = F.when(F.col("n") % 2 == 0, F.lit("WHERE and(greater($1, 10), equal($2, 3))")).otherwise(
+        F.lit("WHERE greater($1, 10)")
+    )
+    read_substeps = F.when(F.col("n") == 7, F.array(columns, from_)).otherwise(F.array(columns, from_, where))
+    steps = F.array(
+        F.struct(F.lit("READ").alias("kind"), read_substeps.alias("substeps")),
+        F.struct(F.lit("WRITE").alias("kind"), F.array(F.lit("TO __stage_output")).alias("substeps")),
+    )
+    sample = F.struct(
+        F.col("elapsed_ms"),
+        F.col("total_slot_ms"),
+        (F.col("u") % 50).alias("pending_units"),
+        (rn * 10).alias("completed_units"),
+        (F.col("n") * 3).alias("active_units"),
+    )
+    stage = F.struct(
+        F.concat(
+            F.lit("S"),
+            (rn - 1).cast("string"),
+            F.when(rn % 3 == 0, F.lit(": Output")).otherwise(F.lit(": Input")),
+        ).alias("name"),
+        rn.alias("id"),
+        F.col("ext_cents").alias("shuffle_output_bytes"),
+        F.when(F.col("rf") == "R", F.col("ext_cents") * 10).otherwise(F.lit(0).cast("long")).alias(
+            "shuffle_output_bytes_spilled"
         ),
-    ).cast(T.ArrayType(schemas.TIMELINE_SAMPLE))
-
-    def stage(x: Column, i: Column) -> Column:
-        rn = i + 1
-        columns = F.concat(
-            F.lit("$1:c"),
-            (x["u"] % 6).cast("string"),
-            F.when(rn % 5 == 0, F.lit(", ")).otherwise(F.lit(",")),
-            F.lit("$2:d"),
-            (x["p"] % 4).cast("string"),
-        )
-        from_ = F.concat(F.lit("FROM proj.ds.t"), (x["p"] % 20).cast("string"))
-        where = F.when(x["n"] % 2 == 0, F.lit("WHERE and(greater($1, 10), equal($2, 3))")).otherwise(
-            F.lit("WHERE greater($1, 10)")
-        )
-        read_substeps = F.when(x["n"] == 7, F.array(columns, from_)).otherwise(
-            F.array(columns, from_, where)
-        )
-        steps = F.array(
-            F.struct(F.lit("READ").alias("kind"), read_substeps.alias("substeps")),
-            F.struct(F.lit("WRITE").alias("kind"), F.array(F.lit("TO __stage_output")).alias("substeps")),
-        )
-        return F.struct(
-            F.concat(
-                F.lit("S"),
-                i.cast("string"),
-                F.when(rn % 3 == 0, F.lit(": Output")).otherwise(F.lit(": Input")),
-            ).alias("name"),
-            rn.cast("long").alias("id"),
-            x["ext_cents"].alias("shuffle_output_bytes"),
-            F.when(x["rf"] == "R", x["ext_cents"] * 10).otherwise(F.lit(0).cast("long")).alias(
-                "shuffle_output_bytes_spilled"
-            ),
-            x["p"].alias("records_read"),
-            x["u"].alias("records_written"),
-            x["n"].alias("parallel_inputs"),
-            steps.alias("steps"),
+        F.col("p").alias("records_read"),
+        F.col("u").alias("records_written"),
+        F.col("n").alias("parallel_inputs"),
+        steps.alias("steps"),
+    )
+    # Same partitioning as the window (by order): no second shuffle.  Each
+    # group is one order's line items.
+    per_order = (
+        lines.select("k", F.struct(rn.alias("rn"), sample.alias("sample"), stage.alias("stage")).alias("line"))
+        .groupBy("k")
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        .select(
+            "k",
+            F.transform("lines", lambda x: x["sample"]).cast(T.ArrayType(schemas.TIMELINE_SAMPLE)).alias("timeline"),
+            F.transform("lines", lambda x: x["stage"]).cast(T.ArrayType(schemas.PLAN_STAGE)).alias("job_stages"),
         )
-
-    per_order = per_order.select(
-        "k",
-        timeline.alias("timeline"),
-        F.transform(F.col("lines"), stage).alias("job_stages"),
     )
 
     o = orders.select(
