@@ -234,14 +234,19 @@ def _read_groups() -> Column:
         lambda s: F.struct(
             s["name"].alias("stage_name"),
             s.alias("stage"),
-            F.flatten(
-                F.transform(
-                    F.filter(
-                        s["steps"],
-                        lambda st: (st["kind"] == F.lit(pt.READ_KIND)) & st["substeps"].isNotNull(),
-                    ),
-                    lambda st: st["substeps"],
-                )
+            # Empty (never NULL) when the stage has no READ sub-steps: a NULL
+            # inner array would make every later ``flatten`` of the row NULL.
+            F.coalesce(
+                F.flatten(
+                    F.transform(
+                        F.filter(
+                            s["steps"],
+                            lambda st: (st["kind"] == F.lit(pt.READ_KIND)) & st["substeps"].isNotNull(),
+                        ),
+                        lambda st: st["substeps"],
+                    )
+                ),
+                F.array().cast("array<string>"),
             ).alias("subs"),
         ),
     )
@@ -284,10 +289,15 @@ def _with_named_groups(jobs: DataFrame, keep: Sequence[str]) -> DataFrame:
     staged = jobs.select(*keep, _read_groups().alias("_g"))
     g = F.col("_g")
     names = F.array_distinct(F.transform(g, lambda x: x["stage_name"]))
+    # Usual case: stage names are unique within the job, so each stage is its
+    # own group; only repeated names need the per-name merge (quadratic in
+    # the number of stages of that job).
+    unique = F.transform(g, lambda x: F.struct(x["stage_name"].alias("stage_name"), x["subs"].alias("subs")))
+    merged = F.transform(names, lambda n: F.struct(n.alias("stage_name"), _subs_named(g, n).alias("subs")))
     return staged.select(
         *keep,
         "_g",
-        F.transform(names, lambda n: F.struct(n.alias("stage_name"), _subs_named(g, n).alias("subs"))).alias("_n"),
+        F.when(F.size(names) == F.size(g), unique).otherwise(merged).alias("_n"),
     )
 
 

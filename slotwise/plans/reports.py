@@ -341,11 +341,14 @@ def slot_bucket_indicator(
     j = TL.select_jobs(jobs, start, end, s.check_state).withColumnRenamed(
         "total_slot_ms", "finished_total_slot_ms"
     )
-    prof = TL.timeline_profile(j, keep=("finished_total_slot_ms",), first="zero", method=method)
-    prof = TL.with_ctime(TL.with_prev_etime(prof, default="start", wait="null"))
-    prof = B.with_bucket(prof, s.bucket_time).withColumn(
+    # The size bucket depends on the job only: computed once per job row,
+    # before the timeline is exploded.
+    j = j.withColumn(
         "target_slot_ms_bucket", sign_floor_bucket(F.col("finished_total_slot_ms"), s.total_slot_ms_bucket)
     )
+    prof = TL.timeline_profile(j, keep=("target_slot_ms_bucket",), first="zero", method=method)
+    prof = TL.with_ctime(TL.with_prev_etime(prof, default="start", wait="null"))
+    prof = B.with_bucket(prof, s.bucket_time)
     stat = B.bucket_averages(prof, ["ctime_bucket", "target_slot_ms_bucket"])
     aggs = [
         F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{x}`)").cast("double").alias(name)

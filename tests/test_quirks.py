@@ -222,3 +222,20 @@ def test_data_checks(spark):
     assert rows_of(P.duplicate_job_ids(jobs), "job_id") == [("a",)]
     assert sorted(rows_of(P.missing_slot_jobs(jobs), "job_id")) == [("a",), ("b",)]
     assert rows_of(P.job_timeline(jobs, "f"), "elapsed_ms", "active_units") == [(1, 5)]
+
+
+def test_stage_without_steps_and_repeated_stage_names(spark):
+    plan = [
+        ("S0: Input", 1, 1, 0, 1, 1, 1, None),  # NULL steps
+        stage("S1: Input", ["$1:a", "WHERE f($1)"]),
+        stage("S1: Input", ["FROM t.one"], sid=2),  # same name: matched with the stage above
+        stage("S2: Input", ["$1:b", "FROM t.two", "WHERE g($1)"]),
+    ]
+    jobs = jobs_df(spark, [job("a", job_stages=plan)])
+    s = S.PredicateSettings(start_date=T0 - timedelta(days=1), end_date=T0 + timedelta(days=1))
+    expected = sorted([("S1: Input", "t.one", "a"), ("S2: Input", "t.two", "b")])
+    for method in ("row", "join"):
+        got = rows_of(P.predicate_listing(jobs, s, method), "stage_name", "table_name", "predicate_column")
+        assert sorted(got) == expected
+        agg = rows_of(P.most_used_predicates(jobs, s, method), "table_name", "predicate_column")
+        assert sorted(agg) == [("t.one", "a"), ("t.two", "b")]
