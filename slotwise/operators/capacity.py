@@ -32,16 +32,17 @@ def slot_capacity(
 ) -> DataFrame:
     """One row ``sum_slot_capacity`` of the reservations assigned to the project.
 
-    Both catalog tables are small (one row per reservation / assignment) and
-    ``project`` is a single row, so the joins are broadcast; the global
-    aggregate always returns exactly one row.
+    ``project`` is a single row (a global aggregate or a literal), so it is
+    broadcast explicitly.  The reservation catalog is left to the planner:
+    AQE broadcasts it only when its measured size is under the threshold.
+    The global aggregate always returns exactly one row.
     """
     a = assignments.filter(F.col("job_type") == F.lit(job_type)).select(
         "reservation_name", "assignee_id"
     )
     a = a.join(F.broadcast(project), a["assignee_id"] == project["project_id"], "inner")
     r = reservations.select("reservation_name", "slot_capacity")
-    joined = a.join(F.broadcast(r), "reservation_name", "inner")
+    joined = a.join(r, "reservation_name", "inner")
     return joined.agg(F.sum("slot_capacity").alias("sum_slot_capacity"))
 
 
