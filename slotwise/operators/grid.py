@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.time import minute_field, trunc_minute, ts_lit
+from slotwise.sources.jobs import creation_between
 
 MINUTE_DIMS = ("project_id", "job_type", "statement_type", "priority", "state")
 
@@ -89,7 +90,7 @@ def usage_by_minute(
     grid_lo = ts_lit(top - timedelta(minutes=int(minutes) - 1))
     grid_hi = ts_lit(top)
 
-    recent = jobs.filter(F.col("creation_time") > ts_lit(as_of - creation_lookback))
+    recent = jobs.filter(creation_between(jobs, as_of - creation_lookback, None, include_start=False))
     spread = spread_over_minutes(recent, as_of)
     if match == "reference":
         lo = trunc_minute(F.coalesce(F.col("end_time"), F.col("start_time")))
@@ -138,7 +139,7 @@ def usage_by_minute_theta(
     scale.
     """
     grid = minute_buckets(spark, as_of, minutes)
-    recent = jobs.filter(F.col("creation_time") > ts_lit(as_of - creation_lookback))
+    recent = jobs.filter(creation_between(jobs, as_of - creation_lookback, None, include_start=False))
     spread = spread_over_minutes(recent, as_of)
     cond = (spread["start_time"] >= grid["stb"]) & (
         F.coalesce(spread["end_time"], spread["start_time"]) < grid["etb"]

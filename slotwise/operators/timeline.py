@@ -18,8 +18,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.time import add_ms, ms_between, to_long_half_away, ts_lit
+from slotwise.functions.time import add_ms, ms_between, to_long_half_away
 from slotwise.schemas import SAMPLE_FIELDS
+from slotwise.sources.jobs import creation_between
 
 # A sample predicate gets an accessor ``g(field_name) -> Column`` so the same
 # rule works on array elements and on exploded rows.
@@ -35,8 +36,12 @@ def select_jobs(
     states: Sequence[str] | None = None,
     extra: Column | None = None,
 ) -> DataFrame:
-    """Jobs created in ``[start, end]`` and in one of ``states``."""
-    cond = F.col("creation_time").between(ts_lit(start), ts_lit(end))
+    """Jobs created in ``[start, end]`` and in one of ``states``.
+
+    The time condition reaches the Parquet scan as pushed filters, and a
+    ``creation_date`` partition column, when present, is pruned as well.
+    """
+    cond = creation_between(jobs, start, end)
     if states:
         cond = cond & F.col("state").isin(list(states))
     if extra is not None:

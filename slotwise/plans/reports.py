@@ -23,6 +23,7 @@ from slotwise.operators import repeats as R
 from slotwise.operators import timeline as TL
 from slotwise.operators.percentiles import exact_percentile_disc
 from slotwise.schemas import SAMPLE_FIELDS
+from slotwise.sources.jobs import creation_between
 
 
 # --------------------------------------------------------------------- P1
@@ -367,9 +368,7 @@ def slot_bucket_indicator(
 def monthly_slot_total(jobs: DataFrame, s: S.MonthlySettings = S.MonthlySettings()) -> DataFrame:
     """P10: slot totals of a period, as a 'monthly' total and daily/hourly/second averages."""
     start, end = s.bounds()
-    j = jobs.filter(F.col("total_slot_ms").isNotNull()).filter(
-        F.col("creation_time").between(ts_lit(start), ts_lit(end))
-    )
+    j = jobs.filter(F.col("total_slot_ms").isNotNull()).filter(creation_between(jobs, start, end))
     total = F.sum("total_slot_ms")
     days = F.lit(s.days_per_month)
     return j.agg(
@@ -386,8 +385,8 @@ def _plan_jobs(jobs: DataFrame, s: S.PredicateSettings, open_ended: bool = False
     if s.project_id is not None:
         j = j.filter(F.col("project_id") == F.lit(s.project_id))
     if open_ended:
-        return j.filter(F.col("creation_time") > ts_lit(s.start_date))
-    return j.filter(F.col("creation_time").between(ts_lit(s.start_date), ts_lit(s.end_date)))
+        return j.filter(creation_between(j, s.start_date, None, include_start=False))
+    return j.filter(creation_between(j, s.start_date, s.end_date))
 
 
 def most_used_predicates(

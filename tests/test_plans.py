@@ -60,3 +60,31 @@ def test_repeat_reports_are_one_aggregation(stored_jobs):
 def test_resource_hogs_need_no_shuffle(stored_jobs):
     plan = plan_of(P.resource_hog_jobs(stored_jobs, SETTINGS["resource_hog_jobs"]))
     assert "Exchange" not in plan
+
+
+def test_date_partitions_are_pruned(spark, fixture_jobs, tmp_path_factory):
+    from datetime import timedelta
+
+    from pyspark.sql import functions as F
+
+    from oracle_compare import normalized_rows
+    from slotwise import settings as S
+    from slotwise.sources.fixture import AS_OF
+
+    path = str(tmp_path_factory.mktemp("parts") / "jobs")
+    fixture_jobs.jobs.withColumn("creation_date", F.to_date("creation_time")).write.partitionBy(
+        "creation_date"
+    ).parquet(path)
+    parted = read_jobs(spark, path, partitioned_by_date=True)
+    flat = fixture_jobs.jobs
+    s = S.MonthlySettings(as_of=AS_OF, search_pending_time=timedelta(days=20), target_period=timedelta(days=10))
+    df = P.monthly_slot_total(parted, s)
+    plan = plan_of(df)
+    assert re.search(r"PartitionFilters: \[[^\]]*creation_date", plan)
+    a, b = df.collect(), P.monthly_slot_total(flat, s).collect()
+    assert normalized_rows(df.columns, a) == normalized_rows(df.columns, b)
+    u = S.UtilizationSettings(window=S.Window(as_of=AS_OF, lookback=timedelta(days=5)))
+    same_a = P.slot_utilization_stats(parted, u).collect()
+    same_b = P.slot_utilization_stats(flat, u).collect()
+    cols = P.slot_utilization_stats(flat, u).columns
+    assert normalized_rows(cols, same_a) == normalized_rows(cols, same_b)
