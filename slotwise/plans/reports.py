@@ -481,8 +481,21 @@ def most_used_queries_concise(jobs: DataFrame) -> DataFrame:
     )
 
 
-def most_used_queries_spilled(jobs: DataFrame) -> DataFrame:
-    """P13s: P13c plus bytes spilled; hashes without any stage drop out."""
+def most_used_queries_spilled(jobs: DataFrame, method: str = "aggregate") -> DataFrame:
+    """P13s: P13c plus bytes spilled; hashes without any stage drop out.
+
+    ``method="aggregate"`` sums each job's spill inside the row and folds it
+    into the one per-hash aggregation; ``method="explode"`` is the reference
+    form (unnest the stages, sum per hash, join to the per-hash usage).
+    """
+    if method == "explode":
+        usage = R.usage_per_hash(jobs, with_query=True)
+        out = usage.join(R.spill_per_hash(jobs), "hash_id", "inner")
+        return out.select(
+            "hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query", "sum_of_spilled"
+        ).orderBy(F.desc("used_count"))
+    if method != "aggregate":
+        raise ValueError(f"method must be 'aggregate' or 'explode', got {method!r}")
     out = R.usage_per_hash(jobs, with_query=True, with_spill=True)
     out = out.filter(F.col("hash_id").isNotNull() & F.col("has_stage"))
     return out.select(

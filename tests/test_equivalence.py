@@ -135,3 +135,10 @@ def test_table_sizes_join(spark, fixture_jobs):
     rows = out.filter("table_name = 'proj.ds.t1'").collect()
     assert rows and all(r["total_rows"] == 10 for r in rows)
     assert out.filter("table_name <> 'proj.ds.t1'").filter("total_rows is not null").count() == 0
+
+
+def test_spilled_aggregate_equals_explode_form(fixture_jobs):
+    same(
+        P.most_used_queries_spilled(fixture_jobs.jobs, "aggregate"),
+        P.most_used_queries_spilled(fixture_jobs.jobs, "explode"),
+    )
