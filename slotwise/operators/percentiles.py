@@ -19,7 +19,8 @@ refinement instead:
 Bucket indexes are monotone in the value (IEEE subtraction, division,
 multiplication and ``floor`` are monotone), so the walk is exact, and every
 pass strictly shrinks the range, so it terminates.  The values are persisted
-once for the passes.
+(``MEMORY_AND_DISK``; lost blocks are recomputed from lineage) for the
+passes, and the returned DataFrame is one more aggregation over them.
 """
 
 from __future__ import annotations
@@ -47,9 +48,8 @@ def exact_percentile_disc(
     max_passes: int = 64,
 ) -> DataFrame:
     """One row with ``percentile_disc(p)`` of column ``x`` for each ``p -> name``."""
-    spark = df.sparkSession
-    vals = df.select(F.col(x).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    source = df.select(F.col(x).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    vals = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         head = vals.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         n = int(head["n"])
@@ -103,7 +103,16 @@ def exact_percentile_disc(
                 answers[p] = st[0]
     finally:
         vals.unpersist()
-    schema = T.StructType([T.StructField(name, T.DoubleType()) for name in names.values()])
-    return spark.range(1).select(
-        *[F.lit(answers[p]).cast("double").alias(name) for p, name in names.items()]
-    ).select([F.col(f.name) for f in schema.fields])
+    # The result is an aggregation over the values themselves: each answer is
+    # a value of the data, so the smallest value >= the answer is the answer.
+    # The returned plan thus reads the source like any other report.
+    return source.agg(
+        *[
+            F.min(F.when(F.col("v") >= F.lit(answers[p]), F.col("v")))
+            .cast(T.DoubleType())
+            .alias(name)
+            if answers[p] is not None
+            else F.lit(None).cast(T.DoubleType()).alias(name)
+            for p, name in names.items()
+        ]
+    )
