@@ -225,15 +225,15 @@ def with_table_sizes(report: DataFrame, table_storage: DataFrame) -> DataFrame:
 # name are matched together, as the reference's join on ``stage_name`` does.
 
 
-def _read_groups() -> Column:
-    """Per input stage: its name, the stage struct and the READ sub-steps."""
+def _read_groups(with_stage: bool = False) -> Column:
+    """Per input stage: its name, the READ sub-steps and (for listings) the stage struct."""
     stages = F.col("job_stages")
     inputs = F.filter(stages, lambda s: s["name"].endswith(pt.INPUT_STAGE_SUFFIX))
     return F.transform(
         inputs,
         lambda s: F.struct(
             s["name"].alias("stage_name"),
-            s.alias("stage"),
+            *([s.alias("stage")] if with_stage else []),
             # Empty (never NULL) when the stage has no READ sub-steps: a NULL
             # inner array would make every later ``flatten`` of the row NULL.
             F.coalesce(
@@ -280,13 +280,13 @@ def _predicate_keys(subs: Column) -> Column:
     return F.flatten(F.transform(F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)), pt.predicate_keys))
 
 
-def _with_named_groups(jobs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _with_named_groups(jobs: DataFrame, keep: Sequence[str], with_stage: bool = False) -> DataFrame:
     """Adds ``_g`` (READ groups per input stage) and ``_n`` (sub-steps merged per stage name).
 
     Each array is built once in its own projection; lambdas then refer to the
     column instead of re-evaluating the expression.
     """
-    staged = jobs.select(*keep, _read_groups().alias("_g"))
+    staged = jobs.select(*keep, _read_groups(with_stage).alias("_g"))
     g = F.col("_g")
     names = F.array_distinct(F.transform(g, lambda x: x["stage_name"]))
     # Usual case: stage names are unique within the job, so each stage is its
@@ -301,9 +301,11 @@ def _with_named_groups(jobs: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def _parsed_names(jobs: DataFrame, keep: Sequence[str], strict: bool, trim: bool) -> DataFrame:
+def _parsed_names(
+    jobs: DataFrame, keep: Sequence[str], strict: bool, trim: bool, with_stage: bool = False
+) -> DataFrame:
     """Adds ``_p``: per stage name, its tables, column pairs and predicate keys."""
-    staged = _with_named_groups(jobs, keep)
+    staged = _with_named_groups(jobs, keep, with_stage)
     return staged.select(
         *keep,
         "_g",
@@ -388,7 +390,7 @@ def table_predicates_in_row(
     occurrence in it, every column pair with that key and every FROM table of
     the stages sharing the stage name.
     """
-    parsed = _parsed_names(jobs, list(job_columns), strict, trim)
+    parsed = _parsed_names(jobs, list(job_columns), strict, trim, with_stage=True)
     p = F.col("_p")
 
     def rows_for_group(g: Column) -> Column:
