@@ -233,7 +233,12 @@ def _read_groups(with_stage: bool = False) -> Column:
         inputs,
         lambda s: F.struct(
             s["name"].alias("stage_name"),
-            *([s.alias("stage")] if with_stage else []),
+            # Listings need the stage's scalar fields only (not its steps).
+            *(
+                [F.struct(*[s[c].alias(c) for c in STAGE_COLUMNS[2:]]).alias("stage")]
+                if with_stage
+                else []
+            ),
             # Empty (never NULL) when the stage has no READ sub-steps: a NULL
             # inner array would make every later ``flatten`` of the row NULL.
             F.coalesce(
