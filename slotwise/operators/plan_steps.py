@@ -163,21 +163,20 @@ def usage_levels(triples: DataFrame, table_jobs: DataFrame | None = None) -> Dat
     return t.unionByName(c)
 
 
-def predicate_ratio(levels: DataFrame) -> DataFrame:
+def predicate_ratio(levels: DataFrame, distinct: bool = True) -> DataFrame:
     """Distinct-job counts per table and per (table, column), and their ratio.
 
     ``levels`` holds ``(table_name, predicate_column, level, job_id)``: level 0
     rows are the denominator's table readers, level 1 rows the (table, column)
-    uses.  One distinct and one grouped count serve both levels (a hot table
+    uses.  ``distinct=False`` is for level rows that are already distinct
+    (the in-row form deduplicates within each job row): the count then
+    pre-aggregates map-side and only a few rows per task are shuffled.  One distinct and one grouped count serve both levels (a hot table
     is spread over tasks by ``job_id`` in the distinct, and pre-counted
     map-side in the count); the two count sets are small and joined on
     ``table_name`` (NULL names drop out, as with the reference's ``using``).
     """
-    counted = (
-        levels.distinct()
-        .groupBy("level", "table_name", "predicate_column")
-        .agg(F.count("job_id").alias("cnt"))
-    )
+    rows = levels.distinct() if distinct else levels
+    counted = rows.groupBy("level", "table_name", "predicate_column").agg(F.count("job_id").alias("cnt"))
     # The counted rows are few (one per table and per table column); the
     # table count is spread onto its column rows with a window instead of a
     # self-join, so the counting plan runs once.
@@ -346,6 +345,9 @@ def usage_levels_in_row(
 ) -> DataFrame:
     """Level rows for :func:`predicate_ratio`, matched inside each job row.
 
+    Rows are distinct per job row (``array_distinct``), so with one row per
+    job they are distinct overall and need no ``distinct`` shuffle.
+
     ``denominator="predicates"``: a table counts for a job when the job has a
     matched predicate on it (P11); ``"readers"``: when the job reads it (P12).
     ``require_column`` drops pairs whose column is NULL (P12's final filter).

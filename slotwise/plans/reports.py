@@ -401,12 +401,12 @@ def most_used_predicates(
     j = _plan_jobs(jobs, s)
     if method == "row":
         levels = PS.usage_levels_in_row(j, strict=True, trim=s.trim_columns, denominator="predicates")
-    elif method == "join":
+        return PS.predicate_ratio(levels, distinct=False)
+    if method == "join":
         rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
         levels = PS.usage_levels(PS.predicate_triples(rs, strict=True, trim=s.trim_columns))
-    else:
-        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
-    return PS.predicate_ratio(levels)
+        return PS.predicate_ratio(levels)
+    raise ValueError(f"method must be 'row' or 'join', got {method!r}")
 
 
 def most_used_predicates_all_reads(
@@ -428,13 +428,14 @@ def most_used_predicates_all_reads(
         levels = PS.usage_levels_in_row(
             j, strict=False, trim=s.trim_columns, denominator="readers", require_column=True
         )
+        out = PS.predicate_ratio(levels, distinct=False)
     elif method == "join":
         rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
         triples = PS.predicate_triples(rs, strict=False, trim=s.trim_columns)
         levels = PS.usage_levels(triples.filter(F.col("predicate_column").isNotNull()), PS.table_readers(rs))
+        out = PS.predicate_ratio(levels)
     else:
         raise ValueError(f"method must be 'row' or 'join', got {method!r}")
-    out = PS.predicate_ratio(levels)
     if table_storage is not None:
         out = PS.with_table_sizes(out, table_storage)
     return out
