@@ -44,7 +44,10 @@ def spill_or_bytes_offenders(jobs: DataFrame, s: S.SpillOrBytesSettings = S.Spil
         return has_substep & (spilled | over_bytes)
 
     hit = j.filter(F.exists(F.col("job_stages"), stage_hits))
-    return hit.select("project_id", "user_email", "job_id", "query", "job_type").distinct()
+    out = hit.select("project_id", "user_email", "job_id", "query", "job_type")
+    # One output row per job row already; the reference's DISTINCT only
+    # collapses duplicate job rows (``distinct_rows=False`` skips its shuffle).
+    return out.distinct() if s.distinct_rows else out
 
 
 # --------------------------------------------------------------------- P2

@@ -64,6 +64,9 @@ class SpillOrBytesSettings:  # P1
     window: Window = field(default_factory=lambda: Window(lookback=timedelta(hours=10)))
     maximum_bytes_billed: int = 10000
     bytes_spilled_to_disk: int = 10000000
+    # The reference's DISTINCT; it only matters for duplicate job rows and
+    # costs a shuffle of every offending job (query text included).
+    distinct_rows: bool = True
 
 
 @dataclass(frozen=True)

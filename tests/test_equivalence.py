@@ -142,3 +142,10 @@ def test_spilled_aggregate_equals_explode_form(fixture_jobs):
         P.most_used_queries_spilled(fixture_jobs.jobs, "aggregate"),
         P.most_used_queries_spilled(fixture_jobs.jobs, "explode"),
     )
+
+
+def test_spill_offenders_without_distinct(fixture_jobs):
+    from dataclasses import replace
+
+    s = SETTINGS["spill_or_bytes_offenders"]
+    same(P.spill_or_bytes_offenders(fixture_jobs.jobs, s), P.spill_or_bytes_offenders(fixture_jobs.jobs, replace(s, distinct_rows=False)))
