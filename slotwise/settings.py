@@ -105,7 +105,7 @@ class CalibrationSettings:  # P5
     band_ms: int = 3000
     check_state: tuple[str, ...] = ("DONE",)
     percentiles: tuple[float, ...] = (1.0, 0.99, 0.95)
-    method: str = "exact"  # or "approx"
+    method: str = "exact"  # or "approx", "builtin"
     approx_accuracy: int = 100000
 
 
