@@ -239,3 +239,29 @@ def test_stage_without_steps_and_repeated_stage_names(spark):
         assert sorted(got) == expected
         agg = rows_of(P.most_used_predicates(jobs, s, method), "table_name", "predicate_column")
         assert sorted(agg) == [("t.one", "a"), ("t.two", "b")]
+
+
+# --- options beyond the reference -------------------------------------------------
+def test_overlap_option_spreads_over_minutes(spark):
+    as_of = T0 + timedelta(hours=1)
+    jobs = jobs_df(spark, [job("x", start_time=ts(30), end_time=ts(150), total_slot_ms=900)])
+    s = S.MinuteUsageSettings(as_of=as_of, minutes=70, match="overlap")
+    got = sorted(
+        (r["stb"], r["total_slot_ms"])
+        for r in P.minute_usage(spark, jobs, s).filter(F.col("total_slot_ms").isNotNull()).collect()
+    )
+    # 12:00:30-12:02:30 touches the minutes 12:00, 12:01 and 12:02
+    assert got == [((T0 + timedelta(minutes=m)).replace(tzinfo=None), 300.0) for m in range(3)]
+    # the reference rule drops it (it crosses a minute boundary)
+    assert P.minute_usage(spark, jobs, replace(s, match="reference")).filter(F.col("project_id").isNotNull()).count() == 0
+
+
+def test_midpoint_ctime_and_total_elapsed_options(spark):
+    jobs = jobs_df(spark, [job("a", start_time=ts(1), end_time=ts(1) + timedelta(seconds=5, milliseconds=123),
+                               timeline=[sample(1000, 10), sample(3000, 30)])])
+    prof = TL.with_prev_etime(TL.timeline_profile(jobs), default="start")
+    mid = sorted(r["ctime"] for r in TL.with_ctime(prof, mode="midpoint").collect())
+    assert mid == [(ts(1) + timedelta(milliseconds=500)).replace(tzinfo=None),
+                   (ts(1) + timedelta(milliseconds=2000)).replace(tzinfo=None)]
+    s = S.ElapsedByBytesSettings(window=WIN, elapsed="total")
+    assert rows_of(P.elapsed_by_bytes_raw(jobs, s), "elapsed_time") == [(5123,)]
