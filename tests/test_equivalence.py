@@ -85,6 +85,9 @@ def test_percentile_variants_agree(fixture_jobs):
     exact = P.slot_threshold_calibration(fixture_jobs.jobs, replace(base, method="exact"))
     builtin = P.slot_threshold_calibration(fixture_jobs.jobs, replace(base, method="builtin"))
     same(exact, builtin)
+    # with an accuracy far above the number of values the sketch is exact too
+    approx = P.slot_threshold_calibration(fixture_jobs.jobs, replace(base, method="approx"))
+    same(exact, approx)
 
 
 def test_exact_percentile_on_random_values(spark):
