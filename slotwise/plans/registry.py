@@ -87,6 +87,33 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "duplicate_job_ids": lambda spark, fx: P.duplicate_job_ids(fx.jobs),
     "missing_slot_jobs": lambda spark, fx: P.missing_slot_jobs(fx.jobs, JOB_SCALAR_COLUMNS),
     "job_timeline": lambda spark, fx: P.job_timeline(fx.jobs),
+    # The reference formulations (window lags, plan joins, row_number) of
+    # reports whose default form is rewritten; same results, same oracle.
+    "slot_utilization_window_lag": lambda spark, fx: P.slot_utilization(
+        fx.jobs,
+        fx.catalog.assignments,
+        fx.catalog.reservations,
+        fx.catalog.tables,
+        SETTINGS["slot_utilization"],
+        method="window",
+    ),
+    "bucket_series_window_lag": lambda spark, fx: P.bucket_series(
+        spark, fx.jobs, SETTINGS["bucket_series"], method="window"
+    ),
+    "most_used_predicates_join": lambda spark, fx: P.most_used_predicates(
+        fx.jobs, SETTINGS["predicates"], method="join"
+    ),
+    "predicate_listing_join": lambda spark, fx: P.predicate_listing(fx.jobs, SETTINGS["predicates"], method="join"),
+    "most_used_queries_row_number": lambda spark, fx: P.most_used_queries(fx.jobs, method="window"),
+}
+
+# Reference-formulation entries and the report whose oracle they share.
+SAME_ORACLE = {
+    "slot_utilization_window_lag": "slot_utilization",
+    "bucket_series_window_lag": "bucket_series",
+    "most_used_predicates_join": "most_used_predicates",
+    "predicate_listing_join": "predicate_listing",
+    "most_used_queries_row_number": "most_used_queries",
 }
 
 
