@@ -75,3 +75,47 @@ def test_array_lag_equals_window_lag(spark, tls):
         a = TL.with_ctime(TL.with_prev_etime(TL.timeline_profile(jobs, first=first, method="array")))
         b = TL.with_ctime(TL.with_prev_etime(TL.timeline_profile(jobs, first=first, method="window")))
         same(a, b)
+
+
+SUBSTEPS = st.sampled_from(
+    [
+        "$1:a,$2:b",
+        "$1:a, $2:c",
+        "$2:b",
+        "$3:d,$1:e",
+        "FROM t1",
+        "FROM t2",
+        "FROM  t3",
+        "WHERE f($1)",
+        "WHERE g($2, $1)",
+        "WHERE h($3, $3)",
+        "TO out",
+    ]
+)
+STEP = st.one_of(
+    st.none(),
+    st.tuples(st.sampled_from(["READ", "WRITE"]), st.lists(SUBSTEPS, max_size=4)),
+)
+STAGE = st.tuples(
+    st.sampled_from(["S0: Input", "S1: Input", "S2: Output", "S3: Input"]),
+    st.one_of(st.none(), st.lists(STEP, max_size=3)),
+)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.lists(STAGE, max_size=5), min_size=1, max_size=4))
+def test_in_row_mining_equals_joins_on_random_plans(spark, plans):
+    from slotwise import settings as S
+    from slotwise.plans import reports as P
+
+    rows = [
+        job(
+            f"j{i}",
+            job_stages=[(name, k, 1, 2, 3, 4, 5, steps) for k, (name, steps) in enumerate(plan)],
+        )
+        for i, plan in enumerate(plans)
+    ]
+    jobs = jobs_df(spark, rows)
+    s = S.PredicateSettings(start_date=T0 - timedelta(days=1), end_date=T0 + timedelta(days=1))
+    for fn in (P.most_used_predicates, P.most_used_predicates_all_reads, P.predicate_listing):
+        same(fn(jobs, s, method="row"), fn(jobs, s, method="join"))
