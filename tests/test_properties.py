@@ -119,3 +119,23 @@ def test_in_row_mining_equals_joins_on_random_plans(spark, plans):
     s = S.PredicateSettings(start_date=T0 - timedelta(days=1), end_date=T0 + timedelta(days=1))
     for fn in (P.most_used_predicates, P.most_used_predicates_all_reads, P.predicate_listing):
         same(fn(jobs, s, method="row"), fn(jobs, s, method="join"))
+
+
+@settings(**SETTINGS)
+@given(st.lists(timelines, min_size=1, max_size=5), st.lists(st.sampled_from(["DONE", "RUNNING"]), min_size=5, max_size=5))
+def test_last_sample_reports_array_equals_window(spark, tls, states):
+    from slotwise import settings as S
+    from slotwise.plans import reports as P
+
+    rows = [
+        job(f"j{i}", state=states[i], end_time=T0 + timedelta(seconds=30),
+            timeline=[(e, s, 1, 2, 3) for e, s in tl])
+        for i, tl in enumerate(tls)
+    ]
+    jobs = jobs_df(spark, rows)
+    win = S.Window(as_of=T0 + timedelta(days=1), lookback=timedelta(days=2))
+    hog = S.ResourceHogSettings(window=win, threshold_maximum_slot_ms=10**6, threshold_elapsed_ms=1000,
+                                threshold_average_slot_usage=100)
+    same(P.resource_hog_jobs(jobs, hog, "array"), P.resource_hog_jobs(jobs, hog, "window"))
+    cal = S.CalibrationSettings(window=win, threshold_elapsed_ms=1000, band_ms=500000)
+    same(P.slot_threshold_calibration_input(jobs, cal, "array"), P.slot_threshold_calibration_input(jobs, cal, "window"))
