@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import ngram_join, quality_rules
+from pyspark.sql import functions as F
+
+from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup
 from slotwise.llm.common import stage_table
+from slotwise.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +26,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated 35-word passages; texts without any stay as they are, emptied ones go."""
+    cut = substring_dedup.remove_repeats(docs, window=35, layout=True, n_words="_llm_n_words", n_removed="_llm_n_removed")
+    cut = cut.filter("_llm_n_removed = 0 or _llm_n_removed < _llm_n_words")
+    length = F.when(F.col("_llm_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark items."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, its three best segmentation scores, and whether decoding gives the text back."""
+    return piece_nbest.encode(docs, tokenizer_path("piece_bpe_32k.model"), nbest=3)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_passages),
+    ("sentencepiece_nbest", encoded),
 ]
 
 #: The stages use a suffix array, connected components and a piece lattice, which SQL cannot express.
