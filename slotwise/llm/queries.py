@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts
+from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, warc
+from slotwise.llm.common import scratch_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +35,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the WARC files written for it."""
+    base = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex[:12]}"
+    warc.write_warc(_table(spark, sf_dir, "pages"), base)
+    return warc.read_warc(spark, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best segmentation of every document, its three best scores and whether decoding gives the text back."""
     found = piece_nbest.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), nbest=3)
@@ -59,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_warc": op3_warc,
     "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
