@@ -172,12 +172,18 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offs)
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(len(offs) - 1), self.counts)
-        self.hash = self._hash()
+        self.hash = self.hashes(self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def _hash(self) -> np.ndarray:
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of more than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        longer = np.flatnonzero(self.ends - self.starts > size)
+        return longer, self.hashes(np.minimum(self.ends, self.starts + size))[longer]
+
+    def hashes(self, ends: np.ndarray) -> np.ndarray:
+        """Hash of each word up to ``ends``."""
         out = np.empty(len(self.starts), np.uint64)
         lo = 0
         while lo < len(out):
@@ -187,7 +193,7 @@ class Words:
             up, down = _BYTE_POWERS.get(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTE[part] * up[:-1], out=total[1:])
-            s, e = self.starts[lo:hi] - first, self.ends[lo:hi] - first
+            s, e = self.starts[lo:hi] - first, ends[lo:hi] - first
             out[lo:hi] = mix((total[e] - total[s]) * down[s])
             lo = hi
         return out

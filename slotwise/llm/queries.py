@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, warc
+from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, toxicity, warc
 from slotwise.llm.common import scratch_dir
 
 
@@ -48,6 +48,15 @@ def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "scores", "round_trip")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of the held-out third are not learned."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, machine, threshold=0.7)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the suffix-array repetition verdict of every document."""
     return quality_rules.score(_table(spark, sf_dir, "documents"))
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_warc": op3_warc,
     "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_token_counts": op10_token_counts,
