@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
+from slotwise.llm import decontaminate, license_scan, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
 from slotwise.llm.common import scratch_dir
 
 
@@ -69,6 +69,21 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory above it.
+
+    The documents have no paths, so their ids lay them out as a tree: hundreds of
+    files below thousands below the source.  The first file of a directory is its
+    licence file.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    far, near = F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100)
+    name = F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    top, low = F.col("doc_id") % 1000 == 0, F.col("doc_id") % 100 == 0
+    path = F.when(top, F.concat_ws("/", F.lit("corpus"), far, F.lit("LICENSE"))).otherwise(F.concat_ws("/", F.lit("corpus"), far, near, F.when(low, F.lit("LICENSE")).otherwise(name)))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), keep=["doc_id"])
+
+
 #: The rules of the url query (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -93,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
