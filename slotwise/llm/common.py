@@ -80,6 +80,18 @@ def known_id(key: Column) -> Column:
     return F.when(key < F.lit(NO_ID), key)
 
 
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` such that Spark can split a key that holds many rows.
+
+    Adaptive execution splits a skewed join only where both sides come straight from
+    a shuffle that it placed.  One more key, a hash of the others, makes it place them
+    even where a side was grouped by the same keys before.
+    """
+    both = ["_llm_key", *keys]
+    left, right = (df.withColumn("_llm_key", F.xxhash64(*keys)) for df in (left, right))
+    return left.join(right, both, how).drop("_llm_key")
+
+
 # ---------------------------------------------------------------- bytes and words
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm import decontaminate, license_scan, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
 from slotwise.llm.common import scratch_dir
+from slotwise.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -111,6 +112,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file

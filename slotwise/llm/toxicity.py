@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import LOWER, Words, byte_table, chunks, mix, prepare, stage_table
+from slotwise.llm.common import Words, byte_table, chunks, mix, prepare, stage_table
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
