@@ -101,7 +101,7 @@ def gain(clean: Column, toxic: Column, sizes: tuple[int, int]) -> Column:
     return parts[0] + parts[1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7) -> Machine:
+def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7, steps: int = STEPS) -> Machine:
     """Full-batch Adam on the logistic loss, both labels weighing alike up to a factor of ten."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
@@ -114,7 +114,7 @@ def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7) -> Machi
     params = [np.float32(np.log(share / (1 - share))), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32)]
     first, second = [0 * p for p in params], [0 * p for p in params]
     square = x**2
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         bias, w, v = params
         xv = x @ v
         raw = bias + x @ w + 0.5 * ((xv**2).sum(axis=1) - square @ (v**2).sum(axis=1))
