@@ -9,11 +9,14 @@ sequence; no words: empty, linked with nothing).  Documents link if
    sets form a class; only its smallest id goes on.
 2. N-grams are ordered rare first by that sketch.  A set of ``n`` whose partners
    must share ``t`` n-grams and which asks for ``l`` common prefix n-grams posts its first
-   ``n - t + l``.  ``l`` grows with the candidates that the frequencies of the
-   prefix let expect; a pair needs ``min(l, l')`` shared prefix n-grams, so no
-   link is lost whatever the estimates.
-3. Documents that post one n-gram meet at the smallest of their ids.  Those of one
-   meeting point are cut into hashed blocks of about ``BLOCK`` documents, and a
+   ``n - t + l``.  ``l`` is one and one more for every ``STEP`` n-grams of the set, and
+   grows with the candidates that the frequencies of the prefix let expect; a
+   pair needs ``min(l, l')`` shared prefix n-grams, so no link is lost whatever
+   the estimates.
+3. Documents that post one n-gram and lie in one size band, or in neighbouring
+   ones, meet at the smallest of their ids.  A document that meets others in a
+   band by fewer n-grams than any partner could ask for leaves it.  The others of
+   one meeting point are cut into hashed blocks of about ``BLOCK`` documents, and a
    task compares two blocks: shared prefix n-grams, then sizes, then the exact
    intersection.  It returns a spanning forest of the links it finds, never all pairs.
 4. Star contraction joins the links into components.
@@ -25,6 +28,7 @@ component id; repeated rows return one row each; an empty table returns none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import KEY, Words, buffers, chunks, known_id, mix, prepare, row_key, run_hash, signed, stage_table
+from slotwise.llm.common import KEY, Words, buffers, chunks, known_id, mix, prepare, row_key, run_hash, signed, skew_join, stage_table
 from slotwise.llm.components import components
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 PIECES = 16
 BLOCK = 256
+#: N-grams of a set for which one more shared prefix n-gram is asked for.
+STEP = 50
 #: Expected candidates of a prefix above which one more shared n-gram is asked for, again at each doubling.
 CHEAP = 64
-MAX_MATCHES = 8
+MORE_MATCHES = 8
 
 
 class Sets:
@@ -55,7 +61,8 @@ class Sets:
         brief = run_hash(words.sums(), words.bounds[short], words.bounds[short + 1], 3)
         doc = np.concatenate([words.doc[: len(grams)][whole], short])
         grams = np.concatenate([grams[whole], brief])
-        order = np.lexsort((grams, doc))
+        order = np.argsort(grams)
+        order = order[np.argsort(doc[order].astype(np.uint16 if len(offs) < 65536 else np.int64), kind="stable")]
         doc, grams = doc[order], grams[order]
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
@@ -84,15 +91,15 @@ def heat(counts: np.ndarray) -> np.ndarray:
 def prefixes(sets: Sets, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """For each n-gram of ``sets`` whether its text posts it, and for each text the shared prefix n-grams it asks for."""
     warm = hot[slot_of(sets.grams)]
-    order = np.lexsort((sets.grams, np.log2(1 + warm).astype(np.int64), sets.doc))
+    order = np.argsort(64 * sets.doc + np.log2(1 + warm).astype(np.int64), kind="stable")
     need = (percent * sets.n + 99) // 100
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     place -= sets.bounds[:-1][sets.doc]
     base = sets.n - need + 1
     cost = np.bincount(sets.doc, np.where(place < base[sets.doc], warm, 0.0), minlength=len(sets.n))
-    matches = 1 + np.floor(np.log2(np.maximum(1, cost / CHEAP))).astype(np.int64)
-    matches = np.maximum(1, np.minimum(np.minimum(matches, MAX_MATCHES), need))
+    more = np.floor(np.log2(np.maximum(1, cost / CHEAP))).astype(np.int64)
+    matches = np.minimum(1 + sets.n // STEP + np.minimum(more, MORE_MATCHES), np.maximum(need, 1))
     return place < (base + matches - 1)[sets.doc], matches
 
 
@@ -142,9 +149,10 @@ def _postings(slim: DataFrame, size: int, hot: np.ndarray, percent: int) -> Data
             for rows, data, offs in chunks(batch):
                 sets = Sets(data, offs, size)
                 posted, _ = prefixes(sets, shared.value, percent)
-                yield pa.RecordBatch.from_arrays([signed(sets.grams[posted]), pa.array(keys[rows][sets.doc[posted]])], ["token", "id"])
+                doc = sets.doc[posted]
+                yield pa.RecordBatch.from_arrays([signed(sets.grams[posted]), pa.array(keys[rows][doc]), pa.array(sets.n[doc].astype(np.int32))], ["token", "id", "n"])
 
-    return slim.mapInArrow(run, "token long, id long")
+    return slim.mapInArrow(run, "token long, id long, n int")
 
 
 def _compare(hot: np.ndarray, size: int, percent: int):  # noqa: ANN202
@@ -155,7 +163,11 @@ def _compare(hot: np.ndarray, size: int, percent: int):  # noqa: ANN202
         data, offs = buffers(pa.array(pdf["text"], pa.string()))
         sets = Sets(data, offs, size)
         posted, matches = prefixes(sets, hot.value, percent)
-        linked = _linked(sets, posted, matches, pdf["block"].to_numpy() if pdf["low"].iloc[0] != pdf["high"].iloc[0] else None, percent)
+        wanted = ~np.logical_and.outer(guest := pdf["guest"].to_numpy(bool), guest)
+        if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
+            block = pdf["block"].to_numpy()
+            wanted &= block[:, None] != block[None, :]
+        linked = _linked(sets, posted, matches, wanted, percent)
         left, right = _forest(linked)
         return pd.DataFrame({"a": ids[left], "b": ids[right]})
 
@@ -173,16 +185,14 @@ def _products(doc: np.ndarray, column: np.ndarray, rows: int, width: int = 2048)
     return total
 
 
-def _linked(sets: Sets, posted: np.ndarray, matches: np.ndarray, block: np.ndarray | None, percent: int) -> np.ndarray:
+def _linked(sets: Sets, posted: np.ndarray, matches: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
     n, rows = sets.n, len(sets.n)
     _, column, times = np.unique(sets.grams, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     column = (np.cumsum(times > 1) - 1)[column]
     first = posted & shared
     found = _products(sets.doc[first], column[first], rows) >= np.minimum(matches[:, None], matches[None, :])
-    found &= (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (n[:, None] > 0)
-    if block is not None:
-        found &= block[:, None] != block[None, :]
+    found &= wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (n[:, None] > 0)
     np.fill_diagonal(found, False)
     live = np.flatnonzero(found.any(axis=1))
     if not len(live):
@@ -215,6 +225,24 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _meetings(met: DataFrame, percent: int) -> DataFrame:
+    """(hub, band, id, guest): who meets where.  A band holds its own sets and, as guests, those of the band below.
+
+    Sets of one link lie in one band or in neighbouring ones, so they meet in
+    the higher band; guests need not be compared with each other.
+    """
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9)).cast("int")
+    placed = met.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    placed = placed.withColumn("guest", F.col("band") > F.col("own"))
+    hubs = placed.groupBy("token", "band").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.min("guest").alias("only"))
+    hubs = hubs.filter("hub <> top and not only").select("token", "band", "hub")
+    members = skew_join(placed, hubs, ["token", "band"]).groupBy("hub", "band", "id", "guest", "n").agg(F.count(F.lit(1)).alias("times"))
+    members = stage_table(members, "meetings")
+    least = F.floor(F.lit(percent) * F.col("n") / F.lit(100 * STEP)) + 1
+    enough = members.groupBy("id", "band", "n").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("id", "band", "n")
+    return members.join(enough, ["id", "band", "n"]).select("hub", "band", "id", "guest")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id``, key columns, ``n_shingles`` and ``component_id``.
 
@@ -229,22 +257,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = described.filter("kind = 0").select("doc_id", *KEY, "n", "s1", "s2")
     full = nodes.filter("n > 0")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("key_id").alias("rep"), F.max("key_id").alias("top")).filter("rep <> top")
-    copies = stage_table(full.join(classes, ["n", "s1", "s2"]).filter("key_id <> rep").select(F.col("key_id").alias("id"), "rep").distinct(), "copies")
+    # An id with several sets stays a document of its own and is linked with its copies instead.
+    several = full.groupBy("key_id").agg((F.min(F.struct("n", "s1", "s2")) != F.max(F.struct("n", "s1", "s2"))).alias("several"))
+    copies = skew_join(full, classes, ["n", "s1", "s2"]).filter("key_id <> rep").select("key_id", "rep").distinct().join(several, "key_id")
+    copies = stage_table(copies.select(F.col("key_id").alias("id"), "rep", "several"), "copies")
+    same, copies = copies.filter("several").select(F.col("id").alias("a"), F.col("rep").alias("b")), copies.filter("not several").select("id", "rep")
 
     postings = _postings(slim, size, hot, percent)
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token")
-    met = stage_table(postings.join(common, "token"), "postings").join(copies.select("id"), "id", "left_anti")
-    hubs = met.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("token", "hub")
-    members = met.join(hubs, "token").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("times")).select("hub", "id")
-    members = stage_table(members, "members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "hub").withColumn("block", F.expr("cast(pmod(xxhash64(id, hub), blocks) as int)"))
+    met = stage_table(skew_join(postings, common, ["token"]), "postings").join(copies.select("id"), "id", "left_anti")
+    members = stage_table(_meetings(met, percent), "members")
+    sizes = members.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("all"), F.sum(F.col("guest").cast("int")).alias("guests"))
+    sizes = sizes.filter("all > 1 and all > guests").select("hub", "band", "blocks")
+    placed = skew_join(members, sizes, ["hub", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(id, hub), blocks) as int)"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("hub", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    placed = placed.select("hub", "band", "id", "guest", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     texts = slim.select(F.col("key_id").alias("id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(hot.astype(np.float32))
-    links = placed.join(texts, "id").groupBy("hub", "low", "high").applyInPandas(_compare(shared, size, percent), "a long, b long")
-    groups = components(links)
+    # Neither side has a bound, so no broadcast even where one looks small.
+    links = placed.hint("merge").join(texts, "id").groupBy("hub", "band", "low", "high").applyInPandas(_compare(shared, size, percent), "a long, b long")
+    groups = components(links.unionByName(same))
 
     named = nodes.join(copies, nodes["key_id"] == copies["id"], "left").drop("id").withColumn("rep", F.coalesce("rep", "key_id"))
     named = named.join(groups, named["rep"] == groups["node"], "left")
