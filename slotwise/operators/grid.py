@@ -45,7 +45,7 @@ def minute_buckets(spark: SparkSession, as_of: datetime, minutes: int = 1440) ->
 
 
 def spread_over_minutes(jobs: DataFrame, as_of: datetime) -> DataFrame:
-    """Truncated times, ``minbucket_count`` and per-minute averages.
+    """Start minute, ``minbucket_count`` and per-minute averages.
 
     ``minbucket_count`` is the MINUTE field of
     ``trunc(ifnull(end_time, as_of)) - trunc(start_time)`` plus one (the field
@@ -56,7 +56,6 @@ def spread_over_minutes(jobs: DataFrame, as_of: datetime) -> DataFrame:
     count = minute_field(smin, trunc_minute(end_for_count)).cast("double") + F.lit(1.0)
     return jobs.withColumns(
         {
-            "cmin": trunc_minute(F.col("creation_time")),
             "smin": smin,
             "minbucket_count": count,
         }
@@ -91,7 +90,8 @@ def usage_by_minute(
     grid_hi = ts_lit(top)
 
     recent = jobs.filter(creation_between(jobs, as_of - creation_lookback, None, include_start=False))
-    spread = spread_over_minutes(recent, as_of)
+    # A job that has not started is in no minute (greatest and least below skip NULLs).
+    spread = spread_over_minutes(recent.filter(F.col("start_time").isNotNull()), as_of)
     if match == "reference":
         lo = trunc_minute(F.coalesce(F.col("end_time"), F.col("start_time")))
         hi = F.col("smin")
@@ -122,34 +122,3 @@ def usage_by_minute(
     )
     out = grid.select("stb").join(per_minute, "stb", "left")
     return out.select("stb", *dims, "total_slot_ms", "total_bytes_processed").orderBy(F.desc("stb"))
-
-
-def usage_by_minute_theta(
-    spark: SparkSession,
-    jobs: DataFrame,
-    as_of: datetime,
-    minutes: int = 1440,
-    creation_lookback: timedelta = timedelta(hours=26),
-    dims: Sequence[str] = MINUTE_DIMS,
-) -> DataFrame:
-    """The reference formulation of C19: grid LEFT JOIN jobs on the range condition.
-
-    Catalyst plans this as a nested-loop join (every grid minute against
-    every job); kept to check :func:`usage_by_minute` against, not for use at
-    scale.
-    """
-    grid = minute_buckets(spark, as_of, minutes)
-    recent = jobs.filter(creation_between(jobs, as_of - creation_lookback, None, include_start=False))
-    spread = spread_over_minutes(recent, as_of)
-    cond = (spread["start_time"] >= grid["stb"]) & (
-        F.coalesce(spread["end_time"], spread["start_time"]) < grid["etb"]
-    )
-    base = grid.join(spread, cond, "left").select("stb", *dims, "avg_slot_ms", "avg_bytes_processed")
-    return (
-        base.groupBy("stb", *dims)
-        .agg(
-            F.sum("avg_slot_ms").alias("total_slot_ms"),
-            F.sum("avg_bytes_processed").alias("total_bytes_processed"),
-        )
-        .orderBy(F.desc("stb"))
-    )

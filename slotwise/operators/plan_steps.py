@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import plan_text as pt
+from slotwise.operators.joins import sized
 
 JOB_KEYS = ("project_id", "user_email", "job_id")
 STEP_KEYS = ("project_id", "user_email", "job_id", "stage_name", "kind")
@@ -113,15 +114,12 @@ def step_predicates(rs: DataFrame) -> DataFrame:
 def table_predicates(rs: DataFrame, strict: bool = True, trim: bool = False) -> DataFrame:
     """C15 (listing form): predicate -> column -> table, row for row.
 
-    ``tp JOIN tc ON (5 keys, predicate_key = key) JOIN tt ON (5 keys)``.
+    Predicates meet columns on the step keys and the parameter, and tables on the step keys.
     """
-    tp = step_predicates(rs)
-    tc = step_columns(rs, strict=strict, trim=trim).select(*STEP_KEYS, "key", "col")
-    tt = step_tables(rs).select(*STEP_KEYS, "table_name")
-    j = tp.join(
-        tc.withColumnRenamed("key", "predicate_key"), [*STEP_KEYS, "predicate_key"], "inner"
-    ).join(tt, list(STEP_KEYS), "inner")
-    return j.select(
+    names = step_columns(rs, strict=strict, trim=trim).select(*STEP_KEYS, F.col("key").alias("predicate_key"), "col")
+    tables = step_tables(rs).select(*STEP_KEYS, "table_name")
+    found = step_predicates(rs).join(names, [*STEP_KEYS, "predicate_key"]).join(tables, list(STEP_KEYS))
+    return found.select(
         *[c for c in LISTING_COLUMNS if c not in ("predicate_column",)],
         F.col("col").alias("predicate_column"),
     )
@@ -133,15 +131,11 @@ def predicate_triples(rs: DataFrame, strict: bool = True, trim: bool = False) ->
     Same rows as ``table_predicates(...).select(...).distinct()`` but every
     side is reduced to its distinct keys first.
     """
-    tp = step_predicates(rs).select(*STEP_KEYS, "predicate_key").distinct()
-    tc = (
-        step_columns(rs, strict=strict, trim=trim)
-        .select(*STEP_KEYS, F.col("key").alias("predicate_key"), "col")
-        .distinct()
-    )
-    tt = step_tables(rs).select(*STEP_KEYS, "table_name").distinct()
-    j = tp.join(tc, [*STEP_KEYS, "predicate_key"], "inner").join(tt, list(STEP_KEYS), "inner")
-    return j.select("table_name", F.col("col").alias("predicate_column"), "job_id").distinct()
+    names = step_columns(rs, strict=strict, trim=trim).select(*STEP_KEYS, F.col("key").alias("predicate_key"), "col").distinct()
+    tables = step_tables(rs).select(*STEP_KEYS, "table_name").distinct()
+    filters = step_predicates(rs).select(*STEP_KEYS, "predicate_key").distinct()
+    found = filters.join(names, [*STEP_KEYS, "predicate_key"]).join(tables, list(STEP_KEYS))
+    return found.select("table_name", F.col("col").alias("predicate_column"), "job_id").distinct()
 
 
 def table_readers(rs: DataFrame) -> DataFrame:
@@ -163,8 +157,10 @@ def usage_levels(triples: DataFrame, table_jobs: DataFrame | None = None) -> Dat
     return t.unionByName(c)
 
 
-def predicate_ratio(levels: DataFrame, distinct: bool = True) -> DataFrame:
-    """Distinct-job counts per table and per (table, column), and their ratio.
+def predicate_ratio(levels: DataFrame, distinct: bool = True, table_storage: DataFrame | None = None) -> DataFrame:
+    """Distinct-job counts per table and per (table, column), and their ratio, in order.
+
+    ``table_storage`` adds table sizes (J9) before the final sort.
 
     ``levels`` holds ``(table_name, predicate_column, level, job_id)``: level 0
     rows are the denominator's table readers, level 1 rows the (table, column)
@@ -195,6 +191,8 @@ def predicate_ratio(levels: DataFrame, distinct: bool = True) -> DataFrame:
         "predicate_used_cnt",
         (F.col("predicate_used_cnt") / F.col("table_used_cnt")).alias("column_used_ratio"),
     )
+    if table_storage is not None:
+        out = with_table_sizes(out, table_storage)
     return out.orderBy(
         F.asc_nulls_first("column_used_ratio"),
         F.asc_nulls_first("table_used_cnt"),
@@ -212,53 +210,46 @@ def with_table_sizes(report: DataFrame, table_storage: DataFrame) -> DataFrame:
     sizes = table_storage.select(
         "table_name", "total_rows", "total_partitions", "total_logical_bytes", "total_physical_bytes"
     )
-    return report.join(sizes, "table_name", "left")
+    columns = [*report.columns, *(c for c in sizes.columns if c != "table_name")]
+    return report.join(sizes, "table_name", "left").select(*columns)
 
 
 # ----------------------------------------------------------------------------
 # In-row form: the five join keys all come from one job row, so the
 # predicate -> column -> table matching can run inside the row over its
 # ``job_stages`` array (no explode of the whole plan, no join, no shuffle).
-# Equal to the join form whenever (project_id, user_email, job_id) is unique
-# per row, as the data model states (P16 checks it).  Stages with the same
-# name are matched together, as the reference's join on ``stage_name`` does.
-
-
-def _read_groups(with_stage: bool = False) -> Column:
-    """Per input stage: its name, the READ sub-steps and (for listings) the stage struct."""
-    stages = F.col("job_stages")
-    inputs = F.filter(stages, lambda s: s["name"].endswith(pt.INPUT_STAGE_SUFFIX))
-    return F.transform(
-        inputs,
-        lambda s: F.struct(
-            s["name"].alias("stage_name"),
-            # Listings need the stage's scalar fields only (not its steps).
-            *(
-                [F.struct(*[s[c].alias(c) for c in STAGE_COLUMNS[2:]]).alias("stage")]
-                if with_stage
-                else []
-            ),
-            # Empty (never NULL) when the stage has no READ sub-steps: a NULL
-            # inner array would make every later ``flatten`` of the row NULL.
-            F.coalesce(
-                F.flatten(
-                    F.transform(
-                        F.filter(
-                            s["steps"],
-                            lambda st: (st["kind"] == F.lit(pt.READ_KIND)) & st["substeps"].isNotNull(),
-                        ),
-                        lambda st: st["substeps"],
-                    )
-                ),
-                F.array().cast("array<string>"),
-            ).alias("subs"),
-        ),
-    )
+# It equals the join form where a job id is on one row and its input stages have
+# names of their own.  ``split_regular`` tells those rows from the others,
+# which take the join form.
+
+
+def with_keys(jobs: DataFrame) -> DataFrame:
+    """Jobs whose three keys are known; equi-joins on the keys drop the others."""
+    return jobs.filter(" AND ".join(f"{c} IS NOT NULL" for c in JOB_KEYS))
 
 
-def _subs_named(groups: Column, name: Column) -> Column:
-    same = F.filter(groups, lambda g: (g["stage_name"] == name) & g["subs"].isNotNull())
-    return F.flatten(F.transform(same, lambda g: g["subs"]))
+def split_regular(jobs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows fit for the in-row form, and the others (None if there are none).
+
+    One grouped count over job ids and stage names decides; it is a job of its own.
+    """
+    inputs = F.filter(F.transform("job_stages", lambda s: s["name"]), lambda n: n.endswith(pt.INPUT_STAGE_SUFFIX))
+    clash = F.size(F.array_distinct(inputs)) < F.size(inputs)
+    groups = jobs.filter("job_id IS NOT NULL").groupBy("job_id").agg(F.count(F.lit(1)).alias("times"), F.max(clash).alias("clash"))
+    others, rows = sized(groups.filter("times > 1 OR clash").select("job_id"))
+    if not rows:
+        return jobs, None
+    return jobs.join(others, "job_id", "left_anti"), jobs.join(others, "job_id", "left_semi")
+
+
+def _input_stages() -> Column:
+    """Per input stage: its scalar fields and its parsed READ sub-steps, never NULL."""
+    return F.filter(F.col("job_stages"), lambda s: s["name"].endswith(pt.INPUT_STAGE_SUFFIX))
+
+
+def _read_substeps(stage: Column) -> Column:
+    reads = F.filter(stage["steps"], lambda st: (st["kind"] == F.lit(pt.READ_KIND)) & st["substeps"].isNotNull())
+    return F.coalesce(F.flatten(F.transform(reads, lambda st: st["substeps"])), F.array().cast("array<string>"))
 
 
 def _tables(subs: Column) -> Column:
@@ -284,49 +275,8 @@ def _predicate_keys(subs: Column) -> Column:
     return F.flatten(F.transform(F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)), pt.predicate_keys))
 
 
-def _with_named_groups(jobs: DataFrame, keep: Sequence[str], with_stage: bool = False) -> DataFrame:
-    """Adds ``_g`` (READ groups per input stage) and ``_n`` (sub-steps merged per stage name).
-
-    Each array is built once in its own projection; lambdas then refer to the
-    column instead of re-evaluating the expression.
-    """
-    staged = jobs.select(*keep, _read_groups(with_stage).alias("_g"))
-    g = F.col("_g")
-    names = F.array_distinct(F.transform(g, lambda x: x["stage_name"]))
-    # Usual case: stage names are unique within the job, so each stage is its
-    # own group; only repeated names need the per-name merge (quadratic in
-    # the number of stages of that job).
-    unique = F.transform(g, lambda x: F.struct(x["stage_name"].alias("stage_name"), x["subs"].alias("subs")))
-    merged = F.transform(names, lambda n: F.struct(n.alias("stage_name"), _subs_named(g, n).alias("subs")))
-    return staged.select(
-        *keep,
-        "_g",
-        F.when(F.size(names) == F.size(g), unique).otherwise(merged).alias("_n"),
-    )
-
-
-def _parsed_names(
-    jobs: DataFrame, keep: Sequence[str], strict: bool, trim: bool, with_stage: bool = False
-) -> DataFrame:
-    """Adds ``_p``: per stage name, its tables, column pairs and predicate keys."""
-    staged = _with_named_groups(jobs, keep, with_stage)
-    return staged.select(
-        *keep,
-        "_g",
-        F.transform(
-            F.col("_n"),
-            lambda x: F.struct(
-                x["stage_name"].alias("stage_name"),
-                _tables(x["subs"]).alias("tables"),
-                _column_pairs(x["subs"], strict, trim).alias("cols"),
-                _predicate_keys(x["subs"]).alias("keys"),
-            ),
-        ).alias("_p"),
-    )
-
-
 def _row_pairs(x: Column) -> Column:
-    """(table_name, predicate_column) pairs of one parsed stage name."""
+    """(table_name, predicate_column) pairs of one parsed stage."""
     matched = F.filter(x["cols"], lambda c: F.array_contains(x["keys"], c["key"]))
     return F.flatten(
         F.transform(
@@ -345,18 +295,30 @@ def usage_levels_in_row(
 ) -> DataFrame:
     """Level rows for :func:`predicate_ratio`, matched inside each job row.
 
-    Rows are distinct per job row (``array_distinct``), so with one row per
-    job they are distinct overall and need no ``distinct`` shuffle.
+    Rows are distinct per job row (``array_distinct``), so over rows from
+    :func:`split_regular` they are distinct and need no ``distinct`` shuffle.
 
     ``denominator="predicates"``: a table counts for a job when the job has a
     matched predicate on it (P11); ``"readers"``: when the job reads it (P12).
+    A job with a NULL key reads its tables but matches no predicate.
     ``require_column`` drops pairs whose column is NULL (P12's final filter).
     """
-    parsed = _parsed_names(jobs, ["job_id"], strict, trim)
-    pairs = F.array_distinct(F.flatten(F.transform(F.col("_p"), _row_pairs)))
+    staged = jobs.select(*JOB_KEYS, F.transform(_input_stages(), _read_substeps).alias("_subs"))
+    parsed = staged.select(
+        *JOB_KEYS,
+        F.transform(
+            "_subs",
+            lambda x: F.struct(
+                _tables(x).alias("tables"), _column_pairs(x, strict, trim).alias("cols"), _predicate_keys(x).alias("keys")
+            ),
+        ).alias("_p"),
+    )
+    keyed = F.col("project_id").isNotNull() & F.col("user_email").isNotNull() & F.col("job_id").isNotNull()
+    pairs = F.array_distinct(F.flatten(F.transform(F.when(keyed, F.col("_p")), _row_pairs)))
     if require_column:
         pairs = F.filter(pairs, lambda pr: pr["predicate_column"].isNotNull())
-    staged = parsed.select("job_id", "_p", pairs.alias("_pairs"))
+    none = F.array().cast("array<struct<table_name:string,predicate_column:string>>")
+    staged = parsed.select("job_id", "_p", F.coalesce(pairs, none).alias("_pairs"))
     if denominator == "predicates":
         tables = F.array_distinct(F.transform(F.col("_pairs"), lambda pr: pr["table_name"]))
     elif denominator == "readers":
@@ -391,50 +353,27 @@ def table_predicates_in_row(
     strict: bool = True,
     trim: bool = False,
 ) -> DataFrame:
-    """C15 listing, in-row: one output row per reference join row.
+    """C15 listing without a join: one output row per reference join row.
 
-    For every WHERE sub-step of an input stage's READ steps, every ``$k``
-    occurrence in it, every column pair with that key and every FROM table of
-    the stages sharing the stage name.
+    Each input stage becomes a row and is parsed once; then every WHERE sub-step,
+    every ``$k`` in it, every column of that key and every table are exploded in
+    turn, so no job's whole result is ever one array.
     """
-    parsed = _parsed_names(jobs, list(job_columns), strict, trim, with_stage=True)
-    p = F.col("_p")
-
-    def rows_for_group(g: Column) -> Column:
-        named = F.get(F.filter(p, lambda x: x["stage_name"] == g["stage_name"]), 0)
-        cols, tables = named["cols"], named["tables"]
-        wheres = F.filter(g["subs"], lambda x: x.startswith(pt.WHERE_PREFIX))
-        st = g["stage"]
-        return F.flatten(
-            F.transform(
-                wheres,
-                lambda w: F.flatten(
-                    F.transform(
-                        pt.predicate_keys(w),
-                        lambda k: F.flatten(
-                            F.transform(
-                                F.filter(cols, lambda c: c["key"] == k),
-                                lambda c: F.transform(
-                                    tables,
-                                    lambda t: F.struct(
-                                        st["shuffle_output_bytes"].alias("shuffle_output_bytes"),
-                                        st["shuffle_output_bytes_spilled"].alias("shuffle_output_bytes_spilled"),
-                                        st["records_read"].alias("records_read"),
-                                        st["records_written"].alias("records_written"),
-                                        st["parallel_inputs"].alias("parallel_inputs"),
-                                        g["stage_name"].alias("stage_name"),
-                                        w.alias("substep"),
-                                        t.alias("table_name"),
-                                        c["col"].alias("predicate_column"),
-                                    ),
-                                ),
-                            )
-                        ),
-                    )
-                ),
-            )
-        )
-
-    rows = F.flatten(F.transform(F.col("_g"), rows_for_group))
-    out = parsed.select(*job_columns, F.explode(rows).alias("r"))
-    return out.select(*job_columns, "r.*").select(*LISTING_COLUMNS)
+    job_columns = list(job_columns)
+    stages = jobs.select(*job_columns, F.explode_outer(_input_stages()).alias("js")).filter("js IS NOT NULL")
+    fields = [F.col(f"js.{c}").alias(c) for c in STAGE_COLUMNS[2:]]
+    named = stages.select(*job_columns, *fields, F.col("js.name").alias("stage_name"), _read_substeps(F.col("js")).alias("_subs"))
+    scalars = [*job_columns, *STAGE_COLUMNS[2:], "stage_name"]
+    subs = F.col("_subs")
+    parsed = named.select(
+        *scalars,
+        F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)).alias("_wheres"),
+        _column_pairs(subs, strict, trim).alias("_cols"),
+        _tables(subs).alias("_tables"),
+    )
+    wheres = parsed.select(*scalars, "_cols", "_tables", F.explode("_wheres").alias("substep"))
+    keys = wheres.select(*scalars, "_cols", "_tables", "substep", F.explode(pt.predicate_keys(F.col("substep"))).alias("_key"))
+    matched = F.filter("_cols", lambda c: c["key"] == F.col("_key"))
+    cols = keys.select(*scalars, "_tables", "substep", F.explode(matched).alias("_col"))
+    tables = cols.select(*scalars, "substep", F.col("_col.col").alias("predicate_column"), F.explode("_tables").alias("table_name"))
+    return tables.select(*LISTING_COLUMNS)

@@ -11,6 +11,7 @@ report works over the whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from slotwise import settings as S
 from slotwise.plans import reports as P
 from slotwise.schemas import JOB_SCALAR_COLUMNS
-from slotwise.sources.fixture import AS_OF, Fixture, load_fixture
+from slotwise.sources.fixture import AS_OF, Fixture, load_fixture, with_repeated_rows
 
 # Fixed parameters of the registered queries (relative to the fixture's AS_OF).
 WHOLE_HISTORY = timedelta(days=61)
@@ -51,6 +52,20 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return load_fixture(spark, sf_dir)
 
 
+# Reports that run over a history in which some job rows are there twice.
+REPEATED = {
+    "spill_or_bytes_offenders",
+    "most_used_predicates",
+    "most_used_predicates_project",
+    "most_used_predicates_all_reads",
+    "most_used_predicates_sizes",
+    "predicate_listing",
+    "duplicate_job_ids",
+    "most_used_predicates_join",
+    "predicate_listing_join",
+}
+
+
 def _slot_utilization(spark: SparkSession, fx: Fixture) -> DataFrame:
     cat = fx.catalog
     return P.slot_utilization(fx.jobs, cat.assignments, cat.reservations, cat.tables, SETTINGS["slot_utilization"])
@@ -62,6 +77,9 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
         fx.jobs, SETTINGS["spill_or_bytes_offenders"]
     ),
     "slot_sample_offenders": lambda spark, fx: P.slot_sample_offenders(fx.jobs, SETTINGS["slot_sample_offenders"]),
+    "slot_sample_offenders_settings": lambda spark, fx: P.slot_sample_offenders(
+        fx.jobs, replace(SETTINGS["slot_sample_offenders"], echo_settings=True)
+    ).withColumn("check_state", F.array_join("check_state", ",")),
     "slot_utilization": _slot_utilization,
     "resource_hog_jobs": lambda spark, fx: P.resource_hog_jobs(fx.jobs, SETTINGS["resource_hog_jobs"]),
     "slot_threshold_calibration": lambda spark, fx: P.slot_threshold_calibration(
@@ -76,6 +94,12 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "slot_bucket_indicator": lambda spark, fx: P.slot_bucket_indicator(fx.jobs, SETTINGS["slot_bucket_indicator"]),
     "monthly_slot_total": lambda spark, fx: P.monthly_slot_total(fx.jobs, SETTINGS["monthly_slot_total"]),
     "most_used_predicates": lambda spark, fx: P.most_used_predicates(fx.jobs, SETTINGS["predicates"]),
+    "most_used_predicates_project": lambda spark, fx: P.most_used_predicates(
+        fx.jobs, replace(SETTINGS["predicates"], project_id="proj-0")
+    ),
+    "most_used_predicates_sizes": lambda spark, fx: P.most_used_predicates_all_reads(
+        fx.jobs, SETTINGS["predicates"], table_storage=fx.table_storage
+    ),
     "most_used_predicates_all_reads": lambda spark, fx: P.most_used_predicates_all_reads(
         fx.jobs, SETTINGS["predicates"]
     ),
@@ -124,6 +148,13 @@ def _over_folder(report: Callable[[SparkSession, Fixture], DataFrame]) -> Callab
     return run
 
 
+def _over_repeated(report: Callable[[SparkSession, Fixture], DataFrame]) -> Callable[[SparkSession, Fixture], DataFrame]:
+    return lambda spark, fx: report(spark, replace(fx, jobs=with_repeated_rows(fx.jobs)))
+
+
+REPORTS = {name: _over_repeated(report) if name in REPEATED else report for name, report in REPORTS.items()}
+
+
 # Reports over a test-data folder: (spark, sf_dir) -> DataFrame.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _over_folder(report) for name, report in REPORTS.items()

@@ -21,6 +21,7 @@ from slotwise.operators import plan_steps as PS
 from slotwise.operators import quality as Q
 from slotwise.operators import repeats as R
 from slotwise.operators import timeline as TL
+from slotwise.operators.joins import sized
 from slotwise.operators.percentiles import exact_percentile_disc
 from slotwise.schemas import SAMPLE_FIELDS
 from slotwise.sources.jobs import creation_between
@@ -46,8 +47,18 @@ def spill_or_bytes_offenders(jobs: DataFrame, s: S.SpillOrBytesSettings = S.Spil
     hit = j.filter(F.exists(F.col("job_stages"), stage_hits))
     out = hit.select("project_id", "user_email", "job_id", "query", "job_type")
     # One output row per job row already; the reference's DISTINCT only
-    # collapses duplicate job rows (``distinct_rows=False`` skips its shuffle).
-    return out.distinct() if s.distinct_rows else out
+    # collapses repeated job rows.  They are found by a hash of the row, so that
+    # the query text of the others is not shuffled (``distinct_rows=False``
+    # skips that, too).
+    if not s.distinct_rows:
+        return out
+    print_ = F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in out.columns])
+    marked = out.withColumn("_print", print_)
+    again, rows = sized(marked.groupBy("_print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_print"))
+    if not rows:
+        return out
+    once = marked.join(again, "_print", "left_anti").drop("_print")
+    return once.unionByName(marked.join(again, "_print", "left_semi").drop("_print").distinct())
 
 
 # --------------------------------------------------------------------- P2
@@ -84,9 +95,12 @@ def slot_sample_offenders(
             {
                 "search_start_time": ts_lit(start),
                 "search_finish_time": ts_lit(end),
-                "check_elapsed_ms": F.lit(s.check_elapsed_ms),
-                "check_average_slot_usage": F.lit(s.check_average_slot_usage),
-                "check_total_slot_ms": F.lit(s.check_total_slot_ms),
+                "search_maximum_bytes_processed": F.lit(s.search_maximum_bytes_processed).cast("long"),
+                "search_maximum_waiting_ms": F.lit(s.search_maximum_waiting_ms).cast("long"),
+                "check_elapsed_ms": F.lit(s.check_elapsed_ms).cast("long"),
+                "check_average_slot_usage": F.lit(s.check_average_slot_usage).cast("long"),
+                "check_total_slot_ms": F.lit(s.check_total_slot_ms).cast("long"),
+                "check_bytes_spilled_to_disk": F.lit(s.check_bytes_spilled_to_disk).cast("long"),
                 "check_state": F.array(*[F.lit(x) for x in s.check_state]),
             }
         )
@@ -392,24 +406,42 @@ def _plan_jobs(jobs: DataFrame, s: S.PredicateSettings, open_ended: bool = False
     return j.filter(creation_between(j, s.start_date, s.end_date))
 
 
+def _predicate_levels(j: DataFrame, s: S.PredicateSettings, method: str, unique_jobs: bool, readers: bool) -> tuple[DataFrame, bool]:
+    """Level rows of P11 / P12, and whether they still have to be made distinct."""
+
+    def joined(rows: DataFrame) -> DataFrame:
+        rs = PS.read_steps(PS.plan_substeps(rows, PS.JOB_KEYS))
+        triples = PS.predicate_triples(rs, strict=not readers, trim=s.trim_columns)
+        if not readers:
+            return PS.usage_levels(triples)
+        return PS.usage_levels(triples.filter(F.col("predicate_column").isNotNull()), PS.table_readers(rs))
+
+    if method == "join":
+        return joined(j), True
+    if method != "row":
+        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+    if not readers:
+        j = PS.with_keys(j)
+    regular, others = (j, None) if unique_jobs else PS.split_regular(j)
+    levels = PS.usage_levels_in_row(
+        regular, strict=not readers, trim=s.trim_columns, denominator="readers" if readers else "predicates", require_column=readers
+    )
+    return (levels if others is None else levels.unionByName(joined(others).distinct())), False
+
+
 def most_used_predicates(
-    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row", unique_jobs: bool = False
 ) -> DataFrame:
     """Columns filtered on per table; denominator = jobs with a predicate on the table.
 
     ``method="row"`` matches predicates, columns and tables inside each job
-    row (no shuffle before the distinct counts); ``method="join"`` explodes
-    the plan and joins on the five keys as the reference does.
+    row; job ids on several rows and jobs whose input stages share a name take the
+    join form, as ``method="join"`` does for all.  A count over job ids, run
+    when the report is built, finds them; ``unique_jobs=True`` skips it where
+    the export is known to have one row per job and distinct stage names.
     """
-    j = _plan_jobs(jobs, s)
-    if method == "row":
-        levels = PS.usage_levels_in_row(j, strict=True, trim=s.trim_columns, denominator="predicates")
-        return PS.predicate_ratio(levels, distinct=False)
-    if method == "join":
-        rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
-        levels = PS.usage_levels(PS.predicate_triples(rs, strict=True, trim=s.trim_columns))
-        return PS.predicate_ratio(levels)
-    raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+    levels, distinct = _predicate_levels(_plan_jobs(jobs, s), s, method, unique_jobs, readers=False)
+    return PS.predicate_ratio(levels, distinct=distinct)
 
 
 def most_used_predicates_all_reads(
@@ -417,6 +449,7 @@ def most_used_predicates_all_reads(
     s: S.PredicateSettings = S.PredicateSettings(),
     method: str = "row",
     table_storage: DataFrame | None = None,
+    unique_jobs: bool = False,
 ) -> DataFrame:
     """As P11, but the denominator counts every job that reads the table.
 
@@ -426,35 +459,27 @@ def most_used_predicates_all_reads(
     ``table_storage`` (optional, disabled in the reference) adds the table's
     row, partition and byte counts with a left join on ``table_name``.
     """
-    j = _plan_jobs(jobs, s)
-    if method == "row":
-        levels = PS.usage_levels_in_row(
-            j, strict=False, trim=s.trim_columns, denominator="readers", require_column=True
-        )
-        out = PS.predicate_ratio(levels, distinct=False)
-    elif method == "join":
-        rs = PS.read_steps(PS.plan_substeps(j, PS.JOB_KEYS))
-        triples = PS.predicate_triples(rs, strict=False, trim=s.trim_columns)
-        levels = PS.usage_levels(triples.filter(F.col("predicate_column").isNotNull()), PS.table_readers(rs))
-        out = PS.predicate_ratio(levels)
-    else:
-        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
-    if table_storage is not None:
-        out = PS.with_table_sizes(out, table_storage)
-    return out
+    levels, distinct = _predicate_levels(_plan_jobs(jobs, s), s, method, unique_jobs, readers=True)
+    return PS.predicate_ratio(levels, distinct=distinct, table_storage=table_storage)
 
 
 def predicate_listing(
-    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row"
+    jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row", unique_jobs: bool = False
 ) -> DataFrame:
-    """Every (predicate, column, table) occurrence, un-aggregated."""
+    """Every (predicate, column, table) occurrence, un-aggregated (see P11 for ``unique_jobs``)."""
     j = _plan_jobs(jobs, s, open_ended=True)
-    if method == "row":
-        return PS.table_predicates_in_row(j, strict=True, trim=s.trim_columns)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return PS.table_predicates(PS.read_steps(PS.plan_substeps(rows)), strict=True, trim=s.trim_columns).select(*PS.LISTING_COLUMNS)
+
     if method == "join":
-        rs = PS.read_steps(PS.plan_substeps(j))
-        return PS.table_predicates(rs, strict=True, trim=s.trim_columns)
-    raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+        return joined(j)
+    if method != "row":
+        raise ValueError(f"method must be 'row' or 'join', got {method!r}")
+    j = PS.with_keys(j)
+    regular, others = (j, None) if unique_jobs else PS.split_regular(j)
+    rows = PS.table_predicates_in_row(regular, strict=True, trim=s.trim_columns)
+    return rows if others is None else rows.unionByName(joined(others))
 
 
 # --------------------------------------------------------------------- P13

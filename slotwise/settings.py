@@ -64,8 +64,8 @@ class SpillOrBytesSettings:  # P1
     window: Window = field(default_factory=lambda: Window(lookback=timedelta(hours=10)))
     maximum_bytes_billed: int = 10000
     bytes_spilled_to_disk: int = 10000000
-    # The reference's DISTINCT; it only matters for duplicate job rows and
-    # costs a shuffle of every offending job (query text included).
+    # The reference's DISTINCT; it only matters for repeated job rows, which a
+    # count over row hashes finds when the report is built.
     distinct_rows: bool = True
 
 
@@ -76,6 +76,10 @@ class SlotSampleSettings:  # P2
     check_average_slot_usage: float = 10000
     check_total_slot_ms: int = 100000
     check_state: tuple[str, ...] = ("RUNNING",)
+    # Echoed only; the report does not filter by them.
+    search_maximum_bytes_processed: int = 1000
+    search_maximum_waiting_ms: int = 10000
+    check_bytes_spilled_to_disk: int = 10000
     echo_settings: bool = False
 
 

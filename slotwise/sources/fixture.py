@@ -32,6 +32,13 @@ CREATION_C_MUL = 104729
 START_DELAY_C_MUL = 37
 START_DELAY_MOD = 2000
 BYTES_MULTIPLIERS = [1, 10, 100, 1000]
+# Irregular rows, by order key: queued jobs (neither start nor end), jobs
+# cancelled before their start (an end only), jobs without a user, and jobs
+# whose row is there twice (only where asked for).
+PENDING_MOD, PENDING_REST = 37, 5
+CANCELLED_MOD, CANCELLED_REST = 37, 6
+NO_USER_MOD, NO_USER_REST = 41, 3
+TWICE_MOD, TWICE_REST = 97, 11
 # ------------------------------------------------------------------------------
 
 
@@ -46,6 +53,7 @@ class Catalog:
 class Fixture:
     jobs: DataFrame
     catalog: Catalog
+    table_storage: DataFrame | None = None
 
 
 def _cents(x: Column) -> Column:
@@ -76,7 +84,8 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     dur = (q * 97 + p % 500 + 1) * dur_mult
     slots = (p % 40 + 1) * slot_mult
 
-    lines = lineitem.select(
+    unstarted = ((k % PENDING_MOD) == PENDING_REST) | ((k % CANCELLED_MOD) == CANCELLED_REST)
+    lines = lineitem.filter(~unstarted).select(
         k.alias("k"),
         p.alias("p"),
         u.alias("u"),
@@ -151,7 +160,13 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
     k, c = F.col("k"), F.col("c")
     is_query = (k % 20 != 0) & (k % 20 != 1)
-    state = F.when(F.col("o_orderstatus") == "P", F.lit("RUNNING")).otherwise(F.lit("DONE"))
+    pending, cancelled = (k % PENDING_MOD) == PENDING_REST, (k % CANCELLED_MOD) == CANCELLED_REST
+    state = (
+        F.when(pending, F.lit("PENDING"))
+        .when(cancelled, F.lit("DONE"))
+        .when(F.col("o_orderstatus") == "P", F.lit("RUNNING"))
+        .otherwise(F.lit("DONE"))
+    )
     creation_ms = F.lit(BASE_EPOCH_MS) + (k * CREATION_K_MUL + c * CREATION_C_MUL) % CREATION_SPAN_MS
     start_ms = creation_ms + (c * START_DELAY_C_MUL) % START_DELAY_MOD
     has_samples = F.coalesce(F.size("timeline") > 0, F.lit(False))
@@ -162,7 +177,9 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
     return j.select(
         F.concat(F.lit("proj-"), (c % 5).cast("string")).alias("project_id"),
-        F.concat(F.lit("user"), (c % 200).cast("string"), F.lit("@example.com")).alias("user_email"),
+        F.when(k % NO_USER_MOD != NO_USER_REST, F.concat(F.lit("user"), (c % 200).cast("string"), F.lit("@example.com"))).alias(
+            "user_email"
+        ),
         F.concat(F.lit("job_"), k.cast("string")).alias("job_id"),
         F.when(k % 20 == 0, F.lit("LOAD"))
         .when(k % 20 == 1, F.lit("EXTRACT"))
@@ -179,8 +196,8 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         .alias("priority"),
         state.alias("state"),
         F.timestamp_millis(creation_ms).alias("creation_time"),
-        F.timestamp_millis(start_ms).alias("start_time"),
-        F.when(state == "RUNNING", F.lit(None).cast("timestamp"))
+        F.when(~pending & ~cancelled, F.timestamp_millis(start_ms)).alias("start_time"),
+        F.when(state.isin("RUNNING", "PENDING"), F.lit(None).cast("timestamp"))
         .otherwise(F.timestamp_millis(start_ms + F.coalesce(last_elapsed, F.lit(0).cast("long"))))
         .alias("end_time"),
         F.concat(
@@ -223,9 +240,32 @@ def derive_catalog(region: DataFrame) -> Catalog:
     return Catalog(tables=tables, assignments=assignments, reservations=reservations)
 
 
+def with_repeated_rows(jobs: DataFrame) -> DataFrame:
+    """The jobs, some of them on two rows."""
+    key = F.substring_index("job_id", "_", -1).cast("long")
+    return jobs.withColumn("_times", F.when(key % TWICE_MOD == TWICE_REST, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).withColumn(
+        "_times", F.explode("_times")
+    ).drop("_times")
+
+
+def derive_table_storage(nation: DataFrame) -> DataFrame:
+    """Sizes of the tables that the plans read, one per nation (some without plans)."""
+    n = F.col("n_nationkey").cast("long")
+    return nation.select(
+        F.lit("proj").alias("project_id"),
+        F.lit("ds").alias("table_schema"),
+        F.concat(F.lit("proj.ds.t"), n.cast("string")).alias("table_name"),
+        ((n + 1) * 1000).alias("total_rows"),
+        (n % 3).alias("total_partitions"),
+        ((n + 1) * 4096).alias("total_logical_bytes"),
+        ((n + 1) * 1024).alias("total_physical_bytes"),
+    )
+
+
 def load_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     """Derived jobs and catalog for one scale-factor folder of the test data."""
     orders = spark.read.parquet(os.path.join(sf_dir, "orders.parquet"))
     lineitem = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
     region = spark.read.parquet(os.path.join(sf_dir, "region.parquet"))
-    return Fixture(jobs=derive_jobs(orders, lineitem), catalog=derive_catalog(region))
+    storage = derive_table_storage(spark.read.parquet(os.path.join(sf_dir, "nation.parquet")))
+    return Fixture(jobs=derive_jobs(orders, lineitem), catalog=derive_catalog(region), table_storage=storage)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oracle_compare import normalized_rows
 from slotwise.functions.buckets import range_bucket, sign_floor_bucket
+from literal_forms import usage_by_minute_theta
 from slotwise.operators import grid as G
 from slotwise.operators.buckets import percentiles_by
 from slotwise.operators.percentiles import exact_percentile_disc, rank_for
@@ -74,7 +75,7 @@ def test_minute_equi_join_equals_theta_join(spark, fixture_jobs):
     kw = dict(as_of=s.as_of, minutes=s.minutes, creation_lookback=s.creation_lookback)
     same(
         G.usage_by_minute(spark, fixture_jobs.jobs, **kw),
-        G.usage_by_minute_theta(spark, fixture_jobs.jobs, **kw),
+        usage_by_minute_theta(spark, fixture_jobs.jobs, **kw),
     )
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from builders import T0, job, jobs_df
 from oracle_compare import normalized_rows
+from literal_forms import usage_by_minute_theta
 from slotwise.operators import grid as G
 from slotwise.operators import timeline as TL
 
@@ -50,7 +51,7 @@ def test_minute_equi_rewrite_equals_range_join(spark, specs):
         )
     jobs = jobs_df(spark, rows)
     kw = dict(as_of=T0 + timedelta(minutes=12), minutes=30, creation_lookback=timedelta(hours=1))
-    same(G.usage_by_minute(spark, jobs, **kw), G.usage_by_minute_theta(spark, jobs, **kw))
+    same(G.usage_by_minute(spark, jobs, **kw), usage_by_minute_theta(spark, jobs, **kw))
 
 
 timelines = st.lists(
