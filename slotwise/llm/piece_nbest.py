@@ -33,7 +33,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,6 @@ CACHE = 1_000_000
 #: Scores below this mark pieces that a model keeps but does not rank.
 UNRANKED = -1e8
 BYTE_PENALTY = 10.0
-_TOTAL = itemgetter(0)
 
 
 class Lattice:
@@ -73,55 +72,79 @@ class Lattice:
                 self.text[i] = piece.replace(SPACE, " ").encode()
         ranked = [s for _, s in self.pieces.values() if s > UNRANKED]
         self.byte_score = min(ranked, default=0.0) - BYTE_PENALTY
-        self.longest = max(map(len, self.pieces), default=1)
+        # Pieces by their characters from the last to the first; key 0 holds (id, score).
+        self.trie: dict = {}
+        for piece, found in self.pieces.items():
+            node = self.trie
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[0] = found
         self.nbest = nbest
 
     def unit(self, unit: str) -> list[tuple[float, list[int]]]:
         """Up to ``nbest`` segmentations of a unit, best first: (score, ids)."""
-        n, get, longest = len(unit), self.pieces.get, self.longest
-        arriving: list[list] = [[] for _ in range(n + 1)]
-        best = [0.0] + [-float("inf")] * n
-        for i in range(n):
-            here, j = best[i], i + 1
-            found = get(unit[i])
-            if found is None:
-                raw = unit[i].encode()
-                found = (tuple(self.bytes[b] for b in raw), self.byte_score * len(raw))
-            last = min(n, i + longest)
-            while True:
-                if found is not None:
-                    total = here + found[1]
-                    arriving[j].append((total, i, found[0]))
-                    if total > best[j]:
-                        best[j] = total
-                if j == last:
+        return next(self.units([unit], True))
+
+    def units(self, units: list[str], spelt: bool = False) -> Iterator[list[tuple[float, list[int]]]]:
+        """The segmentations of several units; in sorted order they share the Viterbi pass over common beginnings.
+
+        Unless ``spelt``, only the best one has its ids.
+        """
+        # At each position: the pieces that arrive there, best first, as (best score with it, start, id).
+        arriving: list[list[tuple]] = [[]]
+        best = [0.0]
+        before = ""
+        for unit in units:
+            same = 0
+            for a, b in zip(before, unit, strict=False):
+                if a != b:
                     break
-                j += 1
-                found = get(unit[i:j])
+                same += 1
+            before = unit
+            del arriving[same + 1 :], best[same + 1 :]
+            for end in range(same + 1, len(unit) + 1):
+                node, start, ways = self.trie, end, []
+                while start:
+                    node = node.get(unit[start - 1])
+                    if node is None:
+                        break
+                    start -= 1
+                    piece = node.get(0)
+                    if piece is not None:
+                        ways.append((best[start] + piece[1], start, piece[0]))
+                if unit[end - 1] not in self.pieces:
+                    raw = unit[end - 1].encode()
+                    ways.append((best[end - 1] + self.byte_score * len(raw), end - 1, tuple(self.bytes[b] for b in raw)))
+                if len(ways) > 1:
+                    ways.sort(reverse=True)
+                arriving.append(ways)
+                best.append(ways[0][0])
+            yield self._search(arriving, best, spelt)
+
+    def _search(self, arriving: list[list[tuple]], best: list[float], spelt: bool) -> list[tuple[float, list[int]]]:
         out: list[tuple[float, list[int]]] = []
-        heap: list = [(0.0, 0, n, 0, None)]
-        tick, sorted_at = 0, set()
+        heap: list = [(0.0, 0, len(best) - 1, 0, None)]
+        tick = 0
         while heap and len(out) < self.nbest:
             # The loss so far is exact, as every way back from here goes on with the best arrival.
-            loss, _, at, rank, path = heapq.heappop(heap)
+            loss, _, at, rank, path = heappop(heap)
+            ids: list[int] = []
+            out.append((best[-1] - loss, ids))
+            if not spelt and len(out) == self.nbest > 1:
+                break
             while at:
                 ways = arriving[at]
-                if at not in sorted_at:
-                    ways.sort(key=_TOTAL, reverse=True)
-                    sorted_at.add(at)
                 if rank + 1 < len(ways):
                     tick += 1
-                    heapq.heappush(heap, (loss + ways[rank][0] - ways[rank + 1][0], tick, at, rank + 1, path))
+                    heappush(heap, (loss + ways[rank][0] - ways[rank + 1][0], tick, at, rank + 1, path))
                 _, at, piece = ways[rank]
                 path, rank = (piece, path), 0
-            ids: list[int] = []
-            while path is not None:
+            while path is not None and (spelt or len(out) == 1):
                 if type(path[0]) is int:
                     ids.append(path[0])
                 else:
                     ids += path[0]
                 path = path[1]
-            out.append((best[n] - loss, ids))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -142,15 +165,14 @@ class Encoder(dict):
         self.ids, self.ends, self.scores = array("i"), array("q", [0]), array("d")
         self.losses = array("d")
 
-    def __missing__(self, unit: str) -> int:
-        found = self.lattice.unit(unit)
-        best = found[0][0]
-        self.ids.extend(found[0][1])
-        self.ends.append(len(self.ids))
-        self.scores.append(best)
-        self.losses.extend([best - s for s, _ in found[1:]] + [np.inf] * (self.nbest - len(found)))
-        self[unit] = number = len(self.scores) - 1
-        return number
+    def _learn(self, units: list[str]) -> None:
+        for unit, found in zip(units, self.lattice.units(units), strict=True):
+            best, ids = found[0]
+            self[unit] = len(self.scores)
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
+            self.scores.append(best)
+            self.losses.extend([best - s for s, _ in found[1:]] + [np.inf] * (self.nbest - len(found)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """Ids of the best segmentations end to end, their ends, and the N best scores of each text."""
@@ -162,13 +184,16 @@ class Encoder(dict):
             if text:
                 units += UNIT.findall(SPACE + text.replace(" ", SPACE))
             bounds.append(len(units))
+        self._learn(sorted(set(units).difference(self)))
+        if not units:
+            return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64), [[0.0] for _ in texts]
         numbers = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
-        ends = np.array(self.ends, np.int64)
+        ends = np.frombuffer(self.ends, np.int64)  # the views end with this call, before the arrays grow again
         first, size = ends[numbers], ends[numbers + 1] - ends[numbers]
         total = np.concatenate([[0], np.cumsum(size)])
-        flat = np.array(self.ids, np.int32)[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
-        best = np.concatenate([[0.0], np.cumsum(np.array(self.scores)[numbers])])
-        losses = np.array(self.losses).reshape(-1, self.nbest - 1)[numbers] if self.nbest > 1 else np.zeros((len(numbers), 0))
+        flat = np.frombuffer(self.ids, np.int32)[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
+        best = np.concatenate([[0.0], np.cumsum(np.frombuffer(self.scores)[numbers])])
+        losses = np.frombuffer(self.losses).reshape(-1, self.nbest - 1)[numbers] if self.nbest > 1 else np.zeros((len(numbers), 0))
         scores = []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             top = float(best[hi] - best[lo])
