@@ -1,37 +1,55 @@
-"""Exact discrete percentiles of one big group, without gathering the group.
+"""Exact discrete percentiles of big groups, without gathering a group.
 
 ``percentile_disc(p)`` is the smallest value ``v`` with
 ``count(x <= v) >= ceil(p * n)`` (NULLs ignored).  A grouped
 ``percentile_disc`` aggregate keeps a value -> count map per group and merges
-all of them in one task, so a single group over every job makes one task hold
-every distinct value.  This operator finds the same value by range
-refinement instead:
-
-1. one aggregate gives ``n``, ``min`` and ``max``;
-2. each pass splits every target's current value range into ``fanout``
-   equal-width buckets and counts rows per bucket with a grouped aggregate
-   (map-side partial counts, so a value repeated on a third of all rows is one
-   partial row per task); the driver receives at most
-   ``targets x fanout`` small rows, walks the cumulative counts and narrows
-   each target to the exact ``[min, max]`` of the bucket holding its rank;
-3. a target is resolved when its range holds a single value.
-
-Bucket indexes are monotone in the value (IEEE subtraction, division,
-multiplication and ``floor`` are monotone), so the walk is exact, and every
-pass strictly shrinks the range, so it terminates.  The values are persisted
-(``MEMORY_AND_DISK``; lost blocks are recomputed from lineage) for the
-passes, and the returned DataFrame is one more aggregation over them.
+all of them in one task, so a group with very many distinct values makes one task
+hold them all.  This operator finds the same values by range refinement:
+
+1. the values are written once to the shared folder as narrow rows (group,
+   column, value), so the source is read once and every pass sees the same data;
+2. one aggregate gives ``n``, ``min`` and ``max`` per group and column;
+3. the first pass splits a target's range into ``fanout`` buckets by the logarithm
+   of the magnitude, each later pass into ``fanout`` buckets of equal width, and
+   counts rows per bucket with a grouped aggregate (map-side partial counts, so a
+   value repeated on a third of all rows is one partial row per task).  The driver
+   gets at most ``targets x fanout`` small rows, walks the cumulative counts and
+   narrows each target to the exact ``[min, max]`` of the bucket holding its rank;
+4. a target is resolved when its range holds a single value.
+
+Bucket numbers are monotone in the value, so the walk is exact.  After the
+logarithmic pass the ends of a range differ by less than a factor of two, and
+every further pass divides its width by ``fanout``: with 4,096 buckets and 53-bit
+doubles, five passes always separate the values, whatever they are.
+
+NaN counts as larger than any other value and as one value, as Spark orders it.
+
+The passes are jobs that run while the report is built (documented in the README);
+the result is a DataFrame of the found values.  Groups are meant to be few (a
+fixed list of buckets): more than ``MAX_GROUPS`` take Spark's grouped aggregate.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
+from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotwise.session import ensure_checkpoint_dir
+
+#: Groups whose ranges the driver keeps.
+MAX_GROUPS = 256
+#: Above ln(1.8e308) and below -ln(4.9e-324) in magnitude, so shifted logarithms are positive.
+_SHIFT = 760.0
+
+Targets = dict[str, tuple[str, float]]  # output column -> (value column, p)
+
 
 def rank_for(p: float, n: int) -> int:
     """1-based rank of ``percentile_disc(p)`` among ``n`` values (exact arithmetic)."""
@@ -40,79 +58,97 @@ def rank_for(p: float, n: int) -> int:
     return max(1, min(n, k))
 
 
-def exact_percentile_disc(
-    df: DataFrame,
-    x: str,
-    names: dict[float, str],
-    fanout: int = 4096,
-    max_passes: int = 64,
-) -> DataFrame:
+def _magnitude(v: Column) -> Column:
+    """A monotone image of any double that grows with the logarithm of its magnitude."""
+    return F.when(v == 0.0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + F.lit(_SHIFT)))
+
+
+def _image(x: float) -> float:
+    return 0.0 if x == 0.0 else math.copysign(math.log(abs(x)) + _SHIFT, x)
+
+
+def _wide(lo: float, hi: float) -> bool:
+    """Whether the ends differ in sign or by a factor of two or more."""
+    return lo == 0 or hi == 0 or (lo < 0) != (hi < 0) or max(abs(lo), abs(hi)) / 2 >= min(abs(lo), abs(hi))
+
+
+def _bucket(v: Column, lo: float, hi: float, fanout: int) -> Column:
+    if _wide(lo, hi):
+        a, b = _image(lo), _image(hi)
+        part = (_magnitude(v) - F.lit(a)) / F.lit(b - a)
+    else:
+        part = (v - F.lit(lo)) / F.lit(hi - lo)
+    return F.greatest(F.lit(0), F.least(F.floor(part * F.lit(float(fanout))), F.lit(fanout - 1).cast("long")))
+
+
+def _stacked(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by..., c, v): one row per value; the values are written once."""
+    spark = df.sparkSession
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(x).cast("double").alias("v")) for i, x in enumerate(columns)]))
+    rows = df.select(*by, values.alias("cv")).select(*by, "cv.*")  # NULLs stay: a group may have nothing else
+    path = os.path.join(ensure_checkpoint_dir(spark), f"slotwise-values-{uuid.uuid4().hex[:12]}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _narrowed(rows: list, need: int) -> tuple[float, float, int]:
+    """The bucket that holds the rank ``need``: its smallest and largest value, and the rank inside it."""
+    for row in sorted(rows, key=lambda r: r["b"]):
+        if need <= row["n"]:
+            return row["lo"], row["hi"], need
+        need -= row["n"]
+    raise RuntimeError("rank outside the counted range")  # pragma: no cover - counts always cover it
+
+
+def exact_percentiles(df: DataFrame, targets: Targets, by: Sequence[str] = (), fanout: int = 4096) -> DataFrame:
+    """One row per group with ``percentile_disc(p)`` of a column for each ``name -> (column, p)``; one row without ``by``."""
+    by = list(by)
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(c for c, _ in targets.values()))
+    vals = _stacked(df, by, columns)
+    counted = vals.groupBy(*by, "c").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    heads = counted.limit(MAX_GROUPS * len(columns) + 1).collect()
+    if len(heads) > MAX_GROUPS * len(columns):
+        one = {n: F.when(F.col("c") == columns.index(c), F.col("v")) for n, (c, _) in targets.items()}
+        return vals.withColumns(one).groupBy(*by).agg(
+            *[F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{n}`)").alias(n) for n, (_, p) in targets.items()]
+        )
+    groups = list(dict.fromkeys(tuple(h[b] for b in by) for h in heads)) or ([] if by else [()])
+    # (group, name) -> [lo, hi, rank within]
+    state: dict[tuple, list] = {}
+    for h in heads:
+        group = tuple(h[b] for b in by)
+        for name, (c, p) in targets.items():
+            if columns.index(c) == h["c"] and h["n"]:
+                state[group, name] = [h["lo"], h["hi"], rank_for(p, h["n"])]
+    while open_ := {t: st for t, st in state.items() if not _same(st[0], st[1])}:
+        per_target = []
+        for i, ((group, name), (lo, hi, _)) in enumerate(open_.items()):
+            here = F.col("c") == columns.index(targets[name][0])
+            for b, value in zip(by, group, strict=True):
+                here &= F.col(b).eqNullSafe(F.lit(value))
+            inside = here & F.col("v").between(F.lit(lo), F.lit(hi))
+            if math.isinf(lo) or math.isinf(hi) or math.isnan(hi):  # infinities and NaN in buckets of their own
+                b = F.when(F.isnan("v"), 3).when(F.col("v") == math.inf, 2).when(F.col("v") == -math.inf, 0).otherwise(1).cast("long")
+            else:
+                b = _bucket(F.col("v"), lo, hi, fanout)
+            per_target.append(F.when(inside, F.struct(F.lit(i).alias("t"), b.alias("b"))))
+        hits = vals.select(F.explode(F.filter(F.array(*per_target), lambda s: s.isNotNull())).alias("h"), "v")
+        counts = hits.groupBy("h.t", "h.b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        found: dict[int, list] = {}
+        for row in counts:
+            found.setdefault(row["t"], []).append(row)
+        for i, (target, st) in enumerate(open_.items()):
+            state[target] = list(_narrowed(found[i], st[2]))
+    rows = [(*g, *(state[g, name][0] if (g, name) in state else None for name in targets)) for g in groups]
+    fields = [df.schema[b] for b in by]
+    return spark.createDataFrame(rows, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in targets)]))
+
+
+def _same(a: float, b: float) -> bool:
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
+def exact_percentile_disc(df: DataFrame, x: str, names: dict[float, str], fanout: int = 4096) -> DataFrame:
     """One row with ``percentile_disc(p)`` of column ``x`` for each ``p -> name``."""
-    source = df.select(F.col(x).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    vals = source.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        head = vals.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        n = int(head["n"])
-        answers: dict[float, float | None] = {}
-        if n == 0:
-            answers = {p: None for p in names}
-        else:
-            # target -> [lo, hi, rank within [lo, hi]]
-            state = {p: [float(head["lo"]), float(head["hi"]), rank_for(p, n)] for p in names}
-            for _ in range(max_passes):
-                active = {p: st for p, st in state.items() if st[0] < st[1]}
-                for p, st in state.items():
-                    if st[0] == st[1]:
-                        answers[p] = st[0]
-                if not active:
-                    break
-                ranges = list(active.items())
-                v = F.col("v")
-                # A value may lie in several targets' ranges: one row per (target, value).
-                per_target = []
-                for i, (_, (lo, hi, _)) in enumerate(ranges):
-                    in_range = (v >= F.lit(lo)) & (v <= F.lit(hi))
-                    b = F.least(
-                        F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(fanout))),
-                        F.lit(fanout - 1).cast("long"),
-                    )
-                    per_target.append(F.when(in_range, F.struct(F.lit(i).alias("t"), b.alias("b"))))
-                hits = vals.select(F.explode(F.filter(F.array(*per_target), lambda s: s.isNotNull())).alias("h"), "v")
-                counts = (
-                    hits.groupBy(F.col("h.t").alias("t"), F.col("h.b").alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .collect()
-                )
-                by_target: dict[int, list] = {}
-                for row in counts:
-                    by_target.setdefault(int(row["t"]), []).append(row)
-                for i, (p, st) in enumerate(ranges):
-                    rows = sorted(by_target.get(i, []), key=lambda r: r["b"])
-                    need = st[2]
-                    for row in rows:
-                        c = int(row["c"])
-                        if need <= c:
-                            state[p] = [float(row["mn"]), float(row["mx"]), need]
-                            break
-                        need -= c
-                    else:  # pragma: no cover - counts always cover the rank
-                        raise RuntimeError("rank outside the counted range")
-            else:  # pragma: no cover
-                raise RuntimeError("percentile refinement did not converge")
-            for p, st in state.items():
-                answers[p] = st[0]
-    finally:
-        vals.unpersist()
-    # The result is an aggregation over the values themselves: each answer is
-    # a value of the data, so the smallest value >= the answer is the answer.
-    # The returned plan thus reads the source like any other report.
-    return source.agg(
-        *[
-            F.min(F.when(F.col("v") >= F.lit(answers[p]), F.col("v")))
-            .cast(T.DoubleType())
-            .alias(name)
-            if answers[p] is not None
-            else F.lit(None).cast(T.DoubleType()).alias(name)
-            for p, name in names.items()
-        ]
-    )
+    return exact_percentiles(df, {name: (x, p) for p, name in names.items()}, fanout=fanout)

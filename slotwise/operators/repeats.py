@@ -1,17 +1,18 @@
 """Repeated query shapes.
 
-All three reports group jobs by the normalized query hash.  They are built as
-one grouped aggregation with bounded per-group state: ``count``/``sum`` and a
-``min_by`` that keeps only the current heaviest query text.  A hash that
-covers a third of all jobs is reduced map-side before the shuffle like any
-other.
+All three reports group jobs by the normalized query hash: one grouped
+aggregation of fixed-width numbers, then the texts of the heaviest jobs alone.
+A hash that covers a third of all jobs is reduced map-side before the shuffle
+like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.operators.joins import sized
+
 HASH_PATH = "query_info.query_hashes.normalized_literals"
 
 
@@ -19,32 +20,20 @@ def hash_col() -> Column:
     return F.col(HASH_PATH)
 
 
-def _heaviest_first_key() -> Column:
-    """Sort key for 'order by total_slot_ms desc' (NULLs last), ties by job_id."""
-    slot = F.col("total_slot_ms")
-    return F.struct(
-        F.when(slot.isNull(), F.lit(1)).otherwise(F.lit(0)).alias("null_last"),
-        (-slot).alias("neg_slot"),
-        F.col("job_id").alias("job_id"),
-    )
-
+def usage_per_hash(jobs: DataFrame, with_spill: bool = False) -> DataFrame:
+    """C25 (+ C26 folded in): per hash, job count, slot and byte sums, and the largest ``total_slot_ms``.
 
-def usage_per_hash(jobs: DataFrame, with_query: bool = True, with_spill: bool = False) -> DataFrame:
-    """C25 (+ C24 and C26 folded in): per hash, job count, slot and byte sums.
-
-    ``with_query`` adds the text of the heaviest job of the hash (highest
-    ``total_slot_ms``, NULLs last, ties broken by the smallest ``job_id``).
-    ``with_spill`` adds ``sum_of_spilled`` (sum over every stage of every job)
-    and ``has_stage`` (whether any job of the hash has at least one stage).
-    NULL hashes form their own group here.
+    Only counts and sums are grouped, so the partial aggregation is a hash table
+    of fixed-width rows in every task.  ``with_spill`` adds ``sum_of_spilled`` (sum
+    over every stage of every job) and ``has_stage`` (whether any job of the hash
+    has at least one stage).  NULL hashes form their own group here.
     """
     aggs = [
         F.count(F.lit(1)).alias("used_count"),
         F.sum("total_slot_ms").alias("total_slot_sum"),
         F.sum("total_bytes_processed").alias("total_bytes_sum"),
+        F.max("total_slot_ms").alias("top_slot_ms"),
     ]
-    if with_query:
-        aggs.append(F.min_by("query", _heaviest_first_key()).alias("query"))
     df = jobs.withColumn("hash_id", hash_col())
     if with_spill:
         stages = F.col("job_stages")
@@ -68,15 +57,28 @@ def usage_per_hash(jobs: DataFrame, with_query: bool = True, with_spill: bool =
     return df.groupBy("hash_id").agg(*aggs)
 
 
+def with_heaviest_query(usage: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Add ``query``, the text of each hash's heaviest job (C24): most ``total_slot_ms``, then the smallest ``job_id``.
+
+    The heaviest jobs are found by their numbers; texts are read for those
+    alone, through a join with the hashes (broadcast once counted to be few).
+    """
+    hashes, _ = sized(usage.select(F.col("hash_id").alias("_hash"), F.col("top_slot_ms").alias("_top")))
+    slim = jobs.select(hash_col().alias("hash_id"), "total_slot_ms", "job_id", "query")
+    heavy = slim.join(hashes, F.col("hash_id").eqNullSafe(F.col("_hash")) & F.col("total_slot_ms").eqNullSafe(F.col("_top")))
+    first = Window.partitionBy("hash_id").orderBy(F.asc_nulls_first("job_id"), "query")
+    texts = heavy.select("hash_id", "job_id", "query").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    texts = texts.select(F.col("hash_id").alias("_hash"), "query")
+    return usage.join(texts, F.col("hash_id").eqNullSafe(F.col("_hash"))).drop("_hash", "top_slot_ms")
+
+
 def top_query_per_hash(jobs: DataFrame) -> DataFrame:
     """C24 (window form): the heaviest job's query per hash via ``row_number() = 1``.
 
     Catalyst plans this with a partial ``WindowGroupLimit`` before the
-    shuffle.  The pipelines use the ``min_by`` aggregate of
-    :func:`usage_per_hash` instead, which gives the same row.
+    shuffle.  The reports use :func:`with_heaviest_query` instead, which gives
+    the same row.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("hash_id").orderBy(
         F.desc_nulls_last("total_slot_ms"), F.asc_nulls_first("job_id")
     )

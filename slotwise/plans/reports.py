@@ -1,7 +1,9 @@
 """The reports (P1-P18), each a DataFrame -> DataFrame composition of operators.
 
 Every function takes the job-history DataFrame (plus catalog tables where
-needed) and a settings dataclass, and returns an unevaluated DataFrame.
+needed) and a settings dataclass, and returns a DataFrame.  Most are not
+evaluated before they are used; P1, P11, P12, P14 and P13 first count narrow rows to
+choose a join, and P5 and P9 find their percentiles in passes over written values.
 ``method="array"`` (default) computes per-job lags inside the timeline array
 with no shuffle; ``method="window"`` is the reference's window formulation.
 """
@@ -22,7 +24,7 @@ from slotwise.operators import quality as Q
 from slotwise.operators import repeats as R
 from slotwise.operators import timeline as TL
 from slotwise.operators.joins import sized
-from slotwise.operators.percentiles import exact_percentile_disc
+from slotwise.operators.percentiles import exact_percentile_disc, exact_percentiles
 from slotwise.schemas import SAMPLE_FIELDS
 from slotwise.sources.jobs import creation_between
 
@@ -351,9 +353,9 @@ def slot_bucket_indicator(
 ) -> DataFrame:
     """Waiting / elapsed percentiles per job-size bucket.
 
-    Percentiles are taken over the per-time-bucket averages (one value per
-    time bucket and size bucket), so each group's state is bounded by the
-    number of time buckets in the window, not by the number of jobs.
+    Percentiles are taken over the per-time-bucket averages.  The size buckets
+    are few, so no group is gathered: the values are refined by counts, in
+    jobs that run when the report is built (see ``operators/percentiles.py``).
     """
     start, end = s.window.bounds()
     j = TL.select_jobs(jobs, start, end, s.check_state).withColumnRenamed(
@@ -368,11 +370,7 @@ def slot_bucket_indicator(
     prof = TL.with_ctime(TL.with_prev_etime(prof, default="start", wait="null"))
     prof = B.with_bucket(prof, s.bucket_time)
     stat = B.bucket_averages(prof, ["ctime_bucket", "target_slot_ms_bucket"])
-    aggs = [
-        F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{x}`)").cast("double").alias(name)
-        for name, (x, p) in P9_PERCENTILES.items()
-    ]
-    per_size = stat.groupBy("target_slot_ms_bucket").agg(*aggs)
+    per_size = exact_percentiles(stat, P9_PERCENTILES, by=["target_slot_ms_bucket"])
     return per_size.select(
         bucket_label(F.col("target_slot_ms_bucket"), s.total_slot_ms_bucket, s.overflow).alias(
             "total_slot_ms_bucket"
@@ -483,31 +481,30 @@ def predicate_listing(
 
 
 # --------------------------------------------------------------------- P13
+_SHAPE_COLUMNS = ["hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query"]
+
+
 def most_used_queries(jobs: DataFrame, method: str = "aggregate") -> DataFrame:
     """Repeated query shapes with the heaviest sample text (NULL hash dropped).
 
-    ``method="aggregate"``: one grouped aggregation with a bounded ``min_by``;
+    ``method="aggregate"``: grouped numbers, then the texts of the heaviest jobs;
     ``method="window"``: the reference's ``row_number() = 1`` sample joined
     back to the per-hash sums.
     """
+    usage = R.usage_per_hash(jobs)
     if method == "window":
-        sums = R.usage_per_hash(jobs, with_query=False)
-        out = sums.join(R.top_query_per_hash(jobs), "hash_id", "inner")
+        out = usage.join(R.top_query_per_hash(jobs), "hash_id", "inner")
     elif method == "aggregate":
-        out = R.usage_per_hash(jobs, with_query=True).filter(F.col("hash_id").isNotNull())
+        out = R.with_heaviest_query(usage.filter(F.col("hash_id").isNotNull()), jobs)
     else:
         raise ValueError(f"method must be 'aggregate' or 'window', got {method!r}")
-    return out.select("hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query").orderBy(
-        F.desc("used_count")
-    )
+    return out.select(*_SHAPE_COLUMNS).orderBy(F.desc("used_count"))
 
 
 def most_used_queries_concise(jobs: DataFrame) -> DataFrame:
     """The one-aggregation variant; keeps the NULL hash as a group."""
-    out = R.usage_per_hash(jobs, with_query=True)
-    return out.select("hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query").orderBy(
-        F.desc("used_count")
-    )
+    out = R.with_heaviest_query(R.usage_per_hash(jobs), jobs)
+    return out.select(*_SHAPE_COLUMNS).orderBy(F.desc("used_count"))
 
 
 def most_used_queries_spilled(jobs: DataFrame, method: str = "aggregate") -> DataFrame:
@@ -518,18 +515,13 @@ def most_used_queries_spilled(jobs: DataFrame, method: str = "aggregate") -> Dat
     form (unnest the stages, sum per hash, join to the per-hash usage).
     """
     if method == "explode":
-        usage = R.usage_per_hash(jobs, with_query=True)
-        out = usage.join(R.spill_per_hash(jobs), "hash_id", "inner")
-        return out.select(
-            "hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query", "sum_of_spilled"
-        ).orderBy(F.desc("used_count"))
-    if method != "aggregate":
+        out = R.with_heaviest_query(R.usage_per_hash(jobs), jobs).join(R.spill_per_hash(jobs), "hash_id", "inner")
+    elif method == "aggregate":
+        usage = R.usage_per_hash(jobs, with_spill=True).filter(F.col("hash_id").isNotNull() & F.col("has_stage"))
+        out = R.with_heaviest_query(usage, jobs)
+    else:
         raise ValueError(f"method must be 'aggregate' or 'explode', got {method!r}")
-    out = R.usage_per_hash(jobs, with_query=True, with_spill=True)
-    out = out.filter(F.col("hash_id").isNotNull() & F.col("has_stage"))
-    return out.select(
-        "hash_id", "used_count", "total_slot_sum", "total_bytes_sum", "query", "sum_of_spilled"
-    ).orderBy(F.desc("used_count"))
+    return out.select(*_SHAPE_COLUMNS, "sum_of_spilled").orderBy(F.desc("used_count"))
 
 
 # --------------------------------------------------------------------- P15

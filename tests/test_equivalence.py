@@ -5,12 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from literal_forms import usage_by_minute_theta
 from oracle_compare import normalized_rows
 from slotwise.functions.buckets import range_bucket, sign_floor_bucket
-from literal_forms import usage_by_minute_theta
 from slotwise.operators import grid as G
 from slotwise.operators.buckets import percentiles_by
-from slotwise.operators.percentiles import exact_percentile_disc, rank_for
+from slotwise.operators.percentiles import exact_percentile_disc, exact_percentiles, rank_for
 from slotwise.plans import reports as P
 from slotwise.plans.registry import SETTINGS
 
@@ -153,3 +153,26 @@ def test_spill_offenders_without_distinct(fixture_jobs):
 
     s = SETTINGS["spill_or_bytes_offenders"]
     same(P.spill_or_bytes_offenders(fixture_jobs.jobs, s), P.spill_or_bytes_offenders(fixture_jobs.jobs, replace(s, distinct_rows=False)))
+
+
+def test_percentiles_of_extreme_values_need_no_cap(spark):
+    values = [s * m * 10.0**e for s in (-1, 1) for m in (1, 1.0000000000000002, 3) for e in range(-300, 300, 7)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, float("inf"), float("-inf")]
+    ordered = sorted(values)
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    ps = {p: f"p{i}" for i, p in enumerate((0.0, 0.01, 0.25, 0.5, 0.503, 0.75, 0.99, 1.0))}
+    got = exact_percentile_disc(df, "x", ps).first()
+    assert [got[n] for n in ps.values()] == [ordered[rank_for(p, len(values)) - 1] for p in ps]
+
+
+def test_grouped_percentiles_equal_the_aggregate(spark):
+    rows = [(None if k % 5 == 4 else k % 5, float((k * 7919) % 1000) / (1 + k % 3), None if k % 2 or k % 5 == 1 else k * 1e-9) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    targets = {"x25": ("x", 0.25), "x99": ("x", 0.99), "y50": ("y", 0.5)}
+    want = df.groupBy("g").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").alias(n) for n, (c, p) in targets.items()])
+    got = exact_percentiles(df, targets, by=["g"], fanout=16)
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    many = spark.range(600).selectExpr("id AS g", "cast(id AS double) AS x")
+    assert exact_percentiles(many, {"m": ("x", 0.5)}, by=["g"]).filter("m = g").count() == 600
+    assert exact_percentiles(many.limit(0), {"m": ("x", 0.5)}, by=["g"]).count() == 0

@@ -51,10 +51,16 @@ def test_in_row_mining_has_no_join(stored_jobs):
     assert "Join" not in plan and "Exchange" not in plan
 
 
-def test_repeat_reports_are_one_aggregation(stored_jobs):
-    plan = plan_of(P.most_used_queries_spilled(stored_jobs))
-    assert "Join" not in plan
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+def test_repeat_reports_never_sort_texts(stored_jobs):
+    for fn in (P.most_used_queries, P.most_used_queries_concise, P.most_used_queries_spilled):
+        plan = plan_of(fn(stored_jobs))
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+        assert "BroadcastHashJoin" in plan
+
+
+def test_percentile_reports_return_found_values(stored_jobs):
+    for fn, key in ((P.slot_threshold_calibration, "slot_threshold_calibration"), (P.slot_bucket_indicator, "slot_bucket_indicator")):
+        assert "percentile" not in plan_of(fn(stored_jobs, SETTINGS[key]))
 
 
 def test_resource_hogs_need_no_shuffle(stored_jobs):

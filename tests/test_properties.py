@@ -29,7 +29,8 @@ job_times = st.tuples(
     st.one_of(st.none(), st.integers(min_value=-200, max_value=900)),  # end - start, seconds (may be negative)
     st.integers(min_value=0, max_value=999),  # start milliseconds
     st.one_of(st.none(), st.integers(min_value=0, max_value=10**6)),  # slot ms
-    st.sampled_from(["DONE", "RUNNING"]),
+    st.sampled_from(["DONE", "RUNNING", "PENDING"]),
+    st.booleans(),  # whether the job has started
 )
 
 
@@ -37,16 +38,16 @@ job_times = st.tuples(
 @given(st.lists(job_times, min_size=1, max_size=12))
 def test_minute_equi_rewrite_equals_range_join(spark, specs):
     rows = []
-    for i, (start_s, dur_s, ms, slot, state) in enumerate(specs):
+    for i, (start_s, dur_s, ms, slot, state, started) in enumerate(specs):
         start = T0 + timedelta(seconds=start_s, milliseconds=ms)
         end = None if dur_s is None else start + timedelta(seconds=dur_s)
-        if end is not None:
+        if started and end is not None:
             # An end one minute (mod 60) before the start gives a minute count of 0;
             # the division then raises, as the reference's plain division does.
             gap = (end.replace(second=0, microsecond=0) - start.replace(second=0, microsecond=0)).total_seconds()
             assume(int(gap // 60) % 60 != 59)
         rows.append(
-            job(f"j{i}", creation_time=start - timedelta(seconds=1), start_time=start, end_time=end,
+            job(f"j{i}", creation_time=start - timedelta(seconds=1), start_time=start if started else None, end_time=end,
                 total_slot_ms=slot, state=state, priority="P" + str(i % 2))
         )
     jobs = jobs_df(spark, rows)
@@ -104,14 +105,20 @@ STAGE = st.tuples(
 
 
 @settings(**SETTINGS)
-@given(st.lists(st.lists(STAGE, max_size=5), min_size=1, max_size=4))
-def test_in_row_mining_equals_joins_on_random_plans(spark, plans):
+@given(
+    st.lists(st.lists(STAGE, max_size=5), min_size=1, max_size=5),
+    st.lists(st.tuples(st.sampled_from(["j0", "j1", "j2", None]), st.sampled_from(["u", "v", None]), st.sampled_from(["p", None])), min_size=5, max_size=5),
+)
+def test_in_row_mining_equals_joins_on_random_plans(spark, plans, keys):
+    """Repeated job ids, NULL keys and repeated stage names included."""
     from slotwise import settings as S
     from slotwise.plans import reports as P
 
     rows = [
         job(
-            f"j{i}",
+            keys[i][0],
+            user_email=keys[i][1],
+            project_id=keys[i][2],
             job_stages=[(name, k, 1, 2, 3, 4, 5, steps) for k, (name, steps) in enumerate(plan)],
         )
         for i, plan in enumerate(plans)
