@@ -15,7 +15,7 @@ prefix scan over the chunks (log2 rounds of pairwise composition) gives the coun
 up to every chunk's end, so the state runs on across chunk borders.
 
 Counting is one pass without a shuffle.  Words that repeat are counted once per
-worker, at most ``KEPT`` of them.  The model file's path is a parameter.
+task, at most ``KEPT`` of them at a time.  The model file's path is a parameter.
 
 Edge cases: null and empty texts have no bytes and no tokens; characters without a
 piece count one token per byte; strings that look like special tokens are plain
@@ -34,7 +34,7 @@ from slotwise.llm.common import prepare
 from slotwise.llm.piece_nbest import SPACE, UNIT, read_model
 
 CHUNK_CHARS = 1 << 15
-KEPT = 800_000
+KEPT = 500_000
 #: Where a word starts inside a chunk: spaces after another character.
 START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NO_TOKEN = ""
@@ -203,14 +203,17 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model.value)
-        for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column(text_col).to_pylist():
-                counter.trim()
-                sizes.append(len((text or "").encode()))
-                counts.append(counter.count(text or ""))
-            made = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *made], [id_col, "n_bytes", "n_tokens", "over_limit"])
+        try:
+            for batch in batches:
+                sizes, counts = [], []
+                for text in batch.column(text_col).to_pylist():
+                    counter.trim()
+                    sizes.append(len((text or "").encode()))
+                    counts.append(counter.count(text or ""))
+                made = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *made], [id_col, "n_bytes", "n_tokens", "over_limit"])
+        finally:
+            counter.clear()  # an idle worker keeps no words; the transitions stay, up to their bound
 
     slim = docs.select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()

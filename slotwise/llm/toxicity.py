@@ -153,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     parts = [known.filter(F.col("label") == k).orderBy("place", "doc_id").limit(rows) for k in (0, 1)]
     sample = F.broadcast(stage_table(parts[0].unionByName(parts[1]), "toxic-sample"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chosen = stage_table(slim.join(sample, "doc_id").select("place", "label", "text").repartition(16, "place"), "toxic-train")
-    # A repeated id brings all its rows; the sample stays bounded by a second limit.
-    chosen = chosen.orderBy("place", F.xxhash64("text")).limit(2 * rows)
+    # One row of a repeated id, that with the smallest text hash, so the sample stays bounded.
+    chosen = slim.join(sample, "doc_id").groupBy("place", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = stage_table(chosen, "toxic-train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sizes = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
