@@ -15,11 +15,15 @@ sequence; no words: empty, linked with nothing).  Documents link if
    the estimates.
 3. Documents that post one n-gram and lie in one size band, or in neighbouring
    ones, meet at the smallest of their ids.  A document that meets others in a
-   band by fewer n-grams than any partner could ask for leaves it.  The others of
-   one meeting point are cut into hashed blocks of about ``BLOCK`` documents, and a
-   task compares two blocks: shared prefix n-grams, then sizes, then the exact
-   intersection.  It returns a spanning forest of the links it finds, never all pairs.
-4. Star contraction joins the links into components.
+   band by fewer n-grams than any partner could ask for leaves it.
+4. Every meeting first compares its documents with one of them, the one that shares
+   most, in hashed blocks of about ``BLOCK``: work linear in the meeting, and enough
+   for most copies.  Star contraction joins the links found.
+5. Only documents that are then not in the component of their meeting's centre are
+   compared with the others of the meeting, two blocks at a time: shared prefix
+   n-grams, then sizes, then the exact intersection.  A task returns a spanning
+   forest of the links it finds, never all pairs.  A second star contraction ends
+   the work.
 
 Edge cases: null and empty texts have empty sets and stay alone; rows with the
 same id count as one document; a component in which no row has an id has a null
@@ -155,20 +159,35 @@ def _postings(slim: DataFrame, size: int, hot: np.ndarray, percent: int) -> Data
     return slim.mapInArrow(run, "token long, id long, n int")
 
 
-def _compare(hot: np.ndarray, size: int, percent: int):  # noqa: ANN202
+def _sets_of(pdf: pd.DataFrame, hot: np.ndarray, size: int, percent: int) -> tuple[Sets, np.ndarray, np.ndarray]:
+    data, offs = buffers(pa.array(pdf["text"], pa.string()))
+    sets = Sets(data, offs, size)
+    return sets, *prefixes(sets, hot, percent)
+
+
+def _with_centre(hot, size: int, percent: int):  # noqa: ANN001, ANN202
+    """Which documents of a block link with the meeting's centre."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre = pdf["is_centre"].to_numpy(bool)
+        linked = _linked(*_sets_of(pdf, hot.value, size, percent), np.logical_xor.outer(centre, centre), percent)
+        out = pdf.loc[~centre, ["hub", "band", "id", "guest"]]
+        return out.assign(linked=linked[~centre][:, centre].any(axis=1))
+
+    return run
+
+
+def _compare(hot, size: int, percent: int):  # noqa: ANN001, ANN202
     """Links between the documents of two blocks, as a spanning forest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
-        data, offs = buffers(pa.array(pdf["text"], pa.string()))
-        sets = Sets(data, offs, size)
-        posted, matches = prefixes(sets, hot.value, percent)
-        wanted = ~np.logical_and.outer(guest := pdf["guest"].to_numpy(bool), guest)
+        guest, known = pdf["guest"].to_numpy(bool), pdf["known"].to_numpy(bool)
+        wanted = ~np.logical_and.outer(guest, guest) & ~np.logical_and.outer(known, known)
         if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
             block = pdf["block"].to_numpy()
             wanted &= block[:, None] != block[None, :]
-        linked = _linked(sets, posted, matches, wanted, percent)
-        left, right = _forest(linked)
+        left, right = _forest(_linked(*_sets_of(pdf, hot.value, size, percent), wanted, percent))
         return pd.DataFrame({"a": ids[left], "b": ids[right]})
 
     return run
@@ -240,7 +259,46 @@ def _meetings(met: DataFrame, percent: int) -> DataFrame:
     members = stage_table(members, "meetings")
     least = F.floor(F.lit(percent) * F.col("n") / F.lit(100 * STEP)) + 1
     enough = members.groupBy("id", "band", "n").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("id", "band", "n")
-    return members.join(enough, ["id", "band", "n"]).select("hub", "band", "id", "guest")
+    return members.join(enough, ["id", "band", "n"]).select("hub", "band", "id", "guest", "times")
+
+
+def _links(members: DataFrame, texts: DataFrame, same: DataFrame, hot, size: int, percent: int) -> DataFrame:  # noqa: ANN001
+    """Links between the documents that meet, enough of them to join every component."""
+    meeting = ["hub", "band"]
+    block = F.expr("cast(pmod(xxhash64(id, hub), blocks) as int)")
+    heads = members.groupBy(*meeting).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("all"),
+        F.sum(F.col("guest").cast("int")).alias("guests"),
+        F.max(F.struct("times", "id")).alias("most"),
+    )
+    heads = stage_table(heads.filter("all > 1 and all > guests").select(*meeting, "blocks", F.col("most.id").alias("centre")), "heads")
+    live = skew_join(members, heads, meeting)
+    # Neither side has a bound, so no broadcast even where one looks small.
+    texts = stage_table(texts.hint("merge").join(live.select("id").distinct(), "id"), "member-texts")
+
+    own = live.filter("id <> centre").select(*meeting, block.alias("block"), "id", "guest", F.lit(False).alias("is_centre"))
+    centres = heads.select(*meeting, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("centre").alias("id"))
+    centres = centres.withColumns({"guest": F.lit(False), "is_centre": F.lit(True)})
+    first = own.unionByName(centres).hint("merge").join(texts, "id").groupBy(*meeting, "block")
+    first = first.applyInPandas(_with_centre(hot, size, percent), "hub long, band int, id long, guest boolean, linked boolean")
+    first = first.groupBy(*meeting, "id", "guest").agg(F.max("linked").alias("linked"))
+    first = stage_table(skew_join(first, heads.select(*meeting, "centre"), meeting), "first-links")
+    near = first.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b")).unionByName(same)
+
+    groups = components(near)
+    placed = first.join(groups.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+    placed = placed.join(groups.select(F.col("node").alias("centre"), F.col("component").alias("middle")), "centre", "left")
+    known = F.coalesce("own", "id") == F.coalesce("middle", "centre")
+    placed = stage_table(placed.select(*meeting, "id", "guest", known.alias("known")), "placed")
+    counts = placed.groupBy(*meeting).agg(*(F.ceil(F.sum((F.col("known") == k).cast("int")) / F.lit(BLOCK)).cast("int").alias(n) for k, n in ((False, "open"), (True, "done"))))
+    rest = skew_join(placed, stage_table(counts.filter("open > 0"), "open"), meeting)
+    # Blocks of open documents come first and meet every block; those of known ones meet open blocks only.
+    mine = F.expr("cast(pmod(xxhash64(id, hub), if(known, done, open)) as int) + if(known, open, 0)")
+    rest = rest.withColumn("block", mine).withColumn("other", F.explode(F.expr("sequence(0, if(known, open, open + done) - 1)")))
+    rest = rest.select(*meeting, "id", "guest", "known", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    far = rest.hint("merge").join(texts, "id").groupBy(*meeting, "low", "high").applyInPandas(_compare(hot, size, percent), "a long, b long")
+    return near.unionByName(far)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -267,16 +325,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token")
     met = stage_table(skew_join(postings, common, ["token"]), "postings").join(copies.select("id"), "id", "left_anti")
     members = stage_table(_meetings(met, percent), "members")
-    sizes = members.groupBy("hub", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("all"), F.sum(F.col("guest").cast("int")).alias("guests"))
-    sizes = sizes.filter("all > 1 and all > guests").select("hub", "band", "blocks")
-    placed = skew_join(members, sizes, ["hub", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(id, hub), blocks) as int)"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("hub", "band", "id", "guest", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = slim.select(F.col("key_id").alias("id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(hot.astype(np.float32))
-    # Neither side has a bound, so no broadcast even where one looks small.
-    links = placed.hint("merge").join(texts, "id").groupBy("hub", "band", "low", "high").applyInPandas(_compare(shared, size, percent), "a long, b long")
-    groups = components(links.unionByName(same))
+    links = _links(members, slim.select(F.col("key_id").alias("id"), "text"), same, shared, size, percent)
+    groups = components(links)
 
     named = nodes.join(copies, nodes["key_id"] == copies["id"], "left").drop("id").withColumn("rep", F.coalesce("rep", "key_id"))
     named = named.join(groups, named["rep"] == groups["node"], "left")
