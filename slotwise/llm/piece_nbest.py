@@ -18,8 +18,8 @@ differ from it.
 Decoding joins pieces and bytes, turns ``▁`` into spaces and drops the dummy
 space; it returns the text that was encoded, but that ``▁`` itself becomes a space.
 
-Texts are independent: one pass without a shuffle.  A worker keeps at most
-``CACHE`` units.  The model file's path is a parameter; its bytes (half a megabyte)
+Texts are independent: one pass without a shuffle.  A task keeps at most
+``CACHE`` units and forgets them at its end.  The model file's path is a parameter; its bytes (half a megabyte)
 travel with the task.
 
 Edge cases: null and empty texts have no pieces, a score of 0 and decode to an
@@ -259,24 +259,27 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value, nbest)
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for lo, hi in _parts(texts):
-                ids, ends, scores = encoder.encode(texts[lo:hi])
-                plain = ids.tolist()
-                bounds = ends.tolist()
-                decoded = [encoder.lattice.decode(plain[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                same = [d == (t or "").replace(SPACE, " ") for d, t in zip(decoded, texts[lo:hi], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(id_col).slice(lo, hi - lo),
-                        pa.array([len((t or "").encode()) for t in texts[lo:hi]], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
-                        pa.array(scores, pa.list_(pa.float64())),
-                        pa.array(same),
-                    ],
-                    [id_col, "n_bytes", "ids", "scores", "round_trip"],
-                )
+        try:
+            for batch in batches:
+                texts = batch.column(text_col).to_pylist()
+                for lo, hi in _parts(texts):
+                    ids, ends, scores = encoder.encode(texts[lo:hi])
+                    plain = ids.tolist()
+                    bounds = ends.tolist()
+                    decoded = [encoder.lattice.decode(plain[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    same = [d == (t or "").replace(SPACE, " ") for d, t in zip(decoded, texts[lo:hi], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(id_col).slice(lo, hi - lo),
+                            pa.array([len((t or "").encode()) for t in texts[lo:hi]], pa.int64()),
+                            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                            pa.array(scores, pa.list_(pa.float64())),
+                            pa.array(same),
+                        ],
+                        [id_col, "n_bytes", "ids", "scores", "round_trip"],
+                    )
+        finally:
+            encoder._clear()  # an idle worker keeps no cache
 
     slim = docs.select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()
