@@ -90,6 +90,11 @@ def with_fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df.withColumn("marks", F.array_distinct(marks))
 
 
+def _exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element; a plain explode would push a filter on the whole chain of hashes down to the scan."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _window(length: int):  # noqa: ANN202
     return lambda p, i: F.struct(i.alias("at"), F.lit(length).alias("length"), p["a"].alias("a"), p["b"].alias("b"))
 
@@ -104,7 +109,7 @@ def windows(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
         pairs = F.zip_with(_head(name, gap), _tail(name, gap), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         lists.append(F.transform(pairs, _window(length)))
     every = lists[0] if len(lists) == 1 else F.concat(*lists)
-    return df.select(*keep, F.explode(every).alias("w")).select(*keep, "w.*")
+    return _exploded(df, every, "w", *keep).select(*keep, "w.*")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def find_hits(
             out = out.unionByName(part)
         return out.distinct()
 
-    marks = stage_table(per_length(lambda df, n: with_fingerprints(df, [n]).select(F.explode("marks").alias("mark"))), "marks")
+    marks = stage_table(per_length(lambda df, n: _exploded(with_fingerprints(df, [n]), F.col("marks"), "mark")), "marks")
     targets = stage_table(per_length(lambda df, n: windows(df.drop("length"), [n], "item").drop("at")), "targets")
 
     slim = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
@@ -137,8 +142,8 @@ def find_hits(
     first = (F.col("at").isNull() | (F.col("at") == 0)).cast("int")
     seen = stage_table(joined.groupBy("doc_id", *KEY, "n_words").agg(F.max("hit").alias("hit"), F.sum(first).alias("rows")), "seen")
 
-    suspects = split.join(seen.filter("hit").select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
-    places = windows(suspects, lengths, *KEY)
+    suspects = slim.drop("doc_id").join(seen.filter("hit").select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    places = windows(suspects.select(*KEY, words_of(F.col("text")).alias("words")), lengths, *KEY)
     found = places.join(_sized(targets), ["length", "a", "b"]).groupBy(*KEY).agg(
         F.collect_set(F.struct("at", "length")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
     )
