@@ -3,6 +3,8 @@
 A window of ``window`` words is repeated if its word sequence also starts anywhere
 else, in the same text or another.  Words inside repeated windows are removed.
 
+(A window of fewer than 26 words starts with shorter seeds.)
+
 Level 9: among the ``window - 8`` nine-word runs inside a window, the one with the
 smallest hash (the leftmost of equals) is its seed, so equal windows have equal
 seeds at equal places, and about one word in fourteen starts a seed.  Windows in
@@ -17,8 +19,9 @@ Level 18: their seeds are extended to twice the length, to the left and to the
 right; a window holds at least one of the two.  Where an extension occurs only
 once, the windows that hold it are dropped.
 
-Last level: the windows left are compared at full length, and with that no
-candidates survive.
+Last level: the windows left are compared at full length.  ``remove_repeats`` ends
+here, as longer repeats change nothing about the words to remove; ``repeat_levels``
+goes on to twice the length, and so on until no candidates survive.
 
 Counts are grouped sums over all texts with partial sums in each task, so a
 passage shared by a third of all texts is as cheap as any other; joins are by
@@ -41,12 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.llm.common import KEY, Words, chunks, prepare, row_key, run_hash, signed, stage_table
+from slotwise.llm.common import KEY, Words, chunks, prepare, row_key, run_hash, signed, skew_join, stage_table
 
-SEED = 9
 HIDDEN = [f"_llm_{k}" for k in KEY]
 
 
+def seed_size(window: int) -> int:
+    """Words of a seed: 9, or fewer such that every window holds the seed's extension to one side."""
+    return min(9, (window + 1) // 3)
+
+
 def _leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` values, the place of the leftmost smallest one."""
     at, done = np.arange(len(values)), 1
@@ -65,13 +72,14 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
     count = len(words) - window + 1
     if count <= 0:
         return None
-    seeds, _ = words.grams(SEED)
+    seed = seed_size(window)
+    seeds, _ = words.grams(seed)
     ends = words.bounds[1:][words.doc]
     first = np.arange(count)
     first = first[first + window <= ends[first]]
     if not len(first):
         return None
-    place = _leftmost_smallest(seeds, window - SEED + 1)[first]
+    place = _leftmost_smallest(seeds, window - seed + 1)[first]
     new = np.ones(len(first), bool)
     new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)
     begin = np.flatnonzero(new)
@@ -79,7 +87,7 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
     a, at = first[begin], place[begin]
     doc = words.doc[a]
     total = words.sums()
-    left, right = at - SEED, at + 2 * SEED
+    left, right = at - seed, at + 2 * seed
     has_left, has_right = left >= words.bounds[doc], right <= words.bounds[doc + 1]
     return {
         "doc": doc,
@@ -88,7 +96,7 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
         "at": at - a,
         "seed": seeds[at],
         "run": run_hash(total, a, a + size - 1 + window, 5),
-        "left": np.where(has_left, run_hash(total, np.where(has_left, left, at), np.where(has_left, at + SEED, at), 6), 0),
+        "left": np.where(has_left, run_hash(total, np.where(has_left, left, at), np.where(has_left, at + seed, at), 6), 0),
         "right": np.where(has_right, run_hash(total, at, np.where(has_right, right, at), 7), 0),
     }
 
@@ -96,7 +104,7 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
 def _find_runs(slim: DataFrame, window: int, columns: str) -> DataFrame:
     """Runs of all texts; ``columns`` of key_id, key_th, first, size, at, seed, run, left, right."""
     names = columns.split()
-    kinds = {"key_id": "long", "key_th": "int", "first": "int", "size": "int", "at": "int"}
+    kinds = dict.fromkeys(("key_th", "first", "size", "at", "left", "right"), "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,11 +117,11 @@ def _find_runs(slim: DataFrame, window: int, columns: str) -> DataFrame:
                 for c in names:
                     if c in KEY:
                         out.append(pa.array(keys[f"_llm_{c}"][rows][found["doc"]]))
+                    elif c in ("left", "right"):  # half a hash is enough to rule windows out
+                        values = (found[c].astype(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                        out.append(pa.array(values.view(np.int32), mask=values == 0))
                     elif c in kinds:
                         out.append(pa.array(found[c].astype(np.int32)))
-                    elif c in ("left", "right"):
-                        values = found[c].astype(np.uint64)
-                        out.append(pa.array(values.view(np.int64), mask=values == 0))
                     else:
                         out.append(signed(found[c]))
                 yield pa.RecordBatch.from_arrays(out, names)
@@ -157,7 +165,7 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
 def _repeated_spans(slim: DataFrame, window: int) -> DataFrame:
     """(key_id, key_th, spans): the first word and number of windows of each repeated stretch of a text."""
     seeds = _find_runs(slim, window, "seed").groupBy("seed").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("seed")
-    rows = _find_runs(slim, window, "key_id key_th first size at seed run left right").join(seeds, "seed")
+    rows = skew_join(_find_runs(slim, window, "key_id key_th first size at seed run left right"), seeds, ["seed"])
     rows = stage_table(rows, "runs")
 
     sample = F.min(F.struct(*KEY, "first", "size", "at", "left", "right")).alias("one")
@@ -166,24 +174,69 @@ def _repeated_spans(slim: DataFrame, window: int) -> DataFrame:
     spans = rows.join(sure, ["seed", "run"]).select(*KEY, "first", "size")
 
     open_seeds = kinds.filter("times = 1").select("seed").distinct()
-    live = kinds.join(open_seeds, "seed", "left_semi").select("seed", "times", "one.*")
+    live = stage_table(skew_join(kinds, open_seeds, ["seed"], "left_semi").select("seed", "times", "one.*"), "live")
     for side in ("left", "right"):
         twice = live.filter(F.col(side).isNotNull()).groupBy("seed", side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        live = live.join(twice.select("seed", side, F.lit(True).alias(f"{side}_twice")), ["seed", side], "left")
+        live = skew_join(live, twice.select("seed", side, F.lit(True).alias(f"{side}_twice")), ["seed", side], "left")
     live = live.filter("left_twice or right_twice")
     last = F.col("first") + F.col("size") - 1
-    seed_at = F.col("first") + F.col("at")
-    lo = F.when(F.col("left_twice").isNull(), F.greatest(F.col("first"), seed_at - (window - 2 * SEED))).otherwise(F.col("first"))
-    hi = F.when(F.col("right_twice").isNull(), F.least(last, seed_at - SEED)).otherwise(last)
+    seed, seed_at = seed_size(window), F.col("first") + F.col("at")
+    lo = F.when(F.col("left_twice").isNull(), F.greatest(F.col("first"), seed_at - (window - 2 * seed))).otherwise(F.col("first"))
+    hi = F.when(F.col("right_twice").isNull(), F.least(last, seed_at - seed)).otherwise(last)
     ranges = live.select(*KEY, lo.alias("lo"), hi.alias("hi"), "seed", (F.col("times") == 1).alias("alone")).filter("lo <= hi")
     ranges = ranges.groupBy(*(F.col(k).alias(h) for k, h in zip(KEY, HIDDEN, strict=True))).agg(F.collect_list(F.struct("lo", "hi", "seed", "alone")).alias("ranges"))
     windows = _windows(slim.join(ranges, HIDDEN), window)
     again = windows.groupBy("seed", "window").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).filter("n > 1 and any").select("seed", "window")
-    hits = windows.filter("alone").join(again, ["seed", "window"]).select(*KEY, "first", F.lit(1).alias("size"))
+    hits = skew_join(windows.filter("alone"), again, ["seed", "window"]).select(*KEY, "first", F.lit(1).alias("size"))
     both = spans.unionByName(hits)
     return both.groupBy(*(F.col(k).alias(h) for k, h in zip(KEY, HIDDEN, strict=True))).agg(F.collect_list(F.struct("first", "size")).alias("spans"))
 
 
+def _extendable(spans: DataFrame, window: int) -> DataFrame:
+    """Keys of the texts in which one repeated window starts ``window`` words after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for own in batch.column("spans"):
+                first, size = (own.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                edge = np.zeros(int((first + size).max()) + window + 1, np.int64)
+                np.add.at(edge, first, 1)
+                np.subtract.at(edge, first + size, 1)
+                starts = np.cumsum(edge) > 0
+                found.append(bool((starts[:-window] & starts[window:]).any()))
+            yield pa.RecordBatch.from_arrays([batch.column(h) for h in HIDDEN], HIDDEN).filter(pa.array(found, pa.bool_()))
+
+    return spans.mapInArrow(run, f"{HIDDEN[0]} long, {HIDDEN[1]} int")
+
+
+def repeat_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+    """One row per document: ``doc_id``, key columns and ``level``, the longest repeat found by doubling (0: none).
+
+    Levels go on from ``window`` words to twice that length and so on.  A longer
+    window can only be repeated if both its halves are, so just the texts with a
+    repeated window right behind another one reach the next level; the loop ends
+    when no candidates survive.
+    """
+    prepare(docs.sparkSession)
+    hidden = dict(zip(HIDDEN, row_key(id_col, text_col), strict=True))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_llm_text"), *(c.alias(h) for h, c in hidden.items()))
+    left, level, found = slim.select(*HIDDEN, "_llm_text"), window, []
+    while True:
+        spans = stage_table(_repeated_spans(left, level), "level")
+        if spans.isEmpty():
+            break
+        found.append(spans.select(*HIDDEN, F.lit(level).alias("level")))
+        left = stage_table(slim.select(*HIDDEN, "_llm_text").join(_extendable(spans, level).distinct(), HIDDEN, "left_semi"), "candidates")
+        level *= 2
+    out = slim.select("doc_id", *HIDDEN)
+    for part in found:  # the levels of a text are nested, so the last one found counts
+        out = out.join(part.withColumnRenamed("level", "_level"), HIDDEN, "left").withColumn("level", F.coalesce("_level", *(["level"] if "level" in out.columns else []), F.lit(0))).drop("_level")
+    if not found:
+        out = out.withColumn("level", F.lit(0))
+    return out.select("doc_id", *(F.col(h).alias(k) for h, k in zip(HIDDEN, KEY, strict=True)), "level")
+
+
 def _covered(words: Words, part: pa.Array, window: int) -> np.ndarray:
     """Words of some texts that lie in the windows of their ``spans``."""
     edge = np.zeros(len(words) + 1, np.int64)
@@ -225,16 +278,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The kept words are joined by one space; with ``layout`` the text around the
     cuts stays as it is, and a text without repeats unchanged.  ``window`` is at
-    least 18; ``n_words`` and ``n_removed`` name the added columns.
+    least 2; ``n_words`` and ``n_removed`` name the added columns.
     """
     prepare(docs.sparkSession)
-    if window < 2 * SEED:
-        raise ValueError(f"window must be at least {2 * SEED} words")
+    if window < 2:
+        raise ValueError("window must be at least 2 words")
     hidden = dict(zip(HIDDEN, row_key(id_col, text_col), strict=True))
     marked = docs.withColumns(hidden | {"_llm_text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))}).drop(text_col)
     slim = marked.select(*HIDDEN, "_llm_text")
     spans = _repeated_spans(slim, window)
-    joined = marked.join(spans, HIDDEN, "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,size:int>>)")))
+    none = F.expr("cast(array() as array<struct<first:int,size:int>>)")
+    joined = marked.join(spans.withColumnRenamed("spans", "_llm_spans"), HIDDEN, "left").withColumn("_llm_spans", F.coalesce("_llm_spans", none))
     others = [c for c in docs.columns if c != text_col]
     order = [*docs.columns, n_words, n_removed]
 
@@ -242,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for rows, data, offs in chunks(batch, "_llm_text"):
                 words = Words(data, offs)
-                gone = _covered(words, batch.column("spans").slice(rows.start, rows.stop - rows.start), window)
+                gone = _covered(words, batch.column("_llm_spans").slice(rows.start, rows.stop - rows.start), window)
                 made = {c: batch.column(c).slice(rows.start, rows.stop - rows.start) for c in others}
                 made[text_col] = pa.array(_cut(data, words, gone, layout), pa.string())
                 total = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
@@ -252,4 +306,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
-    return joined.select(*others, "_llm_text", "spans").mapInArrow(run, schema)
+    return joined.select(*others, "_llm_text", "_llm_spans").mapInArrow(run, schema)

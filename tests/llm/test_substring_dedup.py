@@ -63,3 +63,23 @@ def test_empty_table_and_short_window(spark):
     assert run(spark, []) == Counter()
     with pytest.raises(ValueError, match="window"):
         sd.remove_repeats(cases.table(spark, []), window=1)
+
+
+def test_levels_double_until_none_survive(spark):
+    passages = [t.split() for t in cases.sentences(77, 3, 100, 4000)]
+    rows = [(1, " ".join(passages[0])), (2, "a " + " ".join(passages[0])), (3, " ".join(passages[0][:20])), (4, " ".join(passages[1][:7] + passages[2])), (5, " ".join(passages[1][:7]))]
+    rows += [(6, None), (7, "x " * 30), (8, " ".join(passages[2][40:53])), (None, " ".join(passages[2][40:46]))]
+    words = [(t or "").split() for _, t in rows]
+    want = []
+    for (i, _), own in zip(rows, words, strict=True):
+        level, size = 0, 6
+        while True:
+            count = Counter(tuple(w[k : k + size]) for w in words for k in range(len(w) - size + 1))
+            if not any(count[tuple(own[k : k + size])] > 1 for k in range(len(own) - size + 1)):
+                break
+            level, size = size, 2 * size
+        want.append((i, level))
+    found = sd.repeat_levels(cases.table(spark, rows), window=6).select("doc_id", "level").collect()
+    assert Counter(map(tuple, found)) == Counter(want)
+    assert max(x for _, x in want) == 96
+    assert sd.repeat_levels(cases.table(spark, [])).count() == 0
