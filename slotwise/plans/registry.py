@@ -10,6 +10,7 @@ report works over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from slotwise import settings as S
 from slotwise.plans import reports as P
 from slotwise.schemas import JOB_SCALAR_COLUMNS
+from slotwise.session import ensure_checkpoint_dir
+from slotwise.sources import jobs as src
 from slotwise.sources.fixture import AS_OF, Fixture, load_fixture, with_repeated_rows
 
 # Fixed parameters of the registered queries (relative to the fixture's AS_OF).
@@ -155,10 +158,56 @@ def _over_repeated(report: Callable[[SparkSession, Fixture], DataFrame]) -> Call
 REPORTS = {name: _over_repeated(report) if name in REPEATED else report for name, report in REPORTS.items()}
 
 
+def export(spark: SparkSession, fx: Fixture) -> str:
+    """Write the job history and the catalog tables as an export, into a new folder of the shared scratch folder."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/slotwise-export-{uuid.uuid4().hex[:12]}"
+    cat = fx.catalog
+    tables = {"jobs": fx.jobs, "tables": cat.tables, "assignments": cat.assignments, "reservations": cat.reservations}
+    for name, df in (tables | {"storage": fx.table_storage}).items():
+        df.write.parquet(f"{base}/{name}")
+    return base
+
+
+def _from_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 over an export, read by the readers."""
+    base = export(spark, fixture(spark, sf_dir))
+    return P.slot_utilization(
+        src.read_jobs(spark, f"{base}/jobs"),
+        src.read_assignments(spark, f"{base}/assignments"),
+        src.read_reservations(spark, f"{base}/reservations"),
+        src.read_tables(spark, f"{base}/tables"),
+        SETTINGS["slot_utilization"],
+    )
+
+
+def _project_from_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 over one project's rows of an export."""
+    fx = fixture(spark, sf_dir)
+    base = export(spark, replace(fx, jobs=with_repeated_rows(fx.jobs)))
+    return P.most_used_predicates(src.read_jobs(spark, f"{base}/jobs", project_id="proj-0"), SETTINGS["predicates"])
+
+
+def _sizes_from_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 with table sizes over an export."""
+    fx = fixture(spark, sf_dir)
+    base = export(spark, replace(fx, jobs=with_repeated_rows(fx.jobs)))
+    storage = src.read_table_storage(spark, f"{base}/storage")
+    return P.most_used_predicates_all_reads(src.read_jobs(spark, f"{base}/jobs"), SETTINGS["predicates"], table_storage=storage)
+
+
+FROM_EXPORT = {
+    "slot_utilization_from_export": _from_export,
+    "most_used_predicates_project_from_export": _project_from_export,
+    "most_used_predicates_sizes_from_export": _sizes_from_export,
+}
+# They share the oracle of the report without the suffix.
+SAME_ORACLE |= {name: name.removesuffix("_from_export") for name in FROM_EXPORT}
+
+
 # Reports over a test-data folder: (spark, sf_dir) -> DataFrame.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _over_folder(report) for name, report in REPORTS.items()
-}
+} | FROM_EXPORT
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
