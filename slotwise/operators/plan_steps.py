@@ -242,6 +242,15 @@ def split_regular(jobs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return jobs.join(others, "job_id", "left_anti"), jobs.join(others, "job_id", "left_semi")
 
 
+def _exploded(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
+    """``keep`` and one row per (never NULL) element of a computed array.
+
+    A plain ``explode`` makes the optimizer push a filter on the array's size down
+    to the scan, which would compute the array twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _input_stages() -> Column:
     """Per input stage: its scalar fields and its parsed READ sub-steps, never NULL."""
     return F.filter(F.col("job_stages"), lambda s: s["name"].endswith(pt.INPUT_STAGE_SUFFIX))
@@ -343,8 +352,7 @@ def usage_levels_in_row(
             ),
         ),
     )
-    exploded = staged.select("job_id", F.explode(level_rows).alias("lv"))
-    return exploded.select("lv.table_name", "lv.predicate_column", "lv.level", "job_id")
+    return _exploded(staged, ["job_id"], level_rows, "lv").select("lv.table_name", "lv.predicate_column", "lv.level", "job_id")
 
 
 def table_predicates_in_row(
@@ -360,7 +368,7 @@ def table_predicates_in_row(
     turn, so no job's whole result is ever one array.
     """
     job_columns = list(job_columns)
-    stages = jobs.select(*job_columns, F.explode_outer(_input_stages()).alias("js")).filter("js IS NOT NULL")
+    stages = _exploded(jobs, job_columns, _input_stages(), "js")
     fields = [F.col(f"js.{c}").alias(c) for c in STAGE_COLUMNS[2:]]
     named = stages.select(*job_columns, *fields, F.col("js.name").alias("stage_name"), _read_substeps(F.col("js")).alias("_subs"))
     scalars = [*job_columns, *STAGE_COLUMNS[2:], "stage_name"]
@@ -369,11 +377,12 @@ def table_predicates_in_row(
         *scalars,
         F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)).alias("_wheres"),
         _column_pairs(subs, strict, trim).alias("_cols"),
-        _tables(subs).alias("_tables"),
+        F.transform(_tables(subs), lambda t: F.struct(t.alias("table_name"))).alias("_tables"),
     )
-    wheres = parsed.select(*scalars, "_cols", "_tables", F.explode("_wheres").alias("substep"))
-    keys = wheres.select(*scalars, "_cols", "_tables", "substep", F.explode(pt.predicate_keys(F.col("substep"))).alias("_key"))
+    wheres = _exploded(parsed, [*scalars, "_cols", "_tables"], F.col("_wheres"), "substep")
+    keys = _exploded(wheres, [*scalars, "_cols", "_tables", "substep"], pt.predicate_keys(F.col("substep")), "_key")
     matched = F.filter("_cols", lambda c: c["key"] == F.col("_key"))
-    cols = keys.select(*scalars, "_tables", "substep", F.explode(matched).alias("_col"))
-    tables = cols.select(*scalars, "substep", F.col("_col.col").alias("predicate_column"), F.explode("_tables").alias("table_name"))
+    cols = _exploded(keys, [*scalars, "_tables", "substep"], matched, "_col")
+    cols = cols.withColumn("predicate_column", F.col("_col.col"))
+    tables = _exploded(cols, [*scalars, "substep", "predicate_column"], F.col("_tables"), "_table").withColumn("table_name", F.col("_table.table_name"))
     return tables.select(*LISTING_COLUMNS)
