@@ -142,7 +142,8 @@ def find_hits(
     first = (F.col("at").isNull() | (F.col("at") == 0)).cast("int")
     seen = stage_table(joined.groupBy("doc_id", *KEY, "n_words").agg(F.max("hit").alias("hit"), F.sum(first).alias("rows")), "seen")
 
-    suspects = slim.drop("doc_id").join(seen.filter("hit").select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    # Written once, so that hashing starts from a scan again; repeated rows are as one in the sets below.
+    suspects = stage_table(slim.drop("doc_id").join(seen.filter("hit").select(*KEY).distinct(), KEY, "left_semi"), "suspects")
     places = windows(suspects.select(*KEY, words_of(F.col("text")).alias("words")), lengths, *KEY)
     found = places.join(_sized(targets), ["length", "a", "b"]).groupBy(*KEY).agg(
         F.collect_set(F.struct("at", "length")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
