@@ -105,3 +105,40 @@ def test_equal_cosines_take_the_first_template(spark):
     df = spark.createDataFrame([("a/f", "same words here")], "path string, text string")
     assert ls.scan(df, templates=[("X", "same words here"), ("Y", "here same words")]).first()["license"] == "X"
     assert ls.scan(df.withColumn("text", F.lit("none at all")), templates=[("X", "same words here")]).first()["license"] is None
+
+
+def true_cosines(texts, templates):
+    """TF-IDF with the document frequencies of all terms: the best name and cosine of each text's only paragraph."""
+    df = Counter(w for t in texts for w in set(words(t)))
+    vector = lambda t: {w: k * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, k in Counter(words(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(n, vector(t)) for n, t in templates]
+    out = []
+    for text in texts:
+        v = vector(text)
+        found = [(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), n) for n, t in known]
+        out.append(max(found, key=lambda x: x[0]))
+    return out
+
+
+def test_frequencies_of_all_terms(spark):
+    """Words that stand in every file pull no notice below the limit, and at a larger size the verdict stays."""
+    for files in (40, 400):
+        notice = "Copyright (c) 2024 Foo Bar. Released under the MIT License."
+        texts = [notice, "foo bar of 2024 released under the mit license", "rare words here all rights reserved", *(f"copyright c 2024 foo bar page{i}" for i in range(files))]
+        df = spark.createDataFrame([(i, f"f{i}", t) for i, t in enumerate(texts)], "n int, path string, text string")
+        found = {r["n"]: (r["license"], r["cosine"]) for r in ls.scan(df, keep=["n"]).collect()}
+        want = true_cosines(texts, ls.TEMPLATES)
+        assert found == {i: (n, pytest.approx(c, abs=1e-8)) if c >= 0.8 else (None, None) for i, (c, n) in enumerate(want)}
+        assert found[0][0] == "MIT" and found[2] == (None, None)
+
+
+def test_whole_licence_paragraphs(spark):
+    texts = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\nIf a copy of the MPL was not distributed with this file,\nYou can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    df = spark.createDataFrame([(n, t) for n, t in texts.items()] + [("none", t) for t in cases.sentences(9, 20, 30)], "path string, text string")
+    found = {r["path"]: (r["license"], r["cosine"]) for r in ls.scan(df).collect()}
+    assert found == {n: (n, pytest.approx(1.0)) for n in texts} | {"none": (None, None)}
