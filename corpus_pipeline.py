@@ -40,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's piece ids, its three best segmentation scores, and whether decoding gives the text back."""
+    """Every document's three best segmentations, their scores, and whether decoding each gives the text back."""
     return piece_nbest.encode(docs, tokenizer_path("piece_bpe_32k.model"), nbest=3)
 
 

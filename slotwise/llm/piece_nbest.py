@@ -13,7 +13,7 @@ below the worst piece.
 
 The N best of a text are the N smallest sums of losses against the best
 segmentation, one per unit; only the N - 1 units with the cheapest second choice can
-differ from it.
+differ from it.  Only these units' other paths are walked and spelt.
 
 Decoding joins pieces and bytes, turns ``▁`` into spaces and drops the dummy
 space; it returns the text that was encoded, but that ``▁`` itself becomes a space.
@@ -23,7 +23,7 @@ Texts are independent: one pass without a shuffle.  A task keeps at most
 travel with the task.
 
 Edge cases: null and empty texts have no pieces, a score of 0 and decode to an
-empty text; a text with one segmentation only has shorter lists; null ids pass
+empty text, in one segmentation; a text with fewer segmentations than N has shorter lists; null ids pass
 through; an empty table returns none.
 """
 
@@ -34,10 +34,12 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from slotwise.llm.common import CHUNK_BYTES, prepare
 
@@ -164,6 +166,7 @@ class Encoder(dict):
         self.clear()
         self.ids, self.ends, self.scores = array("i"), array("q", [0]), array("d")
         self.losses = array("d")
+        self.spelt: dict[str, list[np.ndarray]] = {}
 
     def _learn(self, units: list[str]) -> None:
         for unit, found in zip(units, self.lattice.units(units), strict=True):
@@ -176,6 +179,32 @@ class Encoder(dict):
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """Ids of the best segmentations end to end, their ends, and the N best scores of each text."""
+        _, bounds, flat, total, scores, _ = self._encode(texts)
+        return flat, total[bounds], scores
+
+    def encode_all(self, texts: list[str | None]) -> tuple[list[list[np.ndarray]], list[list[float]]]:
+        """The ids of the N best segmentations of each text, best first, and their scores."""
+        units, bounds, flat, total, scores, choices = self._encode(texts)
+        found = []
+        for lo, hi, ways in zip(bounds[:-1], bounds[1:], choices, strict=True):
+            own = []
+            for way in ways:
+                parts, at = [], total[lo]
+                for row, rank in sorted(way):
+                    parts += [flat[at : total[lo + row]], self._other(units[lo + row], rank)]
+                    at = total[lo + row + 1]
+                parts.append(flat[at : total[hi]])
+                own.append(np.concatenate(parts) if way else parts[0])
+            found.append(own)
+        return found, scores
+
+    def _other(self, unit: str, rank: int) -> np.ndarray:
+        if unit not in self.spelt:
+            self.spelt[unit] = [np.array(ids, np.int32) for _, ids in self.lattice.unit(unit)]
+        return self.spelt[unit][rank]
+
+    def _encode(self, texts: list[str | None]) -> tuple:
+        """The texts' units, their bounds by text, the best ids and their ends by unit, and by text the N best scores and choices."""
         if len(self) > CACHE:
             self._clear()
         units: list[str] = []
@@ -186,7 +215,7 @@ class Encoder(dict):
             bounds.append(len(units))
         self._learn(sorted(set(units).difference(self)))
         if not units:
-            return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64), [[0.0] for _ in texts]
+            return units, bounds, np.zeros(0, np.int32), np.zeros(1, np.int64), [[0.0] for _ in texts], [[()] for _ in texts]
         numbers = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         ends = np.frombuffer(self.ends, np.int64)  # the views end with this call, before the arrays grow again
         first, size = ends[numbers], ends[numbers + 1] - ends[numbers]
@@ -194,11 +223,13 @@ class Encoder(dict):
         flat = np.frombuffer(self.ids, np.int32)[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
         best = np.concatenate([[0.0], np.cumsum(np.frombuffer(self.scores)[numbers])])
         losses = np.frombuffer(self.losses).reshape(-1, self.nbest - 1)[numbers] if self.nbest > 1 else np.zeros((len(numbers), 0))
-        scores = []
+        scores, choices = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             top = float(best[hi] - best[lo])
-            scores.append([top - x for x in _smallest_sums(losses[lo:hi], self.nbest)])
-        return flat, total[bounds], scores
+            sums = _smallest_sums(losses[lo:hi], self.nbest)
+            scores.append([top - x for x, _ in sums])
+            choices.append([way for _, way in sums])
+        return units, bounds, flat, total, scores, choices
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of one text: (score, ids)."""
@@ -210,16 +241,22 @@ class Encoder(dict):
         return best
 
 
-def _smallest_sums(losses: np.ndarray, nbest: int) -> list[float]:
-    """The ``nbest`` smallest sums of one loss per row, where a row also has the loss 0."""
-    sums = [0.0]
+def _smallest_sums(losses: np.ndarray, nbest: int) -> list[tuple[float, tuple]]:
+    """The ``nbest`` smallest sums of one loss per row, where a row also has the loss 0, each with the (row, rank) of its other losses.
+
+    Of rows with equal losses the first count.
+    """
+    sums: list[tuple[float, tuple]] = [(0.0, ())]
     if losses.shape[1] == 0 or not len(losses):
         return sums
     second = losses[:, 0]
-    few = np.argpartition(second, nbest - 2)[: nbest - 1] if len(second) >= nbest else np.arange(len(second))
-    for row in few[np.argsort(second[few], kind="stable")]:
-        own = [0.0, *losses[row][np.isfinite(losses[row])].tolist()]
-        sums = heapq.nsmallest(nbest, (a + b for a in sums for b in own))
+    few = np.arange(len(second))
+    if len(second) >= nbest:
+        most = np.partition(second, nbest - 2)[nbest - 2]
+        few = np.concatenate([np.flatnonzero(second < most), np.flatnonzero(second == most)])[: nbest - 1]
+    for row in few[np.argsort(second[few], kind="stable")].tolist():
+        own = [(0.0, ()), *((x, ((row, k),)) for k, x in enumerate(losses[row].tolist(), 1) if x < np.inf)]
+        sums = heapq.nsmallest(nbest, ((a + b, v + w) for a, v in sums for b, w in own), key=itemgetter(0))
     return sums
 
 
@@ -250,9 +287,9 @@ def read_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", nbest: int = 3) -> DataFrame:
-    """One row per document: the id, ``n_bytes``, ``ids`` of the best segmentation, ``scores`` of the N best and ``round_trip``.
+    """One row per document: the id, ``n_bytes``, ``ids`` of the best segmentation, ``scores`` and ids (``segmentations``) of the N best, and ``round_trip``.
 
-    ``round_trip`` tells whether decoding the ids gives the text back.
+    ``round_trip`` tells whether decoding each of the segmentations gives the text back.
     """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
@@ -263,27 +300,28 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for batch in batches:
                 texts = batch.column(text_col).to_pylist()
                 for lo, hi in _parts(texts):
-                    ids, ends, scores = encoder.encode(texts[lo:hi])
-                    plain = ids.tolist()
-                    bounds = ends.tolist()
-                    decoded = [encoder.lattice.decode(plain[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    same = [d == (t or "").replace(SPACE, " ") for d, t in zip(decoded, texts[lo:hi], strict=True)]
+                    found, scores = encoder.encode_all(texts[lo:hi])
+                    want = [(t or "").replace(SPACE, " ") for t in texts[lo:hi]]
+                    same = [all(encoder.lattice.decode(ids.tolist()) == t for ids in own) for own, t in zip(found, want, strict=True)]
+                    flat = [ids for own in found for ids in own]
+                    ends, counts = (np.cumsum([0, *map(len, x)]).astype(np.int32) for x in (flat, found))
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(id_col).slice(lo, hi - lo),
                             pa.array([len((t or "").encode()) for t in texts[lo:hi]], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                             pa.array(scores, pa.list_(pa.float64())),
                             pa.array(same),
+                            pa.ListArray.from_arrays(pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))),
                         ],
-                        [id_col, "n_bytes", "ids", "scores", "round_trip"],
+                        [id_col, "n_bytes", "scores", "round_trip", "segmentations"],
                     )
         finally:
             encoder._clear()  # an idle worker keeps no cache
 
     slim = docs.select(id_col, text_col)
     kind = slim.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, ids array<int>, scores array<double>, round_trip boolean")
+    found = slim.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, scores array<double>, round_trip boolean, segmentations array<array<int>>")
+    return found.select(id_col, "n_bytes", F.get("segmentations", F.lit(0)).alias("ids"), "scores", "round_trip", "segmentations")
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

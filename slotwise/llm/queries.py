@@ -44,9 +44,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation of every document, its three best scores and whether decoding gives the text back."""
+    """The three best segmentations of every document, their scores and whether decoding each gives the text back."""
     found = piece_nbest.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), nbest=3)
-    return found.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "scores", "round_trip")
+    hashes = F.slice(F.array(*(F.xxhash64(F.get("segmentations", F.lit(i))) for i in range(3))), F.lit(1), F.size("segmentations"))
+    return found.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "scores", "round_trip", hashes.alias("nbest_hashes"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

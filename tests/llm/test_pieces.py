@@ -78,6 +78,23 @@ def test_encode_and_decode(spark):
     assert pn.encode(cases.table(spark, []), PATH).count() == 0
 
 
+def test_every_rank_has_its_ids(spark, model):
+    """Segmentations 2 to N are those of the whole text's lattice, score as told and decode to the text."""
+    lattice = pn.Lattice(model, 4)
+    score = {i: s for i, s in lattice.pieces.values()} | dict.fromkeys(lattice.bytes, lattice.byte_score)
+    rows = [(1, "the cat"), (2, "a  b\nthe"), (3, "q"), (4, "xé 日"), (5, None), (6, ""), (7, "the the the"), (8, "mat " * 30), (9, "no" * 300)]
+    found = {r["doc_id"]: r for r in pn.encode(cases.table(spark, rows), PATH, nbest=4).collect()}
+    for i, text in rows:
+        r = found[i]
+        assert r["ids"] == r["segmentations"][0] and len(r["segmentations"]) == len(r["scores"]) == len({tuple(x) for x in r["segmentations"]})
+        assert all(lattice.decode(x) == (text or "") for x in r["segmentations"]) and r["round_trip"]
+        assert [sum(map(score.__getitem__, x)) for x in r["segmentations"]] == pytest.approx(r["scores"])
+        if i in (1, 2, 3, 4, 7):
+            want = every_path(lattice, "▁" + text.replace(" ", "▁"))
+            assert r["scores"] == pytest.approx([s for s, _ in want[:4]])
+            assert all((pytest.approx(s), x) in want for s, x in zip(r["scores"], r["segmentations"], strict=True))
+
+
 def test_full_cache_changes_nothing(model, monkeypatch):
     texts = cases.sentences(8, 20, 30)
     want = [pn.Encoder(model, 3).encode([t])[2] for t in texts]

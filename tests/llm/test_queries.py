@@ -31,6 +31,11 @@ def test_op4_and_op10_agree_on_bytes(spark, sf_dir):
     assert all(pieces[i]["n_bytes"] == tokens[i]["n_bytes"] == len(t.encode()) and pieces[i]["round_trip"] for i, t in docs.items())
 
 
+def test_op4_hashes_every_segmentation(spark, sf_dir):
+    found = queries.op4_sentencepiece_nbest(spark, sf_dir).collect()
+    assert all(r["nbest_hashes"][0] == r["ids_hash"] and len(set(r["nbest_hashes"])) == len(r["scores"]) for r in found)
+
+
 def test_op5_scores_every_document(spark, sf_dir):
     found = queries.op5_toxicity(spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
