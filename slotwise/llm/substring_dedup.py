@@ -98,9 +98,17 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
         "run": run_hash(total, a, a + size - 1 + window, 5),
         "left": np.where(has_left, run_hash(total, np.where(has_left, left, at), np.where(has_left, at + seed, at), 6), 0),
         "right": np.where(has_right, run_hash(total, at, np.where(has_right, right, at), 7), 0),
+        "has_left": has_left,
+        "has_right": has_right,
     }
 
 
+def _half(hashes: np.ndarray, known: np.ndarray) -> pa.Array:
+    """The upper half of each hash, null where there is none; 0 is a hash like others."""
+    values = (hashes.astype(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    return pa.array(values.view(np.int32), mask=~known)
+
+
 def _find_runs(slim: DataFrame, window: int, columns: str) -> DataFrame:
     """Runs of all texts; ``columns`` of key_id, key_th, first, size, at, seed, run, left, right."""
     names = columns.split()
@@ -118,8 +126,7 @@ def _find_runs(slim: DataFrame, window: int, columns: str) -> DataFrame:
                     if c in KEY:
                         out.append(pa.array(keys[f"_llm_{c}"][rows][found["doc"]]))
                     elif c in ("left", "right"):  # half a hash is enough to rule windows out
-                        values = (found[c].astype(np.uint64) >> np.uint64(32)).astype(np.uint32)
-                        out.append(pa.array(values.view(np.int32), mask=values == 0))
+                        out.append(_half(found[c], found[f"has_{c}"]))
                     elif c in kinds:
                         out.append(pa.array(found[c].astype(np.int32)))
                     else:

@@ -83,3 +83,17 @@ def test_levels_double_until_none_survive(spark):
     assert Counter(map(tuple, found)) == Counter(want)
     assert max(x for _, x in want) == 96
     assert sd.repeat_levels(cases.table(spark, [])).count() == 0
+
+
+def test_an_extension_hash_of_zero_is_not_a_missing_one():
+    import numpy as np
+    from slotwise.llm import substring_dedup
+    from slotwise.llm.common import Words
+
+    text = " ".join(f"w{i}" for i in range(60)).encode()
+    found = substring_dedup._runs(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])), 35)
+    seed = substring_dedup.seed_size(35)
+    place = found["first"] + found["at"]
+    assert found["has_left"].tolist() == (place >= seed).tolist() and found["has_right"].tolist() == (place + 2 * seed <= 60).tolist()
+    hashes = np.array([7, 7, 9 << 32, 0], np.uint64)  # the upper half of 7 is 0
+    assert substring_dedup._half(hashes, np.array([True, False, True, False])).to_pylist() == [0, None, 9, None]
