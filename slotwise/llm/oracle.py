@@ -67,9 +67,65 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+_ROUNDS = ",\n".join(
+    f"""
+a{r} AS MATERIALIZED (SELECT rid, min(s * 16 + c) % 16 AS c, min(s * 16 + c) // 16 AS s FROM (SELECT rid, c, sum((x - m) * (x - m)) AS s FROM x JOIN c{r} USING (i) GROUP BY rid, c) GROUP BY rid),
+c{r + 1} AS MATERIALIZED (
+  SELECT c, i, CAST(coalesce((t - (((t % n) + n) % n)) // n, m) AS BIGINT) AS m
+  FROM c{r} LEFT JOIN (SELECT c, i, sum(x) AS t, count(*) AS n FROM x JOIN a{r} USING (rid) GROUP BY c, i) USING (c, i))"""
+    for r in range(4)
+)
+
+OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = 64),
+x AS MATERIALIZED (SELECT rid, i, v[i] AS x FROM v, unnest(range(1, 65)) AS t(i)),
+first AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 16)),
+c0 AS MATERIALIZED (SELECT c, i, v[i] AS m FROM first, unnest(range(1, 65)) AS t(i)),
+{_ROUNDS},
+hashes AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS h FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(s) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM v JOIN a3 USING (rid) JOIN hashes USING (c)
+"""
+
+OP13 = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+words AS (SELECT lang, source, r, unnest(ws) AS term FROM texts),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(lang_n), 0) AS lang_total FROM (SELECT DISTINCT lang FROM texts) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM texts) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n, lang_n, v, lang_total,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM groups JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+  FROM (SELECT *, 1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 1)) // (lang_total + v) AS q FROM shares WHERE n > 0) WHERE p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_ngram_jaccard_join": OP2,
     "op3_warc": OP3,
     "op7_benchmark_decontamination": OP7,
+    "op11_centroid_clustering": OP11,
+    "op13_source_divergence": OP13,
 }

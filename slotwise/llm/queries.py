@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, license_scan, ngram_join, piece_nbest, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
+from slotwise.llm import (
+    byte_bpe, decontaminate, license_scan, ngram_join, piece_nbest, quality_rules, source_divergence,
+    substring_dedup, token_counts, toxicity, url_filter, va_kmeans, warc,
+)
 from slotwise.llm.common import scratch_dir
 from slotwise.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -20,6 +23,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """Pattern that splits text before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,6 +112,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding after three rounds with 16 centroids."""
+    found = va_kmeans.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", va_kmeans.centroid_hash(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes that they decode to, as digests."""
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of each source's terms from every other source and from the whole language."""
+    return source_divergence.audit(_table(spark, sf_dir, "documents"), min_docs=3, top=200, scale=1_000_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -113,4 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
-}
\ No newline at end of file
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_source_divergence": op13_source_divergence,
+}
