@@ -2,8 +2,9 @@
 
 Word hashing works on the UTF-8 buffers of an Arrow batch, in slices of bounded
 size, so a task holds a few arrays per slice whatever the partition holds.
-Hashes are 64-bit; operators compare them together with a second, independent
-hash or with the words themselves wherever one collision could change a result.
+Hashes are 64-bit and scramble every 8-byte block and every step of a run, so that
+unequal words or runs collide by chance only, whatever their pattern.  Where a whole
+table's runs are compared, operators use two such hashes of unlike runs together.
 """
 
 from __future__ import annotations
@@ -108,38 +109,21 @@ SPACE = byte_table((0x20, 0x20), (0x09, 0x0D))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240611)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_BASE, _WORD_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+_MULTIPLE = np.uint64(0x9E3779B97F4A7C15)
+_LEFT = np.uint64(0xD1342543DE82EF95)
+#: Masks that keep the first 0 to 8 bytes of a little-endian block.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD_BASE)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +168,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offs)
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(len(offs) - 1), self.counts)
+        self._blocks: np.ndarray | None = None
         self.hash = self.hashes(self.ends)
 
     def __len__(self) -> int:
@@ -195,40 +180,65 @@ class Words:
         return longer, self.hashes(np.minimum(self.ends, self.starts + size))[longer]
 
     def hashes(self, ends: np.ndarray) -> np.ndarray:
-        """Hash of each word up to ``ends``."""
-        out = np.empty(len(self.starts), np.uint64)
-        lo = 0
-        while lo < len(out):
-            first = self.starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(self.ends, first + CHUNK_BYTES, "right")))
-            part = self.data[first : self.ends[hi - 1]]
-            up, down = _BYTE_POWERS.get(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * up[:-1], out=total[1:])
-            s, e = self.starts[lo:hi] - first, ends[lo:hi] - first
-            out[lo:hi] = mix((total[e] - total[s]) * down[s])
-            lo = hi
-        return out
-
-    def sums(self) -> np.ndarray:
-        """Running sums from which ``run_hash`` takes any run of words."""
-        up, _ = _WORD_POWERS.get(len(self) + 1)
-        total = np.zeros(len(self) + 1, np.uint64)
-        np.cumsum(self.hash * up[:-1], out=total[1:])
-        return total
+        """Hash of each word up to ``ends``: its 8-byte blocks, scrambled with their places and summed, and its length.
+
+        Words of up to 8 bytes and of one length never collide.
+        """
+        if self._blocks is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._blocks = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        size = ends - self.starts
+        out = mix(self._blocks[self.starts] & _MASK[np.minimum(size, 8)])
+        rows = np.flatnonzero(size > 8)
+        if len(rows):
+            more = (size[rows] - 1) // 8
+            before = np.cumsum(more) - more
+            one = np.repeat(rows, more)
+            turn = np.arange(len(one)) - np.repeat(before, more) + 1
+            at = self.starts[one] + 8 * turn
+            block = mix(self._blocks[at] & _MASK[np.minimum(ends[one] - at, 8)], 11)
+            out[rows] += np.add.reduceat(mix(block + mix(turn.astype(np.uint64), 12)), before)
+        return mix(out + size.astype(np.uint64) * _MULTIPLE)
+
+    def runs(self) -> Runs:
+        """What ``run_hash`` takes the hash of any run of words from."""
+        return Runs(self.hash)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every k-word window that starts at a word, and whether it ends in the same text."""
-        total = self.sums()
         first = np.arange(max(0, len(self) - k + 1))
         whole = first + k <= self.bounds[1:][self.doc[first]]
-        return run_hash(total, first, first + k), whole
+        return run_hash(self.runs(), first, first + k), whole
+
 
+class Runs:
+    """Hashes of all runs of 1, 2, 4, ... words, made when first asked for.
+
+    A run of any length is named by the two runs of a power of two that cover it.
+    Every step scrambles, so no sequence of words collides for its pattern alone.
+    """
 
-def run_hash(total: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int = 1) -> np.ndarray:
-    """Hash of the words first..last-1, equal for equal word sequences wherever they stand."""
-    _, down = _WORD_POWERS.get(len(total))
-    return mix((total[last] - total[first]) * down[first], salt)
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.levels = [hashes]
+
+    def level(self, number: int) -> np.ndarray:
+        while len(self.levels) <= number:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mix(last[:-half] * _LEFT + last[half:], 30 + len(self.levels)))
+        return self.levels[number]
+
+
+def run_hash(runs: Runs, first: np.ndarray, last: np.ndarray, salt: int = 1) -> np.ndarray:
+    """Hash of the words first..last-1, equal for equal word sequences wherever they stand; 0 for no words."""
+    size = np.asarray(last - first)
+    out = np.zeros(len(size), np.uint64)
+    power = np.frexp(size)[1] - 1
+    for number in np.unique(power[size > 0]).tolist():
+        rows = np.flatnonzero((power == number) & (size > 0))
+        level = runs.level(number)
+        both = level[first[rows]] * _LEFT + level[last[rows] - (1 << number)]
+        out[rows] = mix(both + size[rows].astype(np.uint64) * _MULTIPLE, salt)
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import stage_table
+from slotwise.llm.common import skew_join, stage_table
 
 
 def _star(pairs: DataFrame) -> DataFrame:
     """Give every (node, near) pair the smallest node that ``node`` sees, itself included."""
     low = pairs.groupBy("node").agg(F.min("near").alias("low")).withColumn("low", F.least("low", "node"))
-    return pairs.join(low, "node")
+    return skew_join(pairs, low, ["node"])  # a centre with very many copies may be split
 
 
 def _state(edges: DataFrame) -> tuple:

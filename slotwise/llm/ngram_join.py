@@ -53,6 +53,8 @@ STEP = 50
 #: Expected candidates of a prefix above which one more shared n-gram is asked for, again at each doubling.
 CHEAP = 64
 MORE_MATCHES = 8
+#: Numbers from here on stand for rows that share an id (ids are smaller).
+OWN_NODES = 1 << 61
 
 
 class Sets:
@@ -62,7 +64,7 @@ class Sets:
         words = Words(data, offs, lower=True)
         grams, whole = words.grams(size)
         short = np.flatnonzero((words.counts > 0) & (words.counts < size))
-        brief = run_hash(words.sums(), words.bounds[short], words.bounds[short + 1], 3)
+        brief = run_hash(words.runs(), words.bounds[short], words.bounds[short + 1], 3)
         doc = np.concatenate([words.doc[: len(grams)][whole], short])
         grams = np.concatenate([grams[whole], brief])
         order = np.argsort(grams)
@@ -165,14 +167,21 @@ def _sets_of(pdf: pd.DataFrame, hot: np.ndarray, size: int, percent: int) -> tup
     return sets, *prefixes(sets, hot, percent)
 
 
-def _with_centre(hot, size: int, percent: int):  # noqa: ANN001, ANN202
-    """Which documents of a block link with the meeting's centre."""
+def _with_centre(size: int, percent: int):  # noqa: ANN202
+    """Which documents of a block link with the meeting's centre: its n-grams are looked up, in linear work."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         centre = pdf["is_centre"].to_numpy(bool)
-        linked = _linked(*_sets_of(pdf, hot.value, size, percent), np.logical_xor.outer(centre, centre), percent)
+        data, offs = buffers(pa.array(pdf["text"], pa.string()))
+        sets = Sets(data, offs, size)
+        linked = np.zeros(len(pdf), bool)
+        for row in np.flatnonzero(centre & (sets.n > 0)):
+            own = sets.grams[sets.bounds[row] : sets.bounds[row + 1]]
+            met = own[np.minimum(np.searchsorted(own, sets.grams), len(own) - 1)] == sets.grams
+            both = np.bincount(sets.doc[met], minlength=len(pdf))
+            linked |= (both > 0) & (100 * both >= percent * (sets.n + len(own) - both))
         out = pdf.loc[~centre, ["hub", "band", "id", "guest"]]
-        return out.assign(linked=linked[~centre][:, centre].any(axis=1))
+        return out.assign(linked=linked[~centre])
 
     return run
 
@@ -281,7 +290,7 @@ def _links(members: DataFrame, texts: DataFrame, same: DataFrame, hot, size: int
     centres = heads.select(*meeting, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("centre").alias("id"))
     centres = centres.withColumns({"guest": F.lit(False), "is_centre": F.lit(True)})
     first = own.unionByName(centres).hint("merge").join(texts, "id").groupBy(*meeting, "block")
-    first = first.applyInPandas(_with_centre(hot, size, percent), "hub long, band int, id long, guest boolean, linked boolean")
+    first = first.applyInPandas(_with_centre(size, percent), "hub long, band int, id long, guest boolean, linked boolean")
     first = first.groupBy(*meeting, "id", "guest").agg(F.max("linked").alias("linked"))
     first = stage_table(skew_join(first, heads.select(*meeting, "centre"), meeting), "first-links")
     near = first.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b")).unionByName(same)
@@ -336,12 +345,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _row_nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a node number, ``_llm_node``, and (node, own): the ids behind numbers that are no ids.
+
+    A row's node is its id key.  Unlike texts that share an id get numbers of their own from
+    ``OWN_NODES`` on, which a written table fixes.
+    """
+    key, _ = row_key(id_col, text_col)
+    marked = docs.withColumns({"_llm_node": key, "_llm_th": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    unlike = marked.groupBy("_llm_node").agg(F.min("_llm_th").alias("lo"), F.max("_llm_th").alias("hi")).filter("lo <> hi").select("_llm_node")
+    rows = skew_join(marked.select("_llm_node", "_llm_th"), unlike, ["_llm_node"], "left_semi").distinct()
+    own = stage_table(rows.withColumn("_llm_own", F.lit(OWN_NODES) + F.monotonically_increasing_id()), "row-nodes")
+    named = own.select(F.col("_llm_own").alias("node"), F.col("_llm_node").alias("own"))
+    if not own.isEmpty():
+        marked = skew_join(marked, own, ["_llm_node", "_llm_th"], "left").withColumn("_llm_node", F.coalesce("_llm_own", "_llm_node"))
+    return marked.select(*docs.columns, "_llm_node"), named
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id."""
-    found = ngram_components(docs, id_col, text_col, size, percent)
-    first = found.groupBy("component_key").agg(F.min(F.struct(*KEY)).alias("first")).select("first.*")
-    keys = dict(zip(KEY, row_key(id_col, text_col), strict=True))
-    hidden = {f"_llm_{k}": v for k, v in keys.items()}
-    marked = docs.withColumns(hidden)
-    kept = marked.join(first, [F.col(f"_llm_{k}") == first[k] for k in KEY], "left_semi")
-    return kept.dropDuplicates(list(hidden)).select(*docs.columns)
+    """``docs`` with one row of each component: that with the smallest id.
+
+    Rows with one id and unlike texts are documents of their own: each stays unless it
+    is a near copy of a row that does.  Of equal rows one stays, and so does one of the rows
+    without an id and without text.
+    """
+    marked, named = _row_nodes(docs, id_col, text_col)
+    found = ngram_components(marked.select("_llm_node", F.col(f"`{text_col}`").alias("_llm_text")), "_llm_node", "_llm_text", size, percent)
+    found = found.select(F.col("doc_id").alias("node"), "component_key").join(named, "node", "left")
+    first = found.groupBy("component_key").agg(F.min(F.struct(F.coalesce("own", "node").alias("id"), "node")).alias("first"))
+    kept = marked.join(first.select(F.col("first.node").alias("_llm_node")), "_llm_node", "left_semi")
+    return kept.dropDuplicates(["_llm_node"]).select(*docs.columns)

@@ -81,6 +81,9 @@ class Lattice:
             for char in reversed(piece):
                 node = node.setdefault(char, {})
             node[0] = found
+        self.size_of = np.array([len(x) for x in self.text], np.int64)
+        self.at_of = np.cumsum(self.size_of) - self.size_of
+        self.raw = np.frombuffer(b"".join(self.text), np.uint8)
         self.nbest = nbest
 
     def unit(self, unit: str) -> list[tuple[float, list[int]]]:
@@ -95,7 +98,7 @@ class Lattice:
         # At each position: the pieces that arrive there, best first, as (best score with it, start, id).
         arriving: list[list[tuple]] = [[]]
         best = [0.0]
-        before = ""
+        before, trie = "", self.trie
         for unit in units:
             same = 0
             for a, b in zip(before, unit, strict=False):
@@ -105,16 +108,17 @@ class Lattice:
             before = unit
             del arriving[same + 1 :], best[same + 1 :]
             for end in range(same + 1, len(unit) + 1):
-                node, start, ways = self.trie, end, []
-                while start:
-                    node = node.get(unit[start - 1])
-                    if node is None:
+                start, ways = end - 1, []
+                node = trie.get(unit[start])
+                while node is not None:
+                    if 0 in node:
+                        piece, score = node[0]
+                        ways.append((best[start] + score, start, piece))
+                    if not start:
                         break
                     start -= 1
-                    piece = node.get(0)
-                    if piece is not None:
-                        ways.append((best[start] + piece[1], start, piece[0]))
-                if unit[end - 1] not in self.pieces:
+                    node = node.get(unit[start])
+                if not ways or ways[0][1] != end - 1:
                     raw = unit[end - 1].encode()
                     ways.append((best[end - 1] + self.byte_score * len(raw), end - 1, tuple(self.bytes[b] for b in raw)))
                 if len(ways) > 1:
@@ -153,6 +157,21 @@ class Lattice:
         raw = b"".join(map(self.text.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of all ids end to end, and where each id's bytes begin."""
+        size = self.size_of[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.raw[np.arange(total[-1]) + np.repeat(self.at_of[ids] - total[:-1], size)].tobytes(), total
+
+    def round_trips(self, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> list[bool]:
+        """Whether each segmentation of a text decodes to it; segmentations are ranges of ``ids``, texts ranges of segmentations."""
+        data, total = self.decode_all(ids)
+        at, same = total[ends].tolist(), []
+        for lo, hi, text in zip(counts[:-1].tolist(), counts[1:].tolist(), texts, strict=True):
+            own = b" " + text if text else b""  # with the dummy space in front
+            same.append(all(data[at[i] : at[i + 1]] == own for i in range(lo, hi)))
+        return same
+
 
 class Encoder(dict):
     """Number of each unit seen; its segmentations lie in flat arrays."""
@@ -169,13 +188,18 @@ class Encoder(dict):
         self.spelt: dict[str, list[np.ndarray]] = {}
 
     def _learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.lattice.units(units), strict=True):
+        flat: list[int] = []
+        ends, scores, losses, first = [], [], [], len(self.ids)
+        none = [(-np.inf, [])] * (self.nbest - 1)
+        for found in self.lattice.units(units):
             best, ids = found[0]
-            self[unit] = len(self.scores)
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-            self.scores.append(best)
-            self.losses.extend([best - s for s, _ in found[1:]] + [np.inf] * (self.nbest - len(found)))
+            flat += ids
+            ends.append(first + len(flat))
+            scores.append(best)
+            losses += [best - s for s, _ in (found + none)[1 : self.nbest]]
+        self.update(zip(units, range(len(self.scores), len(self.scores) + len(units)), strict=True))
+        for kept, new, kind in ((self.ids, flat, np.int32), (self.ends, ends, np.int64), (self.scores, scores, np.float64), (self.losses, losses, np.float64)):
+            kept.frombytes(np.array(new, kind).tobytes())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """Ids of the best segmentations end to end, their ends, and the N best scores of each text."""
@@ -213,10 +237,13 @@ class Encoder(dict):
             if text:
                 units += UNIT.findall(SPACE + text.replace(" ", SPACE))
             bounds.append(len(units))
-        self._learn(sorted(set(units).difference(self)))
+        known = list(map(self.get, units))
+        if None in known:
+            self._learn(sorted({unit for unit, number in zip(units, known, strict=True) if number is None}))
+            known = list(map(self.get, units))
         if not units:
             return units, bounds, np.zeros(0, np.int32), np.zeros(1, np.int64), [[0.0] for _ in texts], [[()] for _ in texts]
-        numbers = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        numbers = np.array(known, np.int64)
         ends = np.frombuffer(self.ends, np.int64)  # the views end with this call, before the arrays grow again
         first, size = ends[numbers], ends[numbers + 1] - ends[numbers]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -289,7 +316,8 @@ def read_model(path: str) -> bytes:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", nbest: int = 3) -> DataFrame:
     """One row per document: the id, ``n_bytes``, ``ids`` of the best segmentation, ``scores`` and ids (``segmentations``) of the N best, and ``round_trip``.
 
-    ``round_trip`` tells whether decoding each of the segmentations gives the text back.
+    ``round_trip`` tells whether decoding each of the segmentations gives the text back; for a
+    text with ``▁`` it does not, as the model takes that for a space.
     """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
@@ -301,17 +329,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 texts = batch.column(text_col).to_pylist()
                 for lo, hi in _parts(texts):
                     found, scores = encoder.encode_all(texts[lo:hi])
-                    want = [(t or "").replace(SPACE, " ") for t in texts[lo:hi]]
-                    same = [all(encoder.lattice.decode(ids.tolist()) == t for ids in own) for own, t in zip(found, want, strict=True)]
                     flat = [ids for own in found for ids in own]
                     ends, counts = (np.cumsum([0, *map(len, x)]).astype(np.int32) for x in (flat, found))
+                    every, raw = np.concatenate(flat), [(t or "").encode() for t in texts[lo:hi]]
+                    same = encoder.lattice.round_trips(every, ends, counts, raw)
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(id_col).slice(lo, hi - lo),
-                            pa.array([len((t or "").encode()) for t in texts[lo:hi]], pa.int64()),
+                            pa.array([len(t) for t in raw], pa.int64()),
                             pa.array(scores, pa.list_(pa.float64())),
                             pa.array(same),
-                            pa.ListArray.from_arrays(pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))),
+                            pa.ListArray.from_arrays(pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))),
                         ],
                         [id_col, "n_bytes", "scores", "round_trip", "segmentations"],
                     )

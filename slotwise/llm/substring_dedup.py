@@ -27,6 +27,7 @@ Counts are grouped sums over all texts with partial sums in each task, so a
 passage shared by a third of all texts is as cheap as any other; joins are by
 hash and may be split by Spark where skewed.  A collected list never exceeds one
 text.  Hashes are 64-bit, and windows are compared by seed and window hash together.
+Rows equal in id and text share one set of spans.
 
 Edge cases: a null or empty text has no words, nothing removed and an empty kept
 text; texts shorter than a window are kept whole; rows that are equal in id and
@@ -86,7 +87,7 @@ def _runs(words: Words, window: int) -> dict[str, np.ndarray] | None:
     size = np.diff(np.append(begin, len(first)))
     a, at = first[begin], place[begin]
     doc = words.doc[a]
-    total = words.sums()
+    total = words.runs()
     left, right = at - seed, at + 2 * seed
     has_left, has_right = left >= words.bounds[doc], right <= words.bounds[doc + 1]
     return {
@@ -145,7 +146,7 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
             ranges = batch.column("ranges")
             for rows, data, offs in chunks(batch, "_llm_text"):
                 words = Words(data, offs)
-                total = words.sums()
+                total = words.runs()
                 part = ranges.slice(rows.start, rows.stop - rows.start)
                 lists = part.offsets.to_numpy() - part.offsets[0].as_py()
                 flat = part.flatten()
@@ -196,7 +197,7 @@ def _repeated_spans(slim: DataFrame, window: int) -> DataFrame:
     again = windows.groupBy("seed", "window").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).filter("n > 1 and any").select("seed", "window")
     hits = skew_join(windows.filter("alone"), again, ["seed", "window"]).select(*KEY, "first", F.lit(1).alias("size"))
     both = spans.unionByName(hits)
-    return both.groupBy(*(F.col(k).alias(h) for k, h in zip(KEY, HIDDEN, strict=True))).agg(F.collect_list(F.struct("first", "size")).alias("spans"))
+    return both.groupBy(*(F.col(k).alias(h) for k, h in zip(KEY, HIDDEN, strict=True))).agg(F.collect_set(F.struct("first", "size")).alias("spans"))
 
 
 def _extendable(spans: DataFrame, window: int) -> DataFrame:

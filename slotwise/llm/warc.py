@@ -2,16 +2,17 @@
 
 1. SHA-1 digests of all payloads are grouped; of equal payloads of at least
    ``revisit_bytes`` the row with the largest page id keeps the payload, the others become revisits.
-2. Records are range-sorted by page id.  The cut points come from a sample of ids
-   that depends on the ids alone (a hash, at most about ``SAMPLE`` of them), and
-   the number of shards from the payload bytes, so shards do not depend on
-   partitions or on the cluster.
+2. Records are range-sorted by page id and digest.  The cut points come from a sample of the
+   distinct pairs and their bytes that depends on the pairs alone (a hash, about ``SAMPLE`` of
+   them), and the number of shards from the payload bytes, so shards do not depend on
+   partitions or on the cluster, and a page id with very many rows is spread over shards.
 3. A task writes a shard's records in order, each as a gzip member with headers and
    digests made anew, and rolls to the next file beyond ``roll_bytes`` compressed
    bytes.  Files get temporary names of their own for every attempt; the manifest, a
    table that Spark commits, names those of the attempts that count.
 4. A second job renames the files of that manifest and writes the final manifest;
    readers open only files that it lists.  Both steps can be run again after a failure.
+5. Reading deals the files to as many tasks as their bytes ask for, by shard.
 
 Same rows, same bytes: nothing in a file depends on time or on the attempt.
 
@@ -24,6 +25,7 @@ group are all responses; an empty table gives an empty manifest and no records.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import io
 import uuid
@@ -37,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import prepare, stage_table
+from slotwise.llm.common import prepare, skew_join, stage_table
 
 #: Page ids that the cut points are chosen from.
 SAMPLE = 8192
@@ -45,6 +47,10 @@ SAMPLE = 8192
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
 REVISIT_BYTES = 1000
+#: Compressed bytes that a task reads back at least, once every core has work.
+READ_BYTES = 32 << 20
+#: Stands for a missing page id, so that it sorts first.
+NO_PAGE = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -124,14 +130,25 @@ class _Files:
         return self.row
 
 
-def _shards(rows: DataFrame, total_bytes: int, count: int, shard_bytes: int) -> tuple[list[int], int]:
-    """Cut points between page ids, and the number of shards."""
+def _shards(rows: DataFrame, total_bytes: int, shard_bytes: int) -> list[tuple[int, str]]:
+    """Cut points between (page id, digest) pairs, of about equal payload bytes: shard i begins at cut i - 1."""
     shards = max(1, -(-total_bytes // shard_bytes))
-    step = max(1, count // SAMPLE)
-    ids = [r[0] for r in rows.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0)).select("page_id").collect()]
-    ids.sort()
-    cuts = sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
-    return cuts, len(cuts) + 1
+    pairs = rows.groupBy(F.coalesce("page_id", F.lit(NO_PAGE)).alias("page_id"), "digest").agg(F.sum("size").alias("size"))
+    step = max(1, -(-pairs.count() // SAMPLE))
+    sample = [tuple(r) for r in pairs.filter(F.pmod(F.xxhash64("page_id", "digest"), F.lit(step)) == 0).collect()]
+    sample.sort()
+    ends = np.cumsum([size for *_, size in sample], dtype=np.int64)
+    at = np.searchsorted(ends, [int(ends[-1]) * i // shards for i in range(1, shards)], "left") if sample else []
+    return sorted({sample[min(i + 1, len(sample) - 1)][:2] for i in at})
+
+
+def _shard_of(cuts: list[tuple[int, str]], ids: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Shard of each pair; only pairs whose id is that of a cut look at the digest."""
+    heads = np.array([page for page, _ in cuts], np.int64)
+    low, out = np.searchsorted(heads, ids, "left"), np.searchsorted(heads, ids, "right")
+    for row in np.flatnonzero(low < out):
+        out[row] = low[row] + bisect.bisect_right(cuts[low[row] : out[row]], (int(ids[row]), digests[row]))
+    return out.astype(np.int32)
 
 
 def write_warc(
@@ -145,25 +162,24 @@ def write_warc(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     slim = stage_table(rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size")), "digests")
-    count, total = slim.agg(F.count(F.lit(1)), F.sum("size")).first()
-    cuts, shards = _shards(slim, total or 0, count, shard_bytes)
+    (total,) = slim.agg(F.sum("size")).first()
+    cuts = _shards(slim, total or 0, shard_bytes)
 
     large = slim.filter(F.col("size") >= revisit_bytes)
     keepers = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("times"))
     keepers = keepers.filter("times > 1 and refers_to is not null").select("digest", "refers_to")
-    marks = large.join(keepers, "digest").filter("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
+    marks = skew_join(large, keepers, ["digest"]).filter("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(-(2**63)).astype("int64").to_numpy()
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), known, "right").astype(np.int32))
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(_shard_of(cuts, ids.to_numpy(np.int64), digests.to_numpy()))
 
     # A mark stands right before the rows that it turns into revisits.
     no_text, no_id = F.lit(None).cast("string"), F.lit(None).cast("long")
     both = rows.select("page_id", "digest", F.lit(1).alias("kind"), no_id.alias("refers_to"), "url", "html").unionByName(
         marks.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", no_text.alias("url"), no_text.alias("html"))
     )
-    both = both.withColumn("shard", shard_of("page_id")).repartitionById(shards, F.col("shard"))
+    both = both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(NO_PAGE)), "digest")).repartitionById(len(cuts) + 1, F.col("shard"))
     both = both.sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,4 +270,8 @@ def read_warc(spark: SparkSession, base: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kinds)
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
-    return manifest.select("file").repartition("file").mapInArrow(run, RECORDS)
+    shard = F.regexp_extract("file", r"^part-(\d+)-", 1).cast("int")
+    shards, size = manifest.agg(F.max(shard), F.sum("bytes")).first()
+    parts = min((shards or 0) + 1, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // READ_BYTES)))
+    # The number is given, so adaptive execution does not merge the few bytes of file names into one task.
+    return manifest.select("file", F.pmod(shard, F.lit(parts)).alias("part")).repartitionById(parts, F.col("part")).select("file").mapInArrow(run, RECORDS)

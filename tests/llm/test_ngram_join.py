@@ -73,22 +73,26 @@ def test_any_heat_keeps_every_link(spark, monkeypatch):
 
 
 def test_keep_one_of_each_component(spark):
-    rows = cases.edge_rows()
+    """Rows of one id with unlike texts are documents of their own."""
+    base = cases.sentences(31, 3, 60, 5000)
+    rows = cases.edge_rows() + [(50, base[0]), (51, base[1]), (51, base[2]), (52, base[2]), (53, base[0] + " tail"), (51, base[2])]
     df = cases.table(spark, rows)
     kept = nj.keep_one(df).collect()
     assert kept and set(map(tuple, kept)) <= set(map(tuple, df.collect()))
-    groups = {(c if c is not None else ("text", t)) for (i, t), (_, _, c) in zip(rows, _ordered(rows), strict=True)}
-    assert len(kept) == len(groups)
-
-
-def _ordered(rows):
-    """expected(), row by row."""
-    return [next(iter(Counter({k: 1 for k in expected(rows) if k[0] == i and k[1] == len(shingles(t))}))) if i is not None else (None, 0, _own(rows, t)) for i, t in rows]
-
-
-def _own(rows, text):
-    ids = [i for i, t in rows if i is not None and shingles(t) and 100 * len(shingles(t) & shingles(text)) >= 80 * len(shingles(t) | shingles(text))]
-    return min(ids, default=None)
+    # One of each component of distinct (id, text) rows, that with the smallest id; no id is larger than any.
+    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets, left, groups = [shingles(t) for _, t in distinct], list(range(len(distinct))), []
+    while left:
+        group, todo = [], [left.pop(0)]
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            near = [y for y in left if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+            left = [y for y in left if y not in near]
+            todo += near
+        groups.append(group)
+    assert Counter(r["doc_id"] for r in kept) == Counter(distinct[min(g)][0] for g in groups)
+    assert {(51, base[1]), (51, base[2]), (50, base[0])} <= {(r["doc_id"], r["text"]) for r in kept}
 
 
 def test_components_of_a_chain_and_a_ring(spark):

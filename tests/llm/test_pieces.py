@@ -70,7 +70,9 @@ def test_encode_and_decode(spark):
     encoded = pn.encode(df, PATH, nbest=3)
     found = encoded.collect()
     assert Counter((r["doc_id"], r["n_bytes"]) for r in found) == Counter((i, len((t or "").encode())) for i, t in rows)
-    assert all(r["round_trip"] and list(r["scores"]) == sorted(r["scores"], reverse=True) for r in found)
+    assert all(list(r["scores"]) == sorted(r["scores"], reverse=True) for r in found)
+    marked = [i for i, t in rows if "▁" in (t or "")]
+    assert marked and all(r["round_trip"] == (r["doc_id"] not in marked) for r in found)
     assert all((r["scores"] == [0.0]) == (r["n_bytes"] == 0) for r in found)
     texts = Counter((r["doc_id"], r["text"]) for r in pn.decode(encoded, PATH).collect())
     assert texts == Counter((i, (t or "").replace("▁", " ")) for i, t in rows)
@@ -95,6 +97,13 @@ def test_every_rank_has_its_ids(spark, model):
             assert all((pytest.approx(s), x) in want for s, x in zip(r["scores"], r["segmentations"], strict=True))
 
 
+def test_round_trip_is_of_the_text_itself(spark):
+    """The model takes ▁ for a space, so such a text does not come back."""
+    rows = [(1, "a▁b"), (2, "a b"), (3, "▁"), (4, " "), (5, "  a"), (6, "\x00é\ud7ff\U0010ffff"), (7, None), (8, "")]
+    found = {r["doc_id"]: r["round_trip"] for r in pn.encode(cases.table(spark, rows), PATH, nbest=3).collect()}
+    assert found == {1: False, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True}
+
+
 def test_full_cache_changes_nothing(model, monkeypatch):
     texts = cases.sentences(8, 20, 30)
     want = [pn.Encoder(model, 3).encode([t])[2] for t in texts]

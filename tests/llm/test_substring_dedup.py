@@ -5,7 +5,9 @@ from collections import Counter
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 from slotwise.llm import substring_dedup as sd
+from slotwise.llm.common import row_key
 
 
 def expected(rows, window):
@@ -97,3 +99,12 @@ def test_an_extension_hash_of_zero_is_not_a_missing_one():
     assert found["has_left"].tolist() == (place >= seed).tolist() and found["has_right"].tolist() == (place + 2 * seed <= 60).tolist()
     hashes = np.array([7, 7, 9 << 32, 0], np.uint64)  # the upper half of 7 is 0
     assert substring_dedup._half(hashes, np.array([True, False, True, False])).to_pylist() == [0, None, 9, None]
+
+
+def test_repeated_rows_share_one_set_of_spans(spark):
+    text = cases.sentences(41, 1, 300, 5000)[0]
+    df = cases.table(spark, [(1, text)] * 60 + [(2, "other words " * 3)]).select("doc_id", "text")
+    slim = df.select(*(c.alias(h) for c, h in zip(row_key("doc_id", "text"), sd.HIDDEN, strict=True)), F.col("text").alias("_llm_text"))
+    spans = sd._repeated_spans(slim, 35).collect()
+    assert len(spans) == 1 and len({tuple(s) for s in spans[0]["spans"]}) == len(spans[0]["spans"]) < 300
+    assert {r["n_removed"] for r in sd.remove_repeats(df).filter("doc_id = 1").collect()} == {300}

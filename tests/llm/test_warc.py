@@ -89,3 +89,28 @@ def test_damage_is_found(spark, pages):
 def test_empty_table(spark, pages):
     base, manifest = write(spark, pages.limit(0))
     assert manifest.count() == 0 and warc.read_warc(spark, base).count() == 0
+
+
+def test_reading_has_a_task_for_every_shard(spark, pages):
+    base, manifest = write(spark, pages, shard_bytes=20_000, roll_bytes=2000)
+    shards = {r["file"].split("-")[1] for r in manifest.collect()}
+    read = warc.read_warc(spark, base)
+    tasks = read.select(F.spark_partition_id().alias("part"), "file").distinct().collect()
+    assert len(shards) > 4 and len({r["part"] for r in tasks}) >= min(len(shards), spark.sparkContext.defaultParallelism)
+
+
+def test_a_page_id_with_many_rows_is_spread(spark):
+    rows = [(7, f"page {i} " * 200) for i in range(80)] + [(None, f"none {i} " * 200) for i in range(40)] + [(i, "x") for i in range(20)]
+    df = cases.table(spark, rows, "page_id", "html").withColumn("url", F.lit("http://h/"))
+    base, manifest = write(spark, df, shard_bytes=20_000)
+    assert manifest.filter("first_id = 7 and last_id = 7").count() >= 3
+    read = warc.read_warc(spark, base)
+    assert Counter(tuple(r) for r in read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == expected(df.collect())
+
+
+def test_shards_of_pairs():
+    import numpy as np
+
+    cuts = [(3, "b"), (3, "d"), (5, "a")]
+    ids, digests = np.array([1, 3, 3, 3, 4, 5, 5, 9]), np.array(["z", "a", "b", "x", "q", "Z", "a", "a"], object)
+    assert warc._shard_of(cuts, ids, digests).tolist() == [0, 0, 1, 2, 2, 2, 3, 3]
