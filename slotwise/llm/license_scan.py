@@ -19,7 +19,8 @@ with the smallest path.
 
 Edge cases: null and empty texts have no licence of their own; a null path has no
 directory and inherits nothing; repeated rows give one row each; an empty table
-returns none.
+returns none; kept columns come back whatever their names, one named like a result column
+with ``_kept`` behind its name.
 """
 
 from __future__ import annotations
@@ -244,7 +245,8 @@ def scan(
 ) -> DataFrame:
     """One row per file: the columns ``keep``, ``path``, ``license``, ``how`` (own, inherited or null) and ``cosine``."""
     prepare(files.sparkSession)
-    slim = files.select(*keep, F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own_names, keep = list(keep), [f"_llm_keep_{i}" for i in range(len(keep))]
+    slim = files.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(own_names, keep, strict=True)), F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = Templates(templates)
     frequencies = stage_table(_frequencies(slim), "terms")
     numbers = known.terms.view(np.int64).tolist()
@@ -289,4 +291,6 @@ def scan(
     nearest = skew_join(above.withColumnRenamed("dir", "from"), sources.withColumnRenamed("dir", "up"), ["up"]).groupBy("from").agg(F.max_by("given", "depth").alias("given"))
     out = skew_join(found, nearest.withColumnRenamed("from", "dir"), ["dir"], "left")
     how = F.when(F.col("own").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
-    return out.select(*keep, "path", F.coalesce("own", "given").alias("license"), how.alias("how"), "cosine")
+    results = ["path", "license", "how", "cosine"]
+    kept = [F.col(k).alias(f"{c}_kept" if c in results else c) for c, k in zip(own_names, keep, strict=True)]
+    return out.select(*kept, "path", F.coalesce("own", "given").alias("license"), how.alias("how"), "cosine")

@@ -14,6 +14,7 @@ from slotwise.llm import (
 )
 from slotwise.llm.common import scratch_dir
 from slotwise.llm.oracle import ORACLE_SQL as ORACLE_SQL
+from slotwise.llm.url_labels import labelled_urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,10 +102,9 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; the urls that a rule decides are the labelled table of the model."""
-    pages = _table(spark, sf_dir, "pages")
-    ruled = url_filter.by_rules(pages, URL_RULES).filter("verdict is not null")
-    return url_filter.judge_urls(pages, URL_RULES, ruled.select("url", "verdict"))
+    """Verdict on every page's url: the rule's, else that of a model learned from the small labelled table."""
+    labelled = spark.createDataFrame(labelled_urls(), "url string, verdict string")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, labelled)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,14 @@ def test_whole_licence_paragraphs(spark):
     df = spark.createDataFrame([(n, t) for n, t in texts.items()] + [("none", t) for t in cases.sentences(9, 20, 30)], "path string, text string")
     found = {r["path"]: (r["license"], r["cosine"]) for r in ls.scan(df).collect()}
     assert found == {n: (n, pytest.approx(1.0)) for n in texts} | {"none": (None, None)}
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ["score", "own", "text", "cosine", "dir", "later", "which", "given", "value", "path", "how", "license"]
+    rows = [(f"a/{i}.c", "plain text", *(f"{n}{i}" for n in names)) for i in range(3)]
+    df = spark.createDataFrame(rows, "p string, body string, " + ", ".join(f"`{n}` string" for n in names))
+    found = ls.scan(df, path_col="p", text_col="body", keep=names)
+    assert found.columns[-4:] == ["path", "license", "how", "cosine"]
+    shown = [f"{n}_kept" if n in ("path", "license", "how", "cosine") else n for n in names]
+    assert found.columns[:-4] == shown
+    assert sorted(tuple(r[: len(names)]) for r in found.collect()) == [tuple(f"{n}{i}" for n in names) for i in range(3)]

@@ -70,7 +70,7 @@ def test_pipeline_stages(spark, sf_dir):
     for r in after.collect():
         assert r["text"].encode().split() == cut[r["doc_id"]]["text"].encode().split()
         assert cut[r["doc_id"]]["n_removed"] or r["text"] == old[r["doc_id"]]
-    assert ids(before) - ids(after) == {i for i, r in cut.items() if r["n_removed"] and r["n_removed"] == r["n_words"]}
+    assert ids(before) == ids(after)
     before, after = tables["benchmark_decontamination"]
     hits = decontaminate.find_hits(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert ids(after) == ids(hits.filter("not contaminated"))

@@ -63,3 +63,30 @@ def test_empty_table_plan_and_rule_bound(spark, pages):
     assert not re.search("Python|Pandas|Arrow|Join|Exchange", plan)
     with pytest.raises(ValueError, match="rules"):
         uf.rule_case(RULES * 1000)
+
+
+def test_held_out_accuracy_of_the_labelled_table(spark):
+    """The model, trained on two thirds of the table that the query uses, against the last third."""
+    import zlib
+
+    from slotwise.llm.url_labels import labelled_urls
+
+    rows = labelled_urls()
+    assert len(rows) == len({u for u, _ in rows}) < 200
+    held = [r for r in rows if zlib.crc32(r[0].encode()) % 3 == 1]
+    labelled = spark.createDataFrame([r for r in rows if r not in held], "url string, verdict string")
+    df = cases.table(spark, [(i, u) for i, (u, _) in enumerate(held)], "page_id", "url")
+    found = {r["page_id"]: r["verdict"] for r in uf.judge_urls(df, [], labelled).collect()}
+    right = sum(found[i] == v for i, (_, v) in enumerate(held))
+    print("held out", right, len(held))
+    assert right >= 0.8 * len(held) and {v for _, v in held} == {"allow", "block"}
+
+
+def test_query_judges_hosts_not_languages(spark, sf_dir):
+    from slotwise.llm import queries
+
+    found = queries.op9_url_filter(spark, sf_dir).filter("rule is null").collect()
+    spam = [r for r in found if re.search("casino|bets|pills", r["host"])]
+    rest = [r for r in found if not re.search("casino|bets|pills|ads|win|free|cheap|xxx|adult", r["host"])]
+    assert sum(r["verdict"] == "allow" for r in rest) >= 0.9 * len(rest)
+    assert all(r["verdict"] == "block" for r in spam)
