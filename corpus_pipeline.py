@@ -3,12 +3,16 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the docs of the
 next stage.  All stages but the last return the columns of ``documents``.
+
+Edge cases: the quality rules reject null, empty and short texts; rows of one id with unlike
+texts are documents of their own, of equal rows one stays; a text that the dedup stage empties
+keeps its row, and has no words or pieces from there on; rows with a null id are treated
+like others and keep it; other columns pass through, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from slotwise.llm import decontaminate, ngram_join, piece_nbest, quality_rules, substring_dedup
@@ -27,11 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated 35-word passages; texts without any stay as they are, emptied ones go."""
+    """Documents without their repeated 35-word passages; texts without any stay as they are, emptied ones have an empty text."""
     cut = substring_dedup.remove_repeats(docs, window=35, layout=True, n_words="_llm_n_words", n_removed="_llm_n_removed")
-    cut = cut.filter("_llm_n_removed = 0 or _llm_n_removed < _llm_n_words")
-    length = F.when(F.col("_llm_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("_llm_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", length)
+    return cut.select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
