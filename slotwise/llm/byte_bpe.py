@@ -14,7 +14,8 @@ goes.  Each is a point update of logarithmic cost, so a match of n bytes takes
 O(n log n), however long.
 
 Encoding and decoding are passes without a shuffle.  A task encodes a match that
-repeats once, and keeps at most ``KEPT`` short matches.  The rank file's path is a
+repeats once, and keeps about ``KEPT`` of them.  The trees of new short matches are rows of
+one matrix, and a step merges a pair in every row that has one.  The rank file's path is a
 parameter; its vocabulary, a fixed file, is what is broadcast.
 
 Edge cases: null and empty texts have no ids; text that looks like a special token is
@@ -38,11 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import prepare
-from slotwise.llm.piece_nbest import read_model
+from slotwise.llm.piece_nbest import read_model, text_parts
 
-#: Matches that a task keeps the ids of, and the longest that it keeps.
-KEPT, KEPT_CHARS = 500_000, 64
+#: Matches, and ids of them, beyond which a task forgets those that it met.
+KEPT, KEPT_IDS = 500_000, 4_000_000
+#: Longest matches whose trees are merged together, and how many at once.
+FOREST_BYTES, FOREST_ROWS = 64, 4096
 _NONE = (1 << 63) - 1
+_WIDE = 1 << 31
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -110,8 +114,71 @@ class PairTree:
         return ids
 
 
+class PairForest:
+    """Trees of many short byte strings, merged in step: every round takes the root's pair of each string that has one.
+
+    The same trees as :class:`PairTree`, one a row of a matrix.  A pair's rank is looked up by its two
+    tokens in a sorted table of all ways to cut a token in two.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        cuts = [(ranks[t[:i]] * _WIDE + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        cuts.sort()
+        self.pairs, self.merged = (np.array(x, np.int64) for x in (zip(*cuts, strict=True) if cuts else ([-1], [0])))
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+        """Keys of the pairs of two tokens that start at some places; a token of -1 has no pair."""
+        pair = left * _WIDE + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        met = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        return np.where(met, self.merged[at] * width + place, _NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and the number of each; a piece has two bytes at least."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = 1 << max(1, int(size.max() - 1).bit_length())
+        place, row = np.arange(width), np.arange(len(pieces))
+        token = np.full((len(pieces), width), -1, np.int64)
+        token[place < size[:, None]] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        end, before = (np.tile(place + d, (len(pieces), 1)) for d in (1, -1))
+        tree = np.full((len(pieces), 2 * width), _NONE)
+        tree[:, width:-1] = self.keys(token[:, :-1], token[:, 1:], place[:-1], width)
+        half = width // 2
+        while half:
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+            half //= 2
+
+        def update(rows: np.ndarray, position: np.ndarray, key: np.ndarray | int) -> None:
+            node = width + position
+            tree[rows, node] = key
+            for _ in range(width.bit_length() - 1):
+                least = np.minimum(tree[rows, node], tree[rows, node ^ 1])
+                node = node >> 1
+                tree[rows, node] = least
+
+        row = row[tree[:, 1] != _NONE]
+        while len(row):
+            rank, at = np.divmod(tree[row, 1], width)
+            gone = end[row, at]
+            after = end[row, gone]
+            token[row, at], token[row, gone] = rank, -1
+            end[row, at] = after
+            more = after < size[row]
+            before[row[more], after[more]] = at[more]
+            update(row, gone, _NONE)
+            right = np.where(more, token[row, np.minimum(after, width - 1)], -1)
+            update(row, at, self.keys(rank, right, at, width))
+            left = before[row, at]
+            some = left >= 0
+            update(row[some], left[some], self.keys(token[row[some], left[some]], rank[some], left[some], width))
+            row = row[tree[row, 1] != _NONE]
+        live = token >= 0
+        return token[live], live.sum(axis=1)
+
+
 class Encoder(dict):
-    """Ids of matches; a short match is kept once it was met."""
+    """Number of each match that was met; the ids of all of them lie end to end."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
         super().__init__()
@@ -121,29 +188,80 @@ class Encoder(dict):
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.size_of = np.zeros(max(self.tokens) + 1, np.int64)
+        self.size_of[list(self.tokens)] = [len(token) for token in self.tokens.values()]
+        self.forest = PairForest(self.ranks)
+        self.forget()
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = self.match_ids(match.encode())
-        if len(match) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-            self[match] = ids
-        return ids
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.ends = array("i"), array("q", [0])
 
-    def match_ids(self, piece: bytes) -> tuple[int, ...]:
+    def match_ids(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(piece)
-        return (whole,) if whole is not None else tuple(PairTree(piece, self.ranks, self.longest).merge_all())
+        return [whole] if whole is not None else PairTree(piece, self.ranks, self.longest).merge_all()
+
+    def _keep(self, matches: list[str], ids: np.ndarray | list[int], counts: np.ndarray | list[int]) -> None:
+        self.update(zip(matches, range(len(self.ends) - 1, len(self.ends) - 1 + len(matches)), strict=True))
+        self.ends.frombytes((len(self.ids) + np.cumsum(counts, dtype=np.int64)).tobytes())
+        self.ids.frombytes(np.array(ids, np.int32).tobytes())
+
+    def learn(self, matches: list[str]) -> None:
+        """Number new matches; those of up to FOREST_BYTES bytes are merged together."""
+        pieces = [match.encode() for match in matches]
+        whole = list(map(self.ranks.get, pieces))
+        known = [i for i, rank in enumerate(whole) if rank is not None]
+        self._keep([matches[i] for i in known], [whole[i] for i in known], [1] * len(known))
+        sizes: dict[int, list[int]] = {}
+        for i, rank in enumerate(whole):
+            if rank is None and len(pieces[i]) <= FOREST_BYTES:
+                sizes.setdefault((len(pieces[i]) - 1).bit_length(), []).append(i)
+            elif rank is None:
+                ids = self.match_ids(pieces[i])
+                self._keep([matches[i]], ids, [len(ids)])
+        for found in sizes.values():
+            for lo in range(0, len(found), FOREST_ROWS):
+                part = found[lo : lo + FOREST_ROWS]
+                self._keep([matches[i] for i in part], *self.forest.merge_all([pieces[i] for i in part]))
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts end to end, and where each text begins and the last one ends."""
+        if len(self) > KEPT or len(self.ids) > KEPT_IDS:
+            self.forget()
+        matches: list[str] = []
+        bounds = [0]
+        for text in texts:
+            if text:
+                matches += self.split(text)
+            bounds.append(len(matches))
+        numbers = list(map(self.get, matches))
+        if None in numbers:
+            self.learn(list({match for match, number in zip(matches, numbers, strict=True) if number is None}))
+            numbers = list(map(self.get, matches))
+        at = np.array(numbers, np.int64)
+        ends = np.array(self.ends, np.int64)
+        size = ends[at + 1] - ends[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = np.array(self.ids, np.int32)[np.arange(total[-1]) + np.repeat(ends[at] - total[:-1], size)]
+        return flat, total[bounds]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text."""
-        found = map(self.__getitem__, self.split(text or ""))
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> bytes:
         """Bytes of a list of ids."""
         return b"".join(map(self.tokens.__getitem__, ids)) if ids is not None else b""
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Bytes of lists of ids that lie end to end."""
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.size_of)):
+            raise ValueError("ids outside the vocabulary")
+        data = self.decode(flat.tolist())
+        total = np.concatenate([[0], np.cumsum(self.size_of[flat])])[ends]
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(data)])
+
 
 _ENCODERS: dict[tuple[bytes, str], Encoder] = {}
 
@@ -169,13 +287,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         encoder = _encoder(data.value, pattern)
         try:
             for batch in batches:
-                parts = [encoder.encode(text) for text in batch.column(len(keep)).to_pylist()]
-                ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-                flat = np.concatenate([np.zeros(0, np.int32), *parts])
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, "ids"])
+                texts = batch.column(len(keep)).to_pylist()
+                for lo, hi in text_parts(texts):
+                    flat, ends = encoder.encode_all(texts[lo:hi])
+                    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), ids], [*keep, "ids"])
         finally:
-            encoder.clear()  # an idle worker keeps the vocabulary only
+            encoder.forget()  # an idle worker keeps the vocabulary only
 
     slim = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_llm_text"))
     return slim.mapInArrow(run, f"{_passing(docs, keep)}ids array<int>")
@@ -191,9 +309,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
         encoder = _encoder(data.value, pattern)
         for batch in batches:
             column = batch.column(len(keep))
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
-            texts = [encoder.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.binary())], [*keep, "decoded"])
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = encoder.decode_all(flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], texts], [*keep, "decoded"])
 
     slim = encoded.select(*(F.col(f"`{c}`") for c in keep), F.col(ids_col).cast("array<int>").alias("_llm_ids"))
     return slim.mapInArrow(run, f"{_passing(encoded, keep)}decoded binary")

@@ -298,7 +298,7 @@ def _encoder(model: bytes, nbest: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def text_parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHUNK_BYTES characters."""
     lo, size = 0, 0
     for i, text in enumerate(texts):
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         try:
             for batch in batches:
                 texts = batch.column(text_col).to_pylist()
-                for lo, hi in _parts(texts):
+                for lo, hi in text_parts(texts):
                     found, scores = encoder.encode_all(texts[lo:hi])
                     flat = [ids for own in found for ids in own]
                     ends, counts = (np.cumsum([0, *map(len, x)]).astype(np.int32) for x in (flat, found))
