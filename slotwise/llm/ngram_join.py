@@ -33,15 +33,17 @@ component id; repeated rows return one row each; an empty table returns none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import KEY, Words, buffers, chunks, known_id, mix, prepare, row_key, run_hash, signed, skew_join, stage_table
+from slotwise.llm.common import CHUNK_BYTES, KEY, Words, buffers, chunks, known_id, mix, prepare, row_key, run_hash, signed, skew_join, stage_table
 from slotwise.llm.components import components
 
 SLOT_BITS = 18
@@ -161,27 +163,48 @@ def _postings(slim: DataFrame, size: int, hot: np.ndarray, percent: int) -> Data
     return slim.mapInArrow(run, "token long, id long, n int")
 
 
-def _sets_of(pdf: pd.DataFrame, hot: np.ndarray, size: int, percent: int) -> tuple[Sets, np.ndarray, np.ndarray]:
-    data, offs = buffers(pa.array(pdf["text"], pa.string()))
-    sets = Sets(data, offs, size)
-    return sets, *prefixes(sets, hot, percent)
+def _groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by ``keys``, as many at once as about CHUNK_BYTES of text: the rows, and where each group begins."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        parts = [x for x in (rest, batch and pa.Table.from_batches([batch])) if x is not None]
+        if not parts:
+            return
+        table = pa.concat_tables(parts).combine_chunks()
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for key in keys:
+            values = table[key].to_numpy()
+            change |= values[1:] != values[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+        whole = len(starts) - (1 if batch is None else 2)  # the last group may go on in the next batch
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(table["text"]).fill_null(0).to_numpy(), dtype=np.int64)])[starts]
+        lo = 0
+        while lo < whole:
+            hi = min(whole, max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK_BYTES, "right")) - 1))
+            yield table.slice(starts[lo], starts[hi] - starts[lo]), starts[lo : hi + 1] - starts[lo]
+            lo = hi
+        rest = table.slice(starts[whole]) if batch is not None else None
 
 
 def _with_centre(size: int, percent: int):  # noqa: ANN202
     """Which documents of a block link with the meeting's centre: its n-grams are looked up, in linear work."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centre = pdf["is_centre"].to_numpy(bool)
-        data, offs = buffers(pa.array(pdf["text"], pa.string()))
-        sets = Sets(data, offs, size)
-        linked = np.zeros(len(pdf), bool)
-        for row in np.flatnonzero(centre & (sets.n > 0)):
-            own = sets.grams[sets.bounds[row] : sets.bounds[row + 1]]
-            met = own[np.minimum(np.searchsorted(own, sets.grams), len(own) - 1)] == sets.grams
-            both = np.bincount(sets.doc[met], minlength=len(pdf))
-            linked |= (both > 0) & (100 * both >= percent * (sets.n + len(own) - both))
-        out = pdf.loc[~centre, ["hub", "band", "id", "guest"]]
-        return out.assign(linked=linked[~centre])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hub", "band", "id", "guest"]
+        for table, starts in _groups(batches, ["hub", "band", "block"]):
+            centre = table["is_centre"].to_numpy()
+            sets = Sets(*buffers(table["text"]), size)
+            linked = np.zeros(len(centre), bool)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                grams = sets.grams[sets.bounds[lo] : sets.bounds[hi]]
+                doc = sets.doc[sets.bounds[lo] : sets.bounds[hi]] - lo
+                for row in np.flatnonzero(centre[lo:hi] & (sets.n[lo:hi] > 0)).tolist():
+                    own = sets.grams[sets.bounds[lo + row] : sets.bounds[lo + row + 1]]
+                    met = own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams
+                    both = np.bincount(doc[met], minlength=hi - lo)
+                    linked[lo:hi] |= (both > 0) & (100 * both >= percent * (sets.n[lo:hi] + len(own) - both))
+            others = pa.array(~centre)
+            yield from table.select(names).append_column("linked", pa.array(linked)).filter(others).combine_chunks().to_batches()
 
     return run
 
@@ -189,15 +212,23 @@ def _with_centre(size: int, percent: int):  # noqa: ANN202
 def _compare(hot, size: int, percent: int):  # noqa: ANN001, ANN202
     """Links between the documents of two blocks, as a spanning forest."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        guest, known = pdf["guest"].to_numpy(bool), pdf["known"].to_numpy(bool)
-        wanted = ~np.logical_and.outer(guest, guest) & ~np.logical_and.outer(known, known)
-        if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
-            block = pdf["block"].to_numpy()
-            wanted &= block[:, None] != block[None, :]
-        left, right = _forest(_linked(*_sets_of(pdf, hot.value, size, percent), wanted, percent))
-        return pd.DataFrame({"a": ids[left], "b": ids[right]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _groups(batches, ["hub", "band", "low", "high"]):
+            ids, block, low, high = (table[c].to_numpy() for c in ("id", "block", "low", "high"))
+            guest, known = (table[c].to_numpy() for c in ("guest", "known"))
+            sets = Sets(*buffers(table["text"]), size)
+            posted, matches = prefixes(sets, hot.value, percent)
+            found = [np.zeros((2, 0), np.int64)]
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                own = slice(lo, hi)
+                wanted = ~np.logical_and.outer(guest[own], guest[own]) & ~np.logical_and.outer(known[own], known[own])
+                if low[lo] != high[lo]:
+                    wanted &= block[own, None] != block[None, own]
+                at = slice(sets.bounds[lo], sets.bounds[hi])
+                links = _linked(sets.n[own], sets.doc[at] - lo, sets.grams[at], posted[at], matches[own], wanted, percent)
+                found.append(ids[own][np.stack(_forest(links))])
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -213,22 +244,26 @@ def _products(doc: np.ndarray, column: np.ndarray, rows: int, width: int = 2048)
     return total
 
 
-def _linked(sets: Sets, posted: np.ndarray, matches: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
-    n, rows = sets.n, len(sets.n)
-    _, column, times = np.unique(sets.grams, return_inverse=True, return_counts=True)
+def _linked(n: np.ndarray, doc: np.ndarray, grams: np.ndarray, posted: np.ndarray, matches: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
+    """Which documents link, of those that ``wanted`` asks for: prefixes, then sizes, then the exact intersection."""
+    rows = len(n)
+    found = wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (n[:, None] > 0)
+    np.fill_diagonal(found, False)
+    if not found.any():
+        return found
+    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
     shared = times[column] > 1
     column = (np.cumsum(times > 1) - 1)[column]
     first = posted & shared
-    found = _products(sets.doc[first], column[first], rows) >= np.minimum(matches[:, None], matches[None, :])
-    found &= wanted & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (n[:, None] > 0)
-    np.fill_diagonal(found, False)
+    _, used = np.unique(column[first], return_inverse=True)
+    found &= _products(doc[first], used, rows) >= np.minimum(matches[:, None], matches[None, :])
     live = np.flatnonzero(found.any(axis=1))
     if not len(live):
         return found
     at = np.full(rows, -1)
     at[live] = np.arange(len(live))
-    own = shared & (at[sets.doc] >= 0)
-    both = _products(at[sets.doc[own]], column[own], len(live))
+    own = shared & (at[doc] >= 0)
+    both = _products(at[doc[own]], column[own], len(live))
     size = n[live]
     ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     found[np.ix_(live, live)] &= ok
@@ -289,8 +324,8 @@ def _links(members: DataFrame, texts: DataFrame, same: DataFrame, hot, size: int
     own = live.filter("id <> centre").select(*meeting, block.alias("block"), "id", "guest", F.lit(False).alias("is_centre"))
     centres = heads.select(*meeting, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("centre").alias("id"))
     centres = centres.withColumns({"guest": F.lit(False), "is_centre": F.lit(True)})
-    first = own.unionByName(centres).hint("merge").join(texts, "id").groupBy(*meeting, "block")
-    first = first.applyInPandas(_with_centre(size, percent), "hub long, band int, id long, guest boolean, linked boolean")
+    first = own.unionByName(centres).hint("merge").join(texts, "id").repartition(*meeting, "block").sortWithinPartitions(*meeting, "block")
+    first = first.mapInArrow(_with_centre(size, percent), "hub long, band int, id long, guest boolean, linked boolean")
     first = first.groupBy(*meeting, "id", "guest").agg(F.max("linked").alias("linked"))
     first = stage_table(skew_join(first, heads.select(*meeting, "centre"), meeting), "first-links")
     near = first.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b")).unionByName(same)
@@ -306,7 +341,8 @@ def _links(members: DataFrame, texts: DataFrame, same: DataFrame, hot, size: int
     mine = F.expr("cast(pmod(xxhash64(id, hub), if(known, done, open)) as int) + if(known, open, 0)")
     rest = rest.withColumn("block", mine).withColumn("other", F.explode(F.expr("sequence(0, if(known, open, open + done) - 1)")))
     rest = rest.select(*meeting, "id", "guest", "known", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    far = rest.hint("merge").join(texts, "id").groupBy(*meeting, "low", "high").applyInPandas(_compare(hot, size, percent), "a long, b long")
+    far = rest.hint("merge").join(texts, "id").repartition(*meeting, "low", "high").sortWithinPartitions(*meeting, "low", "high")
+    far = far.mapInArrow(_compare(hot, size, percent), "a long, b long")
     return near.unionByName(far)
 
 
