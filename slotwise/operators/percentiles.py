@@ -1,52 +1,36 @@
-"""Exact discrete percentiles of big groups, without gathering a group.
+"""Exact percentiles of big groups, without gathering a group.
 
 ``percentile_disc(p)`` is the smallest value ``v`` with
-``count(x <= v) >= ceil(p * n)`` (NULLs ignored).  A grouped
-``percentile_disc`` aggregate keeps a value -> count map per group and merges
-all of them in one task, so a group with very many distinct values makes one task
-hold them all.  This operator finds the same values by range refinement:
-
-1. the values are written once to the shared folder as narrow rows (group,
-   column, value), so the source is read once and every pass sees the same data;
-2. one aggregate gives ``n``, ``min`` and ``max`` per group and column;
-3. the first pass splits a target's range into ``fanout`` buckets by the logarithm
-   of the magnitude, each later pass into ``fanout`` buckets of equal width, and
-   counts rows per bucket with a grouped aggregate (map-side partial counts, so a
-   value repeated on a third of all rows is one partial row per task).  The driver
-   gets at most ``targets x fanout`` small rows, walks the cumulative counts and
-   narrows each target to the exact ``[min, max]`` of the bucket holding its rank;
-4. a target is resolved when its range holds a single value.
-
-Bucket numbers are monotone in the value, so the walk is exact.  After the
-logarithmic pass the ends of a range differ by less than a factor of two, and
-every further pass divides its width by ``fanout``: with 4,096 buckets and 53-bit
-doubles, five passes always separate the values, whatever they are.
+``count(x <= v) >= ceil(p * n)`` (NULLs ignored), so the value of one rank;
+``percentile_cont(p)`` lies between the values of the two ranks next to
+``1 + p * (n - 1)``.  The grouped aggregates keep a value -> count map per group and
+merge all of them in one task.  This operator selects ranks instead:
+
+1. equal values are counted (partial sums in each task, so a value on a third of
+   all rows is one partial row per task), and the counts are range-partitioned by (group,
+   column, value) with sampled splitters and written to the shared folder, once;
+2. the rows of each range are summed per group and column; running sums over the ranges,
+   few rows, tell which range holds a rank and which rank it is there;
+3. only the ranges that hold a rank are read again: running counts inside them give
+   the value.
+
+No task holds more of a group than one range.  The written values are the only job
+that runs while a report is built; all the rest is one lazy plan, whatever the
+number of groups and targets.
 
 NaN counts as larger than any other value and as one value, as Spark orders it.
-
-The passes are jobs that run while the report is built (documented in the README);
-the result is a DataFrame of the found values.  Groups are meant to be few (a
-fixed list of buckets): more than ``MAX_GROUPS`` take Spark's grouped aggregate.
 """
 
 from __future__ import annotations
 
-import math
-import os
-import uuid
 from collections.abc import Sequence
+from decimal import Decimal
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from slotwise.session import ensure_checkpoint_dir
 
-#: Groups whose ranges the driver keeps.
-MAX_GROUPS = 256
-#: Above ln(1.8e308) and below -ln(4.9e-324) in magnitude, so shifted logarithms are positive.
-_SHIFT = 760.0
+from slotwise.operators.staging import staged
 
 Targets = dict[str, tuple[str, float]]  # output column -> (value column, p)
 
@@ -58,97 +42,72 @@ def rank_for(p: float, n: int) -> int:
     return max(1, min(n, k))
 
 
-def _magnitude(v: Column) -> Column:
-    """A monotone image of any double that grows with the logarithm of its magnitude."""
-    return F.when(v == 0.0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + F.lit(_SHIFT)))
-
-
-def _image(x: float) -> float:
-    return 0.0 if x == 0.0 else math.copysign(math.log(abs(x)) + _SHIFT, x)
-
-
-def _wide(lo: float, hi: float) -> bool:
-    """Whether the ends differ in sign or by a factor of two or more."""
-    return lo == 0 or hi == 0 or (lo < 0) != (hi < 0) or max(abs(lo), abs(hi)) / 2 >= min(abs(lo), abs(hi))
-
-
-def _bucket(v: Column, lo: float, hi: float, fanout: int) -> Column:
-    if _wide(lo, hi):
-        a, b = _image(lo), _image(hi)
-        part = (_magnitude(v) - F.lit(a)) / F.lit(b - a)
-    else:
-        part = (v - F.lit(lo)) / F.lit(hi - lo)
-    return F.greatest(F.lit(0), F.least(F.floor(part * F.lit(float(fanout))), F.lit(fanout - 1).cast("long")))
-
-
-def _stacked(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by..., c, v): one row per value; the values are written once."""
-    spark = df.sparkSession
+def _counted_ranges(df: DataFrame, by: Sequence[str], columns: Sequence[str], ranges: int | None) -> DataFrame:
+    """(by..., c, v, n, seg): each value of each column with its count, and the range that it lies in."""
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(x).cast("double").alias("v")) for i, x in enumerate(columns)]))
     rows = df.select(*by, values.alias("cv")).select(*by, "cv.*")  # NULLs stay: a group may have nothing else
-    path = os.path.join(ensure_checkpoint_dir(spark), f"slotwise-values-{uuid.uuid4().hex[:12]}")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def _narrowed(rows: list, need: int) -> tuple[float, float, int]:
-    """The bucket that holds the rank ``need``: its smallest and largest value, and the rank inside it."""
-    for row in sorted(rows, key=lambda r: r["b"]):
-        if need <= row["n"]:
-            return row["lo"], row["hi"], need
-        need -= row["n"]
-    raise RuntimeError("rank outside the counted range")  # pragma: no cover - counts always cover it
-
-
-def exact_percentiles(df: DataFrame, targets: Targets, by: Sequence[str] = (), fanout: int = 4096) -> DataFrame:
-    """One row per group with ``percentile_disc(p)`` of a column for each ``name -> (column, p)``; one row without ``by``."""
+    counts = rows.groupBy(*by, "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    place = [*by, "c", "v"]
+    ranged = counts.repartitionByRange(ranges, *place) if ranges else counts.repartitionByRange(*place)
+    return staged(ranged.withColumn("seg", F.spark_partition_id()), "values", ["seg"])
+
+
+def _wanted(targets: Targets, columns: Sequence[str], kind: str) -> Column:
+    """The ranks (t, rank, weight) that the targets of column ``c`` ask for among ``total`` values, exactly."""
+    total = F.col("total").cast("decimal(18,0)")
+    asked = []
+    for t, (column, p) in enumerate(targets.values()):
+        exact = F.lit(Decimal(str(float(p)))).cast("decimal(20,18)")
+        if kind == "disc":
+            rank = F.greatest(F.lit(1), F.least(F.col("total"), F.ceil(exact * total).cast("long")))
+            pairs = [(rank, F.lit(1.0), F.lit(True))]
+        else:
+            place = exact * (F.col("total") - 1).cast("decimal(18,0)")
+            low = F.floor(place).cast("long")
+            part = (place - low.cast("decimal(18,0)")).cast("double")
+            pairs = [(low + 1, 1.0 - part, F.lit(True)), (low + 2, part, part > 0)]
+        here = F.col("c") == columns.index(column)
+        asked += [F.when(here & some, F.struct(F.lit(t).alias("t"), rank.alias("rank"), weight.alias("weight"))) for rank, weight, some in pairs]
+    return F.filter(F.array(*asked), lambda x: x.isNotNull())
+
+
+def exact_percentiles(df: DataFrame, targets: Targets, by: Sequence[str] = (), fanout: int | None = None, kind: str = "disc") -> DataFrame:
+    """One row per group with a percentile of a column for each ``name -> (column, p)``; one row without ``by``.
+
+    ``kind`` is ``disc`` or ``cont``; ``fanout`` is the number of ranges (default: Spark's shuffle partitions).
+    """
+    if kind not in ("disc", "cont"):
+        raise ValueError(f"kind must be 'disc' or 'cont', got {kind!r}")
     by = list(by)
-    spark = df.sparkSession
     columns = list(dict.fromkeys(c for c, _ in targets.values()))
-    vals = _stacked(df, by, columns)
-    counted = vals.groupBy(*by, "c").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    heads = counted.limit(MAX_GROUPS * len(columns) + 1).collect()
-    if len(heads) > MAX_GROUPS * len(columns):
-        one = {n: F.when(F.col("c") == columns.index(c), F.col("v")) for n, (c, _) in targets.items()}
-        return vals.withColumns(one).groupBy(*by).agg(
-            *[F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{n}`)").alias(n) for n, (_, p) in targets.items()]
-        )
-    groups = list(dict.fromkeys(tuple(h[b] for b in by) for h in heads)) or ([] if by else [()])
-    # (group, name) -> [lo, hi, rank within]
-    state: dict[tuple, list] = {}
-    for h in heads:
-        group = tuple(h[b] for b in by)
-        for name, (c, p) in targets.items():
-            if columns.index(c) == h["c"] and h["n"]:
-                state[group, name] = [h["lo"], h["hi"], rank_for(p, h["n"])]
-    while open_ := {t: st for t, st in state.items() if not _same(st[0], st[1])}:
-        per_target = []
-        for i, ((group, name), (lo, hi, _)) in enumerate(open_.items()):
-            here = F.col("c") == columns.index(targets[name][0])
-            for b, value in zip(by, group, strict=True):
-                here &= F.col(b).eqNullSafe(F.lit(value))
-            inside = here & F.col("v").between(F.lit(lo), F.lit(hi))
-            if math.isinf(lo) or math.isinf(hi) or math.isnan(hi):  # infinities and NaN in buckets of their own
-                b = F.when(F.isnan("v"), 3).when(F.col("v") == math.inf, 2).when(F.col("v") == -math.inf, 0).otherwise(1).cast("long")
-            else:
-                b = _bucket(F.col("v"), lo, hi, fanout)
-            per_target.append(F.when(inside, F.struct(F.lit(i).alias("t"), b.alias("b"))))
-        hits = vals.select(F.explode(F.filter(F.array(*per_target), lambda s: s.isNotNull())).alias("h"), "v")
-        counts = hits.groupBy("h.t", "h.b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        found: dict[int, list] = {}
-        for row in counts:
-            found.setdefault(row["t"], []).append(row)
-        for i, (target, st) in enumerate(open_.items()):
-            state[target] = list(_narrowed(found[i], st[2]))
-    rows = [(*g, *(state[g, name][0] if (g, name) in state else None for name in targets)) for g in groups]
-    fields = [df.schema[b] for b in by]
-    return spark.createDataFrame(rows, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in targets)]))
-
-
-def _same(a: float, b: float) -> bool:
-    return a == b or (math.isnan(a) and math.isnan(b))
-
-
-def exact_percentile_disc(df: DataFrame, x: str, names: dict[float, str], fanout: int = 4096) -> DataFrame:
+    values = _counted_ranges(df, by, columns, fanout)
+    known = values.filter("v is not null")
+
+    over = Window.partitionBy(*by, "c")
+    sums = known.groupBy(*by, "c", "seg").agg(F.sum("n").alias("held"))
+    sums = sums.withColumns({"total": F.sum("held").over(over), "upto": F.sum("held").over(over.orderBy("seg"))})
+    asked = sums.select(*by, "c", "seg", "held", (F.col("upto") - F.col("held")).alias("before"), F.explode(_wanted(targets, columns, kind)).alias("x"))
+    inside = F.col("x.rank") - F.col("before")
+    asked = asked.filter((inside > 0) & (inside <= F.col("held")))
+    renamed = [F.col(b).alias(f"_of_{b}") for b in by]
+    asked = asked.select(*renamed, F.col("c").alias("_of_c"), F.col("seg").alias("_of_seg"), "x.t", "x.weight", inside.alias("rank"))
+
+    meets = (F.col("c") == F.col("_of_c")) & (F.col("seg") == F.col("_of_seg"))
+    for b in by:
+        meets &= F.col(b).eqNullSafe(F.col(f"_of_{b}"))
+    held = Window.partitionBy(*by, "c", "seg", "t", "rank").orderBy("v")
+    found = known.join(asked, meets).withColumn("at", F.sum("n").over(held))
+    found = found.filter((F.col("rank") <= F.col("at")) & (F.col("rank") > F.col("at") - F.col("n")))
+    shares = [F.sum(F.when(F.col("t") == t, F.col("v") * F.col("weight"))).alias(name) for t, name in enumerate(targets)]
+    if not by:
+        return found.agg(*shares)
+    groups = values.select(*(F.col(b).alias(f"_of_{b}") for b in by)).distinct()
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_of_{b}"))
+    return groups.join(found.groupBy(*by).agg(*shares), same, "left").select(*(F.col(f"_of_{b}").alias(b) for b in by), *targets)
+
+
+def exact_percentile_disc(df: DataFrame, x: str, names: dict[float, str], fanout: int | None = None) -> DataFrame:
     """One row with ``percentile_disc(p)`` of column ``x`` for each ``p -> name``."""
     return exact_percentiles(df, {name: (x, p) for p, name in names.items()}, fanout=fanout)

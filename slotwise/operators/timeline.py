@@ -5,9 +5,16 @@ reference can be computed inside the array (``method="array"``, the default):
 sort the samples by ``elapsed_ms`` with ``sort_array`` and read the previous
 element with ``get(arr, i - 1)``.  That needs no shuffle at all, where the
 window form (``method="window"``) hash-partitions every sample by ``job_id``.
-The two are equal whenever ``job_id`` is unique per row, which the data model
-guarantees and P16 checks; the window form stays available for exports that
-break that rule.
+
+The two are equal where a ``job_id`` is on one row.  Exports may hold an id on
+several rows; a narrow grouped count finds such ids when the report is built.  Their samples, and
+only theirs, take a segmented lag: they are range-partitioned by
+(``job_id``, ``elapsed_ms``), lagged inside each range, and the last sample of an id in
+one range is carried to its first sample in the next.  So an id on very many
+rows is spread over tasks, where a window over ``job_id`` would be one task.
+
+Samples of one id with equal ``elapsed_ms`` are ordered by their other fields and
+then by the times of their rows, in every form; rows without an id count as one id.
 """
 
 from __future__ import annotations
@@ -19,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.time import add_ms, ms_between, to_long_half_away
+from slotwise.operators.joins import sized
+from slotwise.operators.staging import staged
 from slotwise.schemas import SAMPLE_FIELDS
 from slotwise.sources.jobs import creation_between
 
@@ -27,6 +36,10 @@ from slotwise.sources.jobs import creation_between
 SamplePredicate = Callable[[Callable[[str], Column]], Column]
 
 LAG_FIELDS = ("elapsed_ms", "total_slot_ms")
+#: Order of the samples of one job id, whatever its rows.
+SAMPLE_ORDER = (*SAMPLE_FIELDS, "start_time", "creation_time")
+#: The same order once samples have their lags: of equal samples the first has another sample before it.
+LAGGED_ORDER = (*SAMPLE_ORDER, *(f"prev_{f}" for f in LAG_FIELDS))
 
 
 def select_jobs(
@@ -121,15 +134,68 @@ def _profile_array(jobs: DataFrame, keep: Sequence[str], sample_filter: SamplePr
     return out.withColumn("prev_etime_raw", prev_etime).drop("_has_prev", "_prev_sample_elapsed_ms")
 
 
+def _etime() -> Column:
+    return add_ms(F.col("start_time"), F.coalesce(F.col("elapsed_ms"), F.lit(0).cast("long")))
+
+
 def _profile_window(jobs: DataFrame, keep: Sequence[str], sample_filter: SamplePredicate | None) -> DataFrame:
     out = jobs.select(*keep, F.inline("timeline"))
-    w = Window.partitionBy("job_id").orderBy("elapsed_ms")
+    w = Window.partitionBy("job_id").orderBy(*SAMPLE_ORDER)
     for f in LAG_FIELDS:
         out = out.withColumn(f"prev_{f}", F.lag(f).over(w))
     if sample_filter is not None:
         out = out.filter(sample_filter(F.col))
-    etime = add_ms(F.col("start_time"), F.coalesce(F.col("elapsed_ms"), F.lit(0).cast("long")))
-    return out.withColumn("_etime", etime).withColumn("prev_etime_raw", F.lag("_etime").over(w)).drop("_etime")
+    again = Window.partitionBy("job_id").orderBy(*LAGGED_ORDER)
+    return out.withColumn("_etime", _etime()).withColumn("prev_etime_raw", F.lag("_etime").over(again)).drop("_etime")
+
+
+def segmented_lag(rows: DataFrame, key: str, order: Sequence[str], lags: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``lag(column) over (partition by key order by order)`` for each ``name -> column``.
+
+    Rows are range-partitioned by key and order; a lag inside a range is a window over (range,
+    key), and the first row of a key in a range gets the last row of the key's range before it.
+    Equal rows are told apart by a row number, so a key that holds very many of them is spread
+    as well.  The ranges come from a sample, so they are written once; names that
+    begin with ``_seg`` are the function's own.
+    """
+    place = [key, *order, "_seg_tie"]
+    values = F.struct(*(value.alias(name) for name, value in lags.items()))
+    ranged = rows.withColumn("_seg_values", values).withColumn("_seg_tie", F.monotonically_increasing_id())
+    ranged = staged(ranged.repartitionByRange(*place).withColumn("_seg", F.spark_partition_id()), "segments")
+    inside = Window.partitionBy("_seg", key).orderBy(*place[1:])
+    lagged = ranged.withColumn("_seg_before", F.lag("_seg_values").over(inside))
+    tails = ranged.groupBy("_seg", key).agg(F.max_by("_seg_values", F.struct(*place[1:])).alias("_seg_last"))
+    carry = F.lag("_seg_last").over(Window.partitionBy(key).orderBy("_seg"))
+    tails = tails.select(F.col("_seg").alias("_seg_of"), F.col(key).alias("_seg_key"), carry.alias("_seg_carry")).filter("_seg_carry is not null")
+    # Only first rows of a range lack a row before them there.
+    meets = (F.col("_seg") == F.col("_seg_of")) & F.col(key).eqNullSafe(F.col("_seg_key"))
+    joined = lagged.join(tails, meets, "left")
+    before = F.coalesce("_seg_before", "_seg_carry")
+    return joined.select(*rows.columns, *(before[name].alias(name) for name in lags))
+
+
+def _profile_segments(jobs: DataFrame, keep: Sequence[str], sample_filter: SamplePredicate | None) -> DataFrame:
+    out = jobs.select(*keep, F.inline("timeline")).withColumn("_etime", _etime())
+    lags = {f"prev_{f}": F.col(f) for f in LAG_FIELDS}
+    if sample_filter is None:
+        lags["prev_etime_raw"] = F.col("_etime")
+    out = segmented_lag(out, "job_id", SAMPLE_ORDER, lags)
+    if sample_filter is not None:
+        out = segmented_lag(out.filter(sample_filter(F.col)), "job_id", LAGGED_ORDER, {"prev_etime_raw": F.col("_etime")})
+    return out.drop("_etime")
+
+
+def split_repeated(jobs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose ``job_id`` is on one row, and the others (None if there are none).
+
+    One grouped count over the ids decides; it is a job of its own.  Rows without an id count as one id.
+    """
+    ids = jobs.groupBy("job_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    ids, rows = sized(ids.select(F.col("job_id").alias("_again")))
+    if not rows:
+        return jobs, None
+    same = F.col("job_id").eqNullSafe(F.col("_again"))
+    return jobs.join(ids, same, "left_anti"), jobs.join(ids, same, "left_semi")
 
 
 def timeline_profile(
@@ -153,11 +219,16 @@ def timeline_profile(
     """
     keep = list(dict.fromkeys(["job_id", "creation_time", "start_time", *keep]))
     if method == "array":
-        out = _profile_array(jobs, keep, sample_filter)
+        once, again = split_repeated(jobs)
+        out = _profile_array(once, keep, sample_filter)
+        if again is not None:
+            out = out.unionByName(_profile_segments(again, keep, sample_filter))
     elif method == "window":
         out = _profile_window(jobs, keep, sample_filter)
+    elif method == "segments":
+        out = _profile_segments(jobs, keep, sample_filter)
     else:
-        raise ValueError(f"method must be 'array' or 'window', got {method!r}")
+        raise ValueError(f"method must be 'array', 'window' or 'segments', got {method!r}")
     if first == "zero":
         for f in LAG_FIELDS:
             out = out.withColumn(f"prev_{f}", F.coalesce(F.col(f"prev_{f}"), F.lit(0).cast("long")))
@@ -219,16 +290,29 @@ def last_sample_per_job(
     df: DataFrame,
     job_columns: Sequence[str],
     sample_columns: Sequence[str],
-    order: str = "elapsed_ms",
+    order: Sequence[str] = SAMPLE_ORDER,
 ) -> DataFrame:
     """C9 (window form): per job, the sample columns of its last sample.
 
     ``last_value`` over the whole ``job_id`` partition ordered by ``order``,
     then ``distinct`` - the reference formulation, used by the window paths.
-    The array paths take ``element_at(sorted_samples, -1)`` instead.
+    The array paths take the last element of each row's samples instead, and
+    :func:`last_over_rows` where an id is on several rows.
     """
-    w = Window.partitionBy("job_id").orderBy(order).rowsBetween(
+    w = Window.partitionBy("job_id").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     cols = [F.col(c) for c in job_columns] + [F.last(c).over(w).alias(c) for c in sample_columns]
     return df.select(*cols).distinct()
+
+
+def last_over_rows(lasts: DataFrame, job_columns: Sequence[str], sample: str = "_last") -> DataFrame:
+    """C9 for ids on several rows: ``job_columns`` and ``sample`` (a struct in sample order), made the id's last one.
+
+    ``lasts`` holds each row's own last sample.  The largest of an id is a grouped maximum;
+    rows that are then equal are one row, as the window form's ``distinct`` makes them.
+    """
+    top = lasts.groupBy(F.col("job_id").alias("_top_id")).agg(F.max(sample).alias("_top"))
+    rows = lasts.select(*dict.fromkeys(["job_id", *job_columns])).distinct()
+    joined = rows.join(top, F.col("job_id").eqNullSafe(F.col("_top_id")))
+    return joined.select(*job_columns, F.col("_top").alias(sample))

@@ -66,6 +66,15 @@ REPEATED = {
     "duplicate_job_ids",
     "most_used_predicates_join",
     "predicate_listing_join",
+    "slot_sample_offenders",
+    "slot_sample_offenders_settings",
+    "slot_utilization",
+    "slot_utilization_window_lag",
+    "resource_hog_jobs",
+    "slot_threshold_calibration",
+    "slot_bucket_indicator",
+    "bucket_series",
+    "bucket_series_window_lag",
 }
 
 
@@ -89,6 +98,9 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
         fx.jobs, SETTINGS["slot_threshold_calibration"]
     ),
     "elapsed_by_bytes_bucket": lambda spark, fx: P.elapsed_by_bytes_bucket(fx.jobs, SETTINGS["elapsed_by_bytes_bucket"]),
+    "elapsed_by_bytes_bucket_total": lambda spark, fx: P.elapsed_by_bytes_bucket(
+        fx.jobs, replace(SETTINGS["elapsed_by_bytes_bucket"], elapsed="total")
+    ),
     "elapsed_by_bytes_raw": lambda spark, fx: P.elapsed_by_bytes_raw(fx.jobs, SETTINGS["elapsed_by_bytes_bucket"]),
     "minute_usage": lambda spark, fx: P.minute_usage(spark, fx.jobs, SETTINGS["minute_usage"]),
     "minute_usage_by_reservation": lambda spark, fx: P.minute_usage_by_reservation(
@@ -170,7 +182,8 @@ def export(spark: SparkSession, fx: Fixture) -> str:
 
 def _from_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 over an export, read by the readers."""
-    base = export(spark, fixture(spark, sf_dir))
+    fx = fixture(spark, sf_dir)
+    base = export(spark, replace(fx, jobs=with_repeated_rows(fx.jobs)))
     return P.slot_utilization(
         src.read_jobs(spark, f"{base}/jobs"),
         src.read_assignments(spark, f"{base}/assignments"),

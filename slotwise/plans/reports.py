@@ -3,7 +3,7 @@
 Every function takes the job-history DataFrame (plus catalog tables where
 needed) and a settings dataclass, and returns a DataFrame.  Most are not
 evaluated before they are used; P1, P11, P12, P14 and P13 first count narrow rows to
-choose a join, and P5 and P9 find their percentiles in passes over written values.
+choose a join, and P5, P9 and P6 over total times select percentiles from written values.
 ``method="array"`` (default) computes per-job lags inside the timeline array
 with no shuffle; ``method="window"`` is the reference's window formulation.
 """
@@ -192,14 +192,24 @@ def resource_hog_jobs(
         prof = prof.filter(TL.over_limit(average=F.col("average_slot_usage"), **limits))
         return TL.last_sample_per_job(prof, [*P4_JOB_COLUMNS, "waiting_ms"], P4_SAMPLE_COLUMNS)
     offending = F.filter(TL.sorted_timeline(), lambda x: TL.over_limit(lambda n: x[n], **limits))
-    staged = j.select(*P4_JOB_COLUMNS, waiting, offending.alias("_off")).filter(F.size("_off") > 0)
-    last = TL.last_element(F.col("_off"))
+
+    def last_of_rows(rows: DataFrame) -> DataFrame:
+        found = rows.select(*P4_JOB_COLUMNS, waiting, offending.alias("_off")).filter(F.size("_off") > 0)
+        own = TL.last_element(F.col("_off"))
+        sample = F.struct(*(own[f].alias(f) for f in SAMPLE_FIELDS), "start_time", "creation_time")
+        return found.select(*P4_JOB_COLUMNS, "waiting_ms", sample.alias("_last"))
+
+    once, again = TL.split_repeated(j)
+    staged = last_of_rows(once)
+    if again is not None:
+        staged = staged.unionByName(TL.last_over_rows(last_of_rows(again), [*P4_JOB_COLUMNS, "waiting_ms"]))
+    last = F.col("_last")
     return staged.select(
         *P4_JOB_COLUMNS,
         "waiting_ms",
         last["elapsed_ms"].alias("elapsed_ms"),
         F.timestamp_add(
-            "MILLISECOND", F.coalesce(last["elapsed_ms"], F.lit(0).cast("long")), F.col("start_time")
+            "MILLISECOND", F.coalesce(last["elapsed_ms"], F.lit(0).cast("long")), last["start_time"]
         ).alias("etime"),
         last["total_slot_ms"].alias("total_slot_ms"),
         TL.average_slot_usage(last["total_slot_ms"], last["elapsed_ms"]).alias("average_slot_usage"),
@@ -231,10 +241,18 @@ def slot_threshold_calibration_input(
         last = TL.last_sample_per_job(prof, ["job_id", "state"], ["average_slot_usage"])
         return last.select("state", "average_slot_usage")
     band = F.filter(TL.sorted_timeline(), lambda x: x["elapsed_ms"].between(F.lit(lo), F.lit(hi)))
-    last = TL.last_element(band)
-    return j.filter(F.size(band) > 0).select(
-        "state", TL.average_slot_usage(last["total_slot_ms"], last["elapsed_ms"]).alias("average_slot_usage")
-    )
+
+    def last_of_rows(rows: DataFrame) -> DataFrame:
+        own = TL.last_element(band)
+        sample = F.struct(*(own[f].alias(f) for f in SAMPLE_FIELDS), "start_time", "creation_time")
+        return rows.filter(F.size(band) > 0).select("job_id", "state", sample.alias("_last"))
+
+    once, again = TL.split_repeated(j)
+    rows = last_of_rows(once)
+    if again is not None:
+        rows = rows.unionByName(TL.last_over_rows(last_of_rows(again), ["job_id", "state"]))
+    usage = TL.average_slot_usage(F.col("_last.total_slot_ms"), F.col("_last.elapsed_ms"))
+    return rows.select("state", usage.alias("average_slot_usage"))
 
 
 P5_COLUMNS = {
@@ -301,11 +319,17 @@ P6_PERCENTILES = {
 def elapsed_by_bytes_bucket(jobs: DataFrame, s: S.ElapsedByBytesSettings = S.ElapsedByBytesSettings()) -> DataFrame:
     """Continuous percentiles of job elapsed time per bytes-processed bucket.
 
-    Grouped aggregate: the millisecond field has at most 1,000 distinct
-    values, so each group's value -> count state stays tiny at any scale.
+    The millisecond field has at most 1,000 distinct values, so a grouped aggregate's
+    value -> count state stays tiny at any scale.  Total times (``elapsed="total"``) have no
+    such bound: their two ranks next to each percentile are selected by ranges, and no task
+    holds a group (see ``operators/percentiles.py``).
     """
     rows = _elapsed_by_bytes_rows(jobs, s)
-    stat = B.percentiles_by(rows, ["bucket_index"], "elapsed_time", P6_PERCENTILES, kind="cont")
+    if s.elapsed == "total":
+        asked = {name: ("elapsed_time", p) for name, p in P6_PERCENTILES.items()}
+        stat = exact_percentiles(rows, asked, by=["bucket_index"], kind="cont")
+    else:
+        stat = B.percentiles_by(rows, ["bucket_index"], "elapsed_time", P6_PERCENTILES, kind="cont")
     return stat.select(
         bucket_label(F.col("bucket_index"), s.bytes_processed_bucket, s.overflow).alias("bucket_bytes_processed"),
         *P6_PERCENTILES,
@@ -353,9 +377,9 @@ def slot_bucket_indicator(
 ) -> DataFrame:
     """Waiting / elapsed percentiles per job-size bucket.
 
-    Percentiles are taken over the per-time-bucket averages.  The size buckets
-    are few, so no group is gathered: the values are refined by counts, in
-    jobs that run when the report is built (see ``operators/percentiles.py``).
+    Percentiles are taken over the per-time-bucket averages.  No group is gathered:
+    the values are written in ranges when the report is built, and ranks are
+    selected from them (see ``operators/percentiles.py``).
     """
     start, end = s.window.bounds()
     j = TL.select_jobs(jobs, start, end, s.check_state).withColumnRenamed(
