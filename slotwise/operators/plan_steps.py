@@ -219,8 +219,9 @@ def with_table_sizes(report: DataFrame, table_storage: DataFrame) -> DataFrame:
 # predicate -> column -> table matching can run inside the row over its
 # ``job_stages`` array (no explode of the whole plan, no join, no shuffle).
 # It equals the join form where a job id is on one row and its input stages have
-# names of their own.  ``split_regular`` tells those rows from the others,
-# which take the join form.
+# names of their own.  The aggregated reports (P11, P12) bring the parsed stages of a
+# job's rows together first; for the listing (P14) ``split_regular`` tells those
+# rows from the others, which take the join form.
 
 
 def with_keys(jobs: DataFrame) -> DataFrame:
@@ -295,35 +296,67 @@ def _row_pairs(x: Column) -> Column:
     )
 
 
+def _per_job(parsed: DataFrame) -> DataFrame:
+    """One row per job id with the parsed stages of all its rows; stages of one step key share their columns and predicates.
+
+    Equal rows merge before the shuffle, so an id on very many rows is one partial set a task;
+    a group holds the distinct plans of one id.
+    """
+    grouped = parsed.filter("job_id IS NOT NULL").groupBy("job_id").agg(F.flatten(F.collect_set("_p")).alias("_p"))
+
+    def key(x: Column) -> Column:
+        return F.struct(x["project_id"], x["user_email"], x["stage_name"])
+
+    def of_key(x: Column, field: str) -> Column:
+        return F.flatten(F.transform(F.filter(F.col("_p"), lambda y: key(y) == key(x)), lambda y: y[field]))
+
+    def shared(x: Column) -> Column:
+        own = ("project_id", "user_email", "stage_name", "tables")
+        return F.struct(*(x[f].alias(f) for f in own), of_key(x, "cols").alias("cols"), of_key(x, "keys").alias("keys"))
+
+    clash = F.size(F.array_distinct(F.transform("_p", key))) < F.size("_p")
+    return grouped.select("job_id", F.when(clash, F.transform("_p", shared)).otherwise(F.col("_p")).alias("_p"))
+
+
 def usage_levels_in_row(
     jobs: DataFrame,
     strict: bool = True,
     trim: bool = False,
     denominator: str = "predicates",
     require_column: bool = False,
+    unique_jobs: bool = False,
 ) -> DataFrame:
-    """Level rows for :func:`predicate_ratio`, matched inside each job row.
+    """Level rows for :func:`predicate_ratio`, matched inside each job.
 
-    Rows are distinct per job row (``array_distinct``), so over rows from
-    :func:`split_regular` they are distinct and need no ``distinct`` shuffle.
+    The plans are parsed in their rows, in one scan, and meet by job id in one shuffle; so ids on
+    several rows and stages that share a name match as in the join form.  Level rows are distinct
+    per job (``array_distinct``) and need no ``distinct`` shuffle.  ``unique_jobs`` is for exports
+    known to have one row per job and input stages of different names: no shuffle then.
 
     ``denominator="predicates"``: a table counts for a job when the job has a
     matched predicate on it (P11); ``"readers"``: when the job reads it (P12).
     A job with a NULL key reads its tables but matches no predicate.
     ``require_column`` drops pairs whose column is NULL (P12's final filter).
     """
-    staged = jobs.select(*JOB_KEYS, F.transform(_input_stages(), _read_substeps).alias("_subs"))
+    named = F.transform(_input_stages(), lambda s: F.struct(s["name"].alias("stage_name"), _read_substeps(s).alias("subs")))
+    staged = jobs.select(*JOB_KEYS, named.alias("_subs"))
     parsed = staged.select(
-        *JOB_KEYS,
+        "job_id",
         F.transform(
             "_subs",
             lambda x: F.struct(
-                _tables(x).alias("tables"), _column_pairs(x, strict, trim).alias("cols"), _predicate_keys(x).alias("keys")
+                F.col("project_id"),
+                F.col("user_email"),
+                x["stage_name"].alias("stage_name"),
+                _tables(x["subs"]).alias("tables"),
+                _column_pairs(x["subs"], strict, trim).alias("cols"),
+                _predicate_keys(x["subs"]).alias("keys"),
             ),
         ).alias("_p"),
     )
-    keyed = F.col("project_id").isNotNull() & F.col("user_email").isNotNull() & F.col("job_id").isNotNull()
-    pairs = F.array_distinct(F.flatten(F.transform(F.when(keyed, F.col("_p")), _row_pairs)))
+    parsed = parsed if unique_jobs else _per_job(parsed)
+    keyed = F.filter("_p", lambda x: x["project_id"].isNotNull() & x["user_email"].isNotNull())
+    pairs = F.array_distinct(F.flatten(F.transform(F.when(F.col("job_id").isNotNull(), keyed), _row_pairs)))
     if require_column:
         pairs = F.filter(pairs, lambda pr: pr["predicate_column"].isNotNull())
     none = F.array().cast("array<struct<table_name:string,predicate_column:string>>")

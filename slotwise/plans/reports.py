@@ -444,11 +444,10 @@ def _predicate_levels(j: DataFrame, s: S.PredicateSettings, method: str, unique_
         raise ValueError(f"method must be 'row' or 'join', got {method!r}")
     if not readers:
         j = PS.with_keys(j)
-    regular, others = (j, None) if unique_jobs else PS.split_regular(j)
     levels = PS.usage_levels_in_row(
-        regular, strict=not readers, trim=s.trim_columns, denominator="readers" if readers else "predicates", require_column=readers
+        j, strict=not readers, trim=s.trim_columns, denominator="readers" if readers else "predicates", require_column=readers, unique_jobs=unique_jobs
     )
-    return (levels if others is None else levels.unionByName(joined(others).distinct())), False
+    return levels, False
 
 
 def most_used_predicates(
@@ -456,11 +455,11 @@ def most_used_predicates(
 ) -> DataFrame:
     """Columns filtered on per table; denominator = jobs with a predicate on the table.
 
-    ``method="row"`` matches predicates, columns and tables inside each job
-    row; job ids on several rows and jobs whose input stages share a name take the
-    join form, as ``method="join"`` does for all.  A count over job ids, run
-    when the report is built, finds them; ``unique_jobs=True`` skips it where
-    the export is known to have one row per job and distinct stage names.
+    ``method="row"`` parses the plans inside their rows, in one scan, and matches
+    predicates, columns and tables inside each job, whatever its rows;
+    ``method="join"`` explodes and joins, as the reference does.  ``unique_jobs=True``
+    saves the shuffle that brings a job's rows together, where the export is known
+    to have one row per job and distinct stage names.
     """
     levels, distinct = _predicate_levels(_plan_jobs(jobs, s), s, method, unique_jobs, readers=False)
     return PS.predicate_ratio(levels, distinct=distinct)
@@ -488,7 +487,12 @@ def most_used_predicates_all_reads(
 def predicate_listing(
     jobs: DataFrame, s: S.PredicateSettings = S.PredicateSettings(), method: str = "row", unique_jobs: bool = False
 ) -> DataFrame:
-    """Every (predicate, column, table) occurrence, un-aggregated (see P11 for ``unique_jobs``)."""
+    """Every (predicate, column, table) occurrence, un-aggregated.
+
+    Job ids on several rows and jobs whose input stages share a name take the join
+    form; a count over job ids, run when the report is built, finds them.
+    ``unique_jobs=True`` skips it (see P11).
+    """
     j = _plan_jobs(jobs, s, open_ended=True)
 
     def joined(rows: DataFrame) -> DataFrame:

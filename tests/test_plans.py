@@ -51,6 +51,21 @@ def test_in_row_mining_has_no_join(stored_jobs):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_plan_mining_reads_the_history_once(stored_jobs):
+    """P11 and P12 over repeated rows: one scan, no job when the report is built, one shuffle by job id."""
+    from slotwise.sources.fixture import with_repeated_rows
+
+    jobs = with_repeated_rows(stored_jobs)
+    tracker = jobs.sparkSession.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    reports = [fn(jobs, SETTINGS["predicates"]) for fn in (P.most_used_predicates, P.most_used_predicates_all_reads)]
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    for df in reports:
+        plan = plan_of(df)
+        assert plan.count("Scan parquet") == 1 and "Join" not in plan
+        assert len(re.findall(r"hashpartitioning\(job_id", plan)) == 1
+
+
 def test_repeat_reports_never_sort_texts(stored_jobs):
     for fn in (P.most_used_queries, P.most_used_queries_concise, P.most_used_queries_spilled):
         plan = plan_of(fn(stored_jobs))
