@@ -190,7 +190,7 @@ class Encoder(dict):
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.size_of = np.zeros(max(self.tokens) + 1, np.int64)
         self.size_of[list(self.tokens)] = [len(token) for token in self.tokens.values()]
-        self.forest = PairForest(self.ranks)
+        self.forest: PairForest | None = None  # made by the first match that needs it; decoding does not
         self.forget()
 
     def forget(self) -> None:
@@ -220,6 +220,8 @@ class Encoder(dict):
             elif rank is None:
                 ids = self.match_ids(pieces[i])
                 self._keep([matches[i]], ids, [len(ids)])
+        if sizes and self.forest is None:
+            self.forest = PairForest(self.ranks)
         for found in sizes.values():
             for lo in range(0, len(found), FOREST_ROWS):
                 part = found[lo : lo + FOREST_ROWS]
