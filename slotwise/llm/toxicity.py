@@ -3,13 +3,17 @@
 Terms are a text's lower-cased words and the beginnings of 3 to 7 bytes of its longer
 words, each hashed to one of ``SLOTS`` slots.  From a bounded sample of labelled
 rows (``TRAIN_ROWS``, by hash order of the id), the ``FEATURES`` slots that tell the
-labels apart best are kept.  The machine is
+labels apart best are kept, and of the ``PAIR_SLOTS`` slots in most sample texts those
+whose pairs tell the labels apart in a way that no two linear weights do (at most
+``PAIR_FEATURES`` more).  So a term that says nothing by itself is kept for its
+pairs, such as an insult that needs a group's mention.  The machine is
 
     score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
 
 with x_i growing with the logarithm of a slot's count in the text.  The pair terms
 weigh terms that say little alone and much together.  It is fitted on the driver
 on that sample only, with a fixed seed and full-batch steps, so a fit is repeatable.
+The labels weigh by their shares among all labelled rows, not by those in the sample.
 
 Scoring is one pass over whole texts without a shuffle.  The labels, the sample
 and the model are bounded by the parameters, whatever the tables hold.
@@ -41,6 +45,11 @@ BETWEEN = byte_table((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Rows of each label at most in the training sample.
 TRAIN_ROWS = 10_000
 FEATURES = 256
+#: Slots whose pairs are looked at, and slots kept for their pairs.
+PAIR_SLOTS = 2048
+PAIR_FEATURES = 32
+#: Rows of the pair matrix at a time.
+PAIR_BLOCK = 256
 FACTORS = 6
 STEPS = 150
 RATE = 0.05
@@ -101,17 +110,62 @@ def gain(clean: Column, toxic: Column, sizes: tuple[int, int]) -> Column:
     return parts[0] + parts[1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7, steps: int = STEPS) -> Machine:
-    """Full-batch Adam on the logistic loss, both labels weighing alike up to a factor of ten."""
+def _interaction(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Squared log-odds interaction over its variance, for the (clean, toxic) texts with both terms, either one, and none."""
+    both, left, right, none = (np.log((toxic + 0.5) / (clean + 0.5)) for clean, toxic in cells)
+    spread = sum(1 / (clean + 0.5) + 1 / (toxic + 0.5) for clean, toxic in cells)
+    return (both - left - right + none) ** 2 / spread
+
+
+def pair_slots(present: np.ndarray, labels: np.ndarray, count: int = PAIR_FEATURES) -> np.ndarray:
+    """Columns whose pairs tell the labels apart in a way that no weights of the two columns do, best first, at most ``count``.
+
+    ``present`` is a text-by-column matrix of zeros and ones.  A pair counts if the interaction of its columns in
+    the log-odds of label 1 exceeds what chance gives the best of all pairs.
+    """
+    sizes = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
+    width = present.shape[1]
+    if width < 2 or not sizes.all():
+        return np.zeros(0, np.int64)
+    parts = [present[labels == k].astype(np.float32) for k in (0, 1)]
+    alone = [p.sum(axis=0, dtype=np.float64) for p in parts]
+    # Chance gives the best of n pairs about 2 log n, on a scale of squared deviations.
+    least = 2 * np.log(width * (width - 1) / 2.0) + 10.0
+    found = []
+    for at in range(0, width, PAIR_BLOCK):
+        here = slice(at, min(at + PAIR_BLOCK, width))
+        both = [(p[:, here].T @ p).astype(np.float64) for p in parts]
+        cells = [tuple(both)]
+        cells.append(tuple(a[here, None] - b for a, b in zip(alone, both)))
+        cells.append(tuple(a[None, :] - b for a, b in zip(alone, both)))
+        cells.append(tuple(n - a[here, None] - a[None, :] + b for n, a, b in zip(sizes, alone, both)))
+        strength = _interaction(cells)
+        left, right = np.nonzero(np.triu(strength, at + 1) > least)
+        best = np.argsort(-strength[left, right], kind="stable")[: count * count]
+        found.append((strength[left[best], right[best]], left[best] + at, right[best]))
+    gains, left, right = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(-gains, kind="stable")
+    both = np.stack([left[order], right[order]], axis=1).ravel()
+    first = np.sort(np.unique(both, return_index=True)[1])
+    return both[first[:count]]
+
+
+def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7, steps: int = STEPS, odds: float | None = None) -> Machine:
+    """Full-batch Adam on the logistic loss, both labels weighing alike up to a factor of ten.
+
+    ``odds`` are those of label 1 among all labelled rows, where the sample given here has others.
+    """
     rng = np.random.default_rng(seed)
     n, d = x.shape
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
-        odds = 35.0 if share else -35.0
-        return Machine(table, odds, np.zeros(d, np.float32), np.zeros((d, FACTORS), np.float32))
-    weight = np.where(y == 1, min(10.0, (1 - share) / share), 1.0).astype(np.float32)
+        sure = 35.0 if share else -35.0
+        return Machine(table, sure, np.zeros(d, np.float32), np.zeros((d, FACTORS), np.float32))
+    own = share / (1 - share)
+    odds = own if odds is None else odds
+    weight = np.where(y == 1, min(10.0 * odds, 1.0) / own, 1.0).astype(np.float32)
     weight /= weight.sum()
-    params = [np.float32(np.log(share / (1 - share))), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32)]
+    params = [np.float32(np.log(odds)), np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32)]
     first, second = [0 * p for p in params], [0 * p for p in params]
     square = x**2
     for step in range(1, steps + 1):
@@ -138,7 +192,7 @@ def _matrix(train: DataFrame, table: np.ndarray, count: int) -> tuple[np.ndarray
                 own = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in ("place", "label")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in found], pa.binary())], ["place", "label", "x"])
 
-    rows = train.mapInArrow(run, schema).collect()  # at most 2 * TRAIN_ROWS rows of FEATURES numbers
+    rows = train.mapInArrow(run, schema).collect()  # at most 2 * TRAIN_ROWS rows of FEATURES + PAIR_SLOTS small numbers
     rows.sort(key=lambda r: (r["place"], r["x"]))
     x = np.array([np.frombuffer(r["x"] or bytearray(), np.float16) for r in rows], np.float32).reshape(len(rows), count)
     return x, np.array([r["label"] for r in rows], np.float32)
@@ -151,6 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     known = known.filter(use & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.withColumn("place", F.xxhash64("doc_id"))
     parts = [known.filter(F.col("label") == k).orderBy("place", "doc_id").limit(rows) for k in (0, 1)]
+    shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+    odds = shares[1] / shares[0] if len(shares) == 2 else None
     sample = F.broadcast(stage_table(parts[0].unionByName(parts[1]), "toxic-sample"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # One row of a repeated id, that with the smallest text hash, so the sample stays bounded.
@@ -173,9 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     total = counted.filter("slot = -1").select("clean", "toxic").first() or (0, 0)
     ranked = counted.filter("slot >= 0 and clean + toxic >= 3").orderBy(gain(F.col("clean"), F.col("toxic"), tuple(total)).desc(), "slot")
     best = sorted(r["slot"] for r in ranked.limit(FEATURES).collect())
+    seen = F.col("clean") + F.col("toxic")
+    often = ranked.orderBy(F.least(seen, F.lit(sum(total)) - seen).desc(), "slot").limit(PAIR_SLOTS)
+    paired = sorted({r["slot"] for r in often.collect()} - set(best))
+    slots = np.array(best + paired, np.int64)
     table = np.full(SLOTS, -1, np.int16)
-    table[best] = np.arange(len(best))
-    return fit(*_matrix(chosen, table, len(best)), table)
+    table[slots] = np.arange(len(slots))
+    x, y = _matrix(chosen, table, len(slots))
+    alone = np.arange(len(slots)) < len(best)
+    alone[pair_slots(x > 0, y)] = True
+    table = np.full(SLOTS, -1, np.int16)
+    table[slots[alone]] = np.arange(int(alone.sum()))
+    return fit(x[:, alone], y, table, odds=odds)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
