@@ -48,7 +48,7 @@ FEATURES = 256
 #: Slots whose pairs are looked at, and slots kept for their pairs.
 PAIR_SLOTS = 2048
 PAIR_FEATURES = 32
-#: Rows of the pair matrix at a time.
+#: Texts, and rows of the pair matrix, at a time.
 PAIR_BLOCK = 256
 FACTORS = 6
 STEPS = 150
@@ -117,24 +117,28 @@ def _interaction(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return (both - left - right + none) ** 2 / spread
 
 
-def pair_slots(present: np.ndarray, labels: np.ndarray, count: int = PAIR_FEATURES) -> np.ndarray:
+def pair_slots(packed: np.ndarray, width: int, labels: np.ndarray, count: int = PAIR_FEATURES) -> np.ndarray:
     """Columns whose pairs tell the labels apart in a way that no weights of the two columns do, best first, at most ``count``.
 
-    ``present`` is a text-by-column matrix of zeros and ones.  A pair counts if the interaction of its columns in
+    ``packed`` has a text's ``width`` columns as bits; they are unpacked ``PAIR_BLOCK`` texts at a time.  A pair counts if the interaction of its columns in
     the log-odds of label 1 exceeds what chance gives the best of all pairs.
     """
     sizes = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
-    width = present.shape[1]
     if width < 2 or not sizes.all():
         return np.zeros(0, np.int64)
-    parts = [present[labels == k].astype(np.float32) for k in (0, 1)]
-    alone = [p.sum(axis=0, dtype=np.float64) for p in parts]
+    pairs = np.zeros((2, width, width), np.float32)  # counts of sample texts, exact as such
+    for k in (0, 1):
+        own = np.flatnonzero(labels == k)
+        for at in range(0, len(own), PAIR_BLOCK):
+            part = np.unpackbits(packed[own[at : at + PAIR_BLOCK]], axis=1, count=width).astype(np.float32)
+            pairs[k] += part.T @ part
+    alone = [p.diagonal().astype(np.float64) for p in pairs]
     # Chance gives the best of n pairs about 2 log n, on a scale of squared deviations.
     least = 2 * np.log(width * (width - 1) / 2.0) + 10.0
     found = []
     for at in range(0, width, PAIR_BLOCK):
         here = slice(at, min(at + PAIR_BLOCK, width))
-        both = [(p[:, here].T @ p).astype(np.float64) for p in parts]
+        both = [p[here].astype(np.float64) for p in pairs]
         cells = [tuple(both)]
         cells.append(tuple(a[here, None] - b for a, b in zip(alone, both)))
         cells.append(tuple(a[None, :] - b for a, b in zip(alone, both)))
@@ -181,21 +185,31 @@ def fit(x: np.ndarray, y: np.ndarray, table: np.ndarray, seed: int = 7, steps: i
     return Machine(table, float(params[0]), params[1], params[2])
 
 
-def _matrix(train: DataFrame, table: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature values and labels of the training sample, in the order of the row hash."""
+def _matrix(train: DataFrame, table: np.ndarray, count: int, bits: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Feature values of the training sample (their presence as packed bits) and its labels, in the order of the row hash."""
     schema = "place long, label int, x binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in chunks(batch):
-                found = features(data, offs, table, count).astype(np.float16)
+                found = features(data, offs, table, count)
+                found = np.packbits(found > 0, axis=1) if bits else found.astype(np.float16)
                 own = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in ("place", "label")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in found], pa.binary())], ["place", "label", "x"])
 
-    rows = train.mapInArrow(run, schema).collect()  # at most 2 * TRAIN_ROWS rows of FEATURES + PAIR_SLOTS small numbers
+    # At most 2 * TRAIN_ROWS rows, each of FEATURES + PAIR_FEATURES small numbers or FEATURES + PAIR_SLOTS bits.
+    rows = train.mapInArrow(run, schema).collect()
     rows.sort(key=lambda r: (r["place"], r["x"]))
-    x = np.array([np.frombuffer(r["x"] or bytearray(), np.float16) for r in rows], np.float32).reshape(len(rows), count)
-    return x, np.array([r["label"] for r in rows], np.float32)
+    kind, width = (np.uint8, -(-count // 8)) if bits else (np.float16, count)
+    x = np.frombuffer(b"".join(bytes(r["x"] or b"") for r in rows), kind).reshape(len(rows), width)
+    return x if bits else x.astype(np.float32), np.array([r["label"] for r in rows], np.float32)
+
+
+def _numbered(slots: np.ndarray) -> np.ndarray:
+    """Table from each slot to its place in ``slots``, or -1."""
+    table = np.full(SLOTS, -1, np.int16)
+    table[slots] = np.arange(len(slots))
+    return table
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Machine:
@@ -233,14 +247,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     often = ranked.orderBy(F.least(seen, F.lit(sum(total)) - seen).desc(), "slot").limit(PAIR_SLOTS)
     paired = sorted({r["slot"] for r in often.collect()} - set(best))
     slots = np.array(best + paired, np.int64)
-    table = np.full(SLOTS, -1, np.int16)
-    table[slots] = np.arange(len(slots))
-    x, y = _matrix(chosen, table, len(slots))
+    packed, labels_seen = _matrix(chosen, _numbered(slots), len(slots), bits=True)
     alone = np.arange(len(slots)) < len(best)
-    alone[pair_slots(x > 0, y)] = True
-    table = np.full(SLOTS, -1, np.int16)
-    table[slots[alone]] = np.arange(int(alone.sum()))
-    return fit(x[:, alone], y, table, odds=odds)
+    alone[pair_slots(packed, len(slots), labels_seen)] = True
+    table = _numbered(slots[alone])
+    return fit(*_matrix(chosen, table, int(alone.sum())), table, odds=odds)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,10 +46,11 @@ def test_pairs_are_learned_through_train(spark):
 def test_pair_slots_pass_over_noise_and_additive_terms():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (2000, 300))
+    packed = np.packbits(x > 0, axis=1)
     either = (x[:, 7] != x[:, 290]).astype(np.float32)
-    assert set(tx.pair_slots(x > 0, either)) == {7, 290}
+    assert set(tx.pair_slots(packed, 300, either)) == {7, 290}
     added = (rng.random(2000) < 1 / (1 + np.exp(2 - 2 * x[:, 3] - 2 * x[:, 4]))).astype(np.float32)
-    assert len(tx.pair_slots(x > 0, added)) == 0
+    assert len(tx.pair_slots(packed, 300, added)) == 0
 
 
 def test_labels_weigh_by_their_shares_in_the_whole_table():
