@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise import settings as S
+from slotwise.operators.grid import usage_by_minute
 from slotwise.plans import reports as P
 from slotwise.schemas import JOB_SCALAR_COLUMNS
 from slotwise.session import ensure_checkpoint_dir
 from slotwise.sources import jobs as src
-from slotwise.sources.fixture import AS_OF, Fixture, load_fixture, with_repeated_rows
+from slotwise.sources.fixture import AS_OF, Fixture, load_fixture, with_long_jobs, with_repeated_rows
 
 # Fixed parameters of the registered queries (relative to the fixture's AS_OF).
 WHOLE_HISTORY = timedelta(days=61)
@@ -83,6 +84,12 @@ def _slot_utilization(spark: SparkSession, fx: Fixture) -> DataFrame:
     return P.slot_utilization(fx.jobs, cat.assignments, cat.reservations, cat.tables, SETTINGS["slot_utilization"])
 
 
+def _minute_usage_overlap(spark: SparkSession, fx: Fixture) -> DataFrame:
+    """P7 by state, each job in all its minutes; some jobs last for weeks."""
+    s = SETTINGS["minute_usage"]
+    return usage_by_minute(spark, with_long_jobs(fx.jobs), AS_OF, s.minutes, s.creation_lookback, ("state",), "overlap")
+
+
 # Reports over an already loaded fixture (jobs + catalog).
 REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "spill_or_bytes_offenders": lambda spark, fx: P.spill_or_bytes_offenders(
@@ -106,6 +113,7 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "minute_usage_by_reservation": lambda spark, fx: P.minute_usage_by_reservation(
         spark, fx.jobs, SETTINGS["minute_usage"]
     ),
+    "minute_usage_overlap": _minute_usage_overlap,
     "slot_bucket_indicator": lambda spark, fx: P.slot_bucket_indicator(fx.jobs, SETTINGS["slot_bucket_indicator"]),
     "monthly_slot_total": lambda spark, fx: P.monthly_slot_total(fx.jobs, SETTINGS["monthly_slot_total"]),
     "most_used_predicates": lambda spark, fx: P.most_used_predicates(fx.jobs, SETTINGS["predicates"]),

@@ -39,6 +39,7 @@ PENDING_MOD, PENDING_REST = 37, 5
 CANCELLED_MOD, CANCELLED_REST = 37, 6
 NO_USER_MOD, NO_USER_REST = 41, 3
 TWICE_MOD, TWICE_REST = 97, 11
+LONG_MOD, LONG_REST = 23, 9
 # ------------------------------------------------------------------------------
 
 
@@ -248,6 +249,13 @@ def with_repeated_rows(jobs: DataFrame) -> DataFrame:
     ).drop("_times")
 
 
+def with_long_jobs(jobs: DataFrame) -> DataFrame:
+    """The jobs, some of them lasting up to 30 days longer."""
+    key = F.substring_index("job_id", "_", -1).cast("long")
+    later = F.timestamp_micros(F.unix_micros("end_time") + key * 7919 % (30 * 24 * 60) * 60_000_000)
+    return jobs.withColumn("end_time", F.when(key % LONG_MOD == LONG_REST, later).otherwise(F.col("end_time")))
+
+
 def derive_table_storage(nation: DataFrame) -> DataFrame:
     """Sizes of the tables that the plans read, one per nation (some without plans)."""
     n = F.col("n_nationkey").cast("long")
