@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise import settings as S
+from slotwise.operators.daily import creation_day, days_between
 from slotwise.operators.grid import usage_by_minute
 from slotwise.plans import reports as P
 from slotwise.schemas import JOB_SCALAR_COLUMNS
@@ -76,6 +77,7 @@ REPEATED = {
     "slot_bucket_indicator",
     "bucket_series",
     "bucket_series_window_lag",
+    "bucket_series_from_days",
 }
 
 
@@ -90,6 +92,18 @@ def _minute_usage_overlap(spark: SparkSession, fx: Fixture) -> DataFrame:
     return usage_by_minute(spark, with_long_jobs(fx.jobs), AS_OF, s.minutes, s.creation_lookback, ("state",), "overlap")
 
 
+def _bucket_series_from_days(spark: SparkSession, fx: Fixture) -> DataFrame:
+    """P15 from stored days; one day was first written without some of its jobs, and is then replaced."""
+    s = SETTINGS["bucket_series"]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/slotwise-days-{uuid.uuid4().hex[:12]}"
+    days = days_between((AS_OF - WHOLE_HISTORY).date(), (AS_OF - timedelta(days=1)).date())
+    late = days[len(days) // 2]
+    on_time = ~((creation_day() == F.lit(late)) & (F.crc32("job_id") % 2 == 0))
+    P.write_bucket_days(fx.jobs.filter(on_time), path, days, s)
+    P.write_bucket_days(fx.jobs, path, [late], s)
+    return P.bucket_series_from_days(spark, path, s)
+
+
 # Reports over an already loaded fixture (jobs + catalog).
 REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "spill_or_bytes_offenders": lambda spark, fx: P.spill_or_bytes_offenders(
@@ -147,6 +161,7 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
     "bucket_series_window_lag": lambda spark, fx: P.bucket_series(
         spark, fx.jobs, SETTINGS["bucket_series"], method="window"
     ),
+    "bucket_series_from_days": _bucket_series_from_days,
     "most_used_predicates_join": lambda spark, fx: P.most_used_predicates(
         fx.jobs, SETTINGS["predicates"], method="join"
     ),
@@ -158,6 +173,7 @@ REPORTS: dict[str, Callable[[SparkSession, Fixture], DataFrame]] = {
 SAME_ORACLE = {
     "slot_utilization_window_lag": "slot_utilization",
     "bucket_series_window_lag": "bucket_series",
+    "bucket_series_from_days": "bucket_series",
     "most_used_predicates_join": "most_used_predicates",
     "predicate_listing_join": "predicate_listing",
     "most_used_queries_row_number": "most_used_queries",

@@ -10,6 +10,9 @@ with no shuffle; ``method="window"`` is the reference's window formulation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date, datetime, time, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from slotwise.functions.buckets import bucket_label, range_bucket, sign_floor_bu
 from slotwise.functions.time import ms_between, ts_lit
 from slotwise.operators import buckets as B
 from slotwise.operators import capacity as C
+from slotwise.operators import daily as D
 from slotwise.operators import grid as G
 from slotwise.operators import plan_steps as PS
 from slotwise.operators import quality as Q
@@ -553,18 +557,14 @@ def most_used_queries_spilled(jobs: DataFrame, method: str = "aggregate") -> Dat
 
 
 # --------------------------------------------------------------------- P15
-def bucket_series(
-    spark: SparkSession, jobs: DataFrame, s: S.BucketSeriesSettings = S.BucketSeriesSettings(), method: str = "array"
-) -> DataFrame:
-    """Gap-free series of per-bucket usage averages."""
-    start, end = s.window.bounds()
-    j = TL.select_jobs(jobs, start, end, s.check_state)
-    prof = TL.timeline_profile(j, first="zero", method=method)
+def _series_samples(jobs: DataFrame, s: S.BucketSeriesSettings, method: str) -> DataFrame:
+    prof = TL.timeline_profile(jobs, first="zero", method=method)
     prof = TL.with_ctime(TL.with_prev_etime(prof, default="start", wait="null"))
-    prof = B.with_bucket(prof, s.bucket_time)
-    stat = B.bucket_averages(prof, ["ctime_bucket"])
-    series = B.bucket_series(spark, start, end, s.bucket_time)
-    out = B.gap_fill(series, stat)
+    return B.with_bucket(prof, s.bucket_time)
+
+
+def _filled_series(spark: SparkSession, stat: DataFrame, s: S.BucketSeriesSettings) -> DataFrame:
+    out = B.gap_fill(B.bucket_series(spark, *s.window.bounds(), s.bucket_time), stat)
     return out.select(
         "ctime_bucket",
         "job_count_per_timebucket",
@@ -572,6 +572,46 @@ def bucket_series(
     ).orderBy(F.asc_nulls_first("ctime_bucket"))
 
 
+def bucket_series(
+    spark: SparkSession, jobs: DataFrame, s: S.BucketSeriesSettings = S.BucketSeriesSettings(), method: str = "array"
+) -> DataFrame:
+    """Gap-free series of per-bucket usage averages."""
+    start, end = s.window.bounds()
+    j = TL.select_jobs(jobs, start, end, s.check_state)
+    return _filled_series(spark, B.bucket_averages(_series_samples(j, s, method), ["ctime_bucket"]), s)
+
+
+def write_bucket_days(
+    jobs: DataFrame, path: str, days: Sequence[date], s: S.BucketSeriesSettings = S.BucketSeriesSettings(), method: str = "array"
+) -> None:
+    """Write P15's states of the jobs created on ``days``, in place of what is there for those days.
+
+    Only those days' jobs are read.  Writing a day again, for instance when some of its jobs came
+    late, replaces its state (see ``operators/daily.py``).
+    """
+    days = sorted(set(days))
+    if not days:
+        return
+    first = datetime.combine(days[0], time(), timezone.utc)
+    last = datetime.combine(days[-1], time(), timezone.utc) + timedelta(days=1, microseconds=-1)
+    j = TL.select_jobs(jobs, first, last, s.check_state).filter(D.creation_day().isin(days))
+    D.write_days(D.bucket_states(_series_samples(j, s, method)), path, days)
+
+
+def bucket_series_from_days(spark: SparkSession, path: str, s: S.BucketSeriesSettings = S.BucketSeriesSettings()) -> DataFrame:
+    """P15 from the states that :func:`write_bucket_days` wrote, without reading the history.
+
+    States are kept by whole days, so the jobs are those created from the window's first day up to its end, which
+    both have to be midnights (UTC); a day of the window that was never written is an error.
+    """
+    start, end = s.window.bounds()
+    midnight = time()
+    if start.time() != midnight or end.time() != midnight:
+        raise ValueError(f"the window must begin and end at midnight, got {start} to {end}")
+    states = D.read_days(spark, path, start.date(), end.date() - timedelta(days=1))
+    return _filled_series(spark, D.merged_averages(states), s)
+
+
 # --------------------------------------------------------------------- P16-P18
 def duplicate_job_ids(jobs: DataFrame) -> DataFrame:
     """``job_id`` values on more than one row."""
@@ -609,6 +649,8 @@ __all__ = [
     "most_used_queries_spilled",
     "predicate_listing",
     "bucket_series",
+    "bucket_series_from_days",
+    "write_bucket_days",
     "duplicate_job_ids",
     "missing_slot_jobs",
     "job_timeline",
