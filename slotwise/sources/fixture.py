@@ -6,8 +6,8 @@ into one timeline sample and one plan stage (rules in ``FIXTURES.md`` §2).  The
 DuckDB oracle derives the same rows flat and independently; this module builds
 the nested rows the library reads in production.
 
-The derivation groups line items by order: one shuffle keyed by order, and each
-group is one order's line items (TPC-H bounds that at seven).  Real deployments
+The derivation groups line items by order: one shuffle of narrow rows keyed by order, and
+each group is one order's line items (TPC-H bounds that at seven).  Real deployments
 read the job-history export with :func:`slotwise.sources.jobs.read_jobs`.
 """
 
@@ -66,89 +66,93 @@ def _div100(x: Column) -> Column:
     return ((x - x % 100) / 100).cast("long")
 
 
-def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Nested job rows (schema :data:`slotwise.schemas.JOBS`)."""
-    k = F.col("l_orderkey")
-    p, u = F.col("l_partkey"), F.col("l_suppkey")
-    n = F.col("l_linenumber").cast("long")
-    q = F.col("l_quantity").cast("long")
-    ext = _cents(F.col("l_extendedprice"))
-    # Line order within an order: (l_linenumber, l_partkey, l_suppkey), ties broken
-    # by quantity, price in cents and return flag so the order is total even where
-    # the three-column key repeats (it does once at sf0.001).
-    line_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", q, ext, "l_returnflag"
+def _sample(x: Column) -> Column:
+    """The timeline sample of one line."""
+    return F.struct(
+        x["elapsed_ms"].alias("elapsed_ms"),
+        x["total_slot_ms"].alias("total_slot_ms"),
+        (x["u"] % 50).alias("pending_units"),
+        (x["rn"] * 10).alias("completed_units"),
+        (x["n"] * 3).alias("active_units"),
     )
-    running = line_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dur_mult = F.when(k % 10 == 0, F.lit(20)).otherwise(F.lit(1)).cast("long")
-    slot_mult = F.when(k % 10 == 3, F.lit(100)).otherwise(F.lit(1)).cast("long")
-    dur = (q * 97 + p % 500 + 1) * dur_mult
-    slots = (p % 40 + 1) * slot_mult
 
-    unstarted = ((k % PENDING_MOD) == PENDING_REST) | ((k % CANCELLED_MOD) == CANCELLED_REST)
-    lines = lineitem.filter(~unstarted).select(
-        k.alias("k"),
-        p.alias("p"),
-        u.alias("u"),
-        n.alias("n"),
-        ext.alias("ext_cents"),
-        F.col("l_returnflag").alias("rf"),
-        F.row_number().over(line_order).cast("long").alias("rn"),
-        F.sum(dur).over(running).alias("elapsed_ms"),
-        F.sum(dur * slots).over(running).alias("total_slot_ms"),
-    )
-    rn = F.col("rn")
+
+def _stage(x: Column) -> Column:
+    """The plan stage of one line."""
+    rn = x["rn"]
     columns = F.concat(
         F.lit("$1:c"),
-        (F.col("u") % 6).cast("string"),
+        (x["u"] % 6).cast("string"),
         F.when(rn % 5 == 0, F.lit(", ")).otherwise(F.lit(",")),
         F.lit("$2:d"),
-        (F.col("p") % 4).cast("string"),
+        (x["p"] % 4).cast("string"),
     )
-    from_ = F.concat(F.lit("FROM proj.ds.t"), (F.col("p") % 20).cast("string"))
-    where = F.when(F.col("n") % 2 == 0, F.lit("WHERE and(greater($1, 10), equal($2, 3))")).otherwise(
+    from_ = F.concat(F.lit("FROM proj.ds.t"), (x["p"] % 20).cast("string"))
+    where = F.when(x["n"] % 2 == 0, F.lit("WHERE and(greater($1, 10), equal($2, 3))")).otherwise(
         F.lit("WHERE greater($1, 10)")
     )
-    read_substeps = F.when(F.col("n") == 7, F.array(columns, from_)).otherwise(F.array(columns, from_, where))
+    read_substeps = F.when(x["n"] == 7, F.array(columns, from_)).otherwise(F.array(columns, from_, where))
     steps = F.array(
         F.struct(F.lit("READ").alias("kind"), read_substeps.alias("substeps")),
         F.struct(F.lit("WRITE").alias("kind"), F.array(F.lit("TO __stage_output")).alias("substeps")),
     )
-    sample = F.struct(
-        F.col("elapsed_ms"),
-        F.col("total_slot_ms"),
-        (F.col("u") % 50).alias("pending_units"),
-        (rn * 10).alias("completed_units"),
-        (F.col("n") * 3).alias("active_units"),
-    )
-    stage = F.struct(
+    return F.struct(
         F.concat(
             F.lit("S"),
             (rn - 1).cast("string"),
             F.when(rn % 3 == 0, F.lit(": Output")).otherwise(F.lit(": Input")),
         ).alias("name"),
         rn.alias("id"),
-        F.col("ext_cents").alias("shuffle_output_bytes"),
-        F.when(F.col("rf") == "R", F.col("ext_cents") * 10).otherwise(F.lit(0).cast("long")).alias(
+        x["ext_cents"].alias("shuffle_output_bytes"),
+        F.when(x["rf"] == "R", x["ext_cents"] * 10).otherwise(F.lit(0).cast("long")).alias(
             "shuffle_output_bytes_spilled"
         ),
-        F.col("p").alias("records_read"),
-        F.col("u").alias("records_written"),
-        F.col("n").alias("parallel_inputs"),
+        x["p"].alias("records_read"),
+        x["u"].alias("records_written"),
+        x["n"].alias("parallel_inputs"),
         steps.alias("steps"),
     )
-    # Same partitioning as the window (by order): no second shuffle.  Each
-    # group is one order's line items.
-    per_order = (
-        lines.select("k", F.struct(rn.alias("rn"), sample.alias("sample"), stage.alias("stage")).alias("line"))
-        .groupBy("k")
-        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
-        .select(
-            "k",
-            F.transform("lines", lambda x: x["sample"]).cast(T.ArrayType(schemas.TIMELINE_SAMPLE)).alias("timeline"),
-            F.transform("lines", lambda x: x["stage"]).cast(T.ArrayType(schemas.PLAN_STAGE)).alias("job_stages"),
-        )
+
+
+def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Nested job rows (schema :data:`slotwise.schemas.JOBS`)."""
+    # The line items are dealt out by order once, in seven narrow columns: window, grouping
+    # and join below keep that partitioning, and the nested samples and stages are built after
+    # the join, so no shuffle or sort holds them.
+    key = F.col("l_orderkey")
+    unstarted = ((key % PENDING_MOD) == PENDING_REST) | ((key % CANCELLED_MOD) == CANCELLED_REST)
+    narrow = lineitem.filter(~unstarted).select(
+        key.alias("k"),
+        F.col("l_partkey").alias("p"),
+        F.col("l_suppkey").alias("u"),
+        F.col("l_linenumber").alias("n"),
+        F.col("l_quantity").cast("long").alias("q"),
+        _cents(F.col("l_extendedprice")).alias("ext_cents"),
+        F.col("l_returnflag").alias("rf"),
     )
+    k, p, q = F.col("k"), F.col("p"), F.col("q")
+    # Line order within an order: (l_linenumber, l_partkey, l_suppkey), ties broken
+    # by quantity, price in cents and return flag so the order is total even where
+    # the three-column key repeats (it does once at sf0.001).
+    line_order = Window.partitionBy("k").orderBy("n", "p", "u", "q", "ext_cents", "rf")
+    running = line_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dur_mult = F.when(k % 10 == 0, F.lit(20)).otherwise(F.lit(1)).cast("long")
+    slot_mult = F.when(k % 10 == 3, F.lit(100)).otherwise(F.lit(1)).cast("long")
+    dur = (q * 97 + p % 500 + 1) * dur_mult
+    slots = (p % 40 + 1) * slot_mult
+    lines = narrow.repartition("k").select(
+        "k",
+        "p",
+        "u",
+        F.col("n").cast("long").alias("n"),
+        "ext_cents",
+        "rf",
+        F.row_number().over(line_order).cast("long").alias("rn"),
+        F.sum(dur).over(running).alias("elapsed_ms"),
+        F.sum(dur * slots).over(running).alias("total_slot_ms"),
+    )
+    line = F.struct("rn", "p", "u", "n", "ext_cents", "rf", "elapsed_ms", "total_slot_ms")
+    per_order = lines.groupBy("k").agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
     o = orders.select(
         F.col("o_orderkey").alias("k"),
@@ -157,7 +161,12 @@ def derive_jobs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.col("o_totalprice"),
         F.col("o_orderpriority"),
     )
-    j = o.join(per_order, "k", "left")
+    j = o.join(per_order, "k", "left").withColumns(
+        {
+            "timeline": F.transform("lines", _sample).cast(T.ArrayType(schemas.TIMELINE_SAMPLE)),
+            "job_stages": F.transform("lines", _stage).cast(T.ArrayType(schemas.PLAN_STAGE)),
+        }
+    )
 
     k, c = F.col("k"), F.col("c")
     is_query = (k % 20 != 0) & (k % 20 != 1)

@@ -109,3 +109,27 @@ def test_date_partitions_are_pruned(spark, fixture_jobs, tmp_path_factory):
     same_b = P.slot_utilization_stats(flat, u).collect()
     cols = P.slot_utilization_stats(flat, u).columns
     assert normalized_rows(cols, same_a) == normalized_rows(cols, same_b)
+
+
+def test_derived_jobs_shuffle_narrow_line_items_once(spark):
+    """Line items go by order once, before the nested samples and stages are built."""
+    from slotwise.sources.fixture import derive_jobs
+
+    orders = spark.createDataFrame(
+        [(1, 10, "P", 5.5, "2-HIGH"), (2, 11, "F", 7.25, "5-LOW"), (2, 11, "F", 7.25, "5-LOW"), (3, 12, "O", 1.0, "1-URGENT"), (None, 1, "F", 1.0, "5-LOW")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    )
+    lines = [(1, 5, 6, 2, 3.0, 10.25, "R"), (1, 5, 6, 1, 2.0, 1.5, "N"), (2, 7, 8, 3, 1.0, 2.0, "A"), (None, 1, 1, 1, 1.0, 1.0, "N"), (1, None, 6, 3, 1.0, None, None)]
+    items = spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    )
+    jobs = derive_jobs(orders, items)
+    shuffles = re.findall(r"Exchange hashpartitioning\((\w+)#", plan_of(jobs.select("timeline", "job_stages")))
+    assert shuffles == ["k", "k"]  # orders and line items
+    found = {r["job_id"]: r for r in jobs.collect()}
+    assert jobs.count() == 5 and found["job_3"]["timeline"] is None and found[None]["job_stages"] is None
+    one = found["job_1"]
+    assert [tuple(x) for x in one["timeline"]] == [(200, 1200, 6, 10, 3), (497, 2982, 6, 20, 6), (497, 2982, 6, 30, 9)]
+    assert [(s["name"], s["id"], s["shuffle_output_bytes_spilled"]) for s in one["job_stages"]] == [("S0: Input", 1, 0), ("S1: Input", 2, 10250), ("S2: Output", 3, 0)]
+    assert one["job_stages"][1]["steps"][0]["substeps"] == ["$1:c0,$2:d1", "FROM proj.ds.t5", "WHERE and(greater($1, 10), equal($2, 3))"]
+    assert one["job_stages"][2]["steps"][0]["substeps"] == [None, None, "WHERE greater($1, 10)"]
