@@ -13,8 +13,9 @@ of fewer words is one window.
    compared at full length, by the hashes of its first and of its last k words,
    which cover it.
 
-The benchmark's side of a join is broadcast only while it has at most
-``BROADCAST_ROWS`` rows; beyond, both sides are shuffled by hash.
+The benchmark's side of a join, and the keys of the documents with a hit, are
+broadcast only while they have at most ``BROADCAST_ROWS`` rows; beyond, both sides are
+shuffled by hash.
 
 Edge cases: a null or empty text has no words and no hits; an item without words
 matches nothing; repeated rows return one row each; null and repeated ids are
@@ -32,7 +33,7 @@ from slotwise.llm.common import KEY, row_key, stage_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Rows of 24 bytes up to which the benchmark's side is broadcast (24 MB).
+#: Rows of 24 bytes up to which a join side is broadcast (24 MB).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -143,7 +144,8 @@ def find_hits(
     seen = stage_table(joined.groupBy("doc_id", *KEY, "n_words").agg(F.max("hit").alias("hit"), F.sum(first).alias("rows")), "seen")
 
     # Written once, so that hashing starts from a scan again; repeated rows are as one in the sets below.
-    suspects = stage_table(slim.drop("doc_id").join(seen.filter("hit").select(*KEY).distinct(), KEY, "left_semi"), "suspects")
+    keys = _sized(seen.filter("hit").select(*KEY).distinct())  # few, so that no text is shuffled
+    suspects = stage_table(slim.drop("doc_id").join(keys, KEY, "left_semi"), "suspects")
     places = windows(suspects.select(*KEY, words_of(F.col("text")).alias("words")), lengths, *KEY)
     found = places.join(_sized(targets), ["length", "a", "b"]).groupBy(*KEY).agg(
         F.collect_set(F.struct("at", "length")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")

@@ -78,3 +78,22 @@ def test_empty_tables(spark, data):
 def test_no_python_in_the_plan(spark, data, sf_dir):
     found = dc.find_hits(cases.table(spark, data[0]).coalesce(1), cases.table(spark, data[1], "item_id"))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", ""))
+
+
+def test_texts_of_suspects_are_read_without_a_shuffle(spark, data, monkeypatch):
+    plans = {}
+    stage = dc.stage_table
+
+    def staged(df, name):
+        if name == "suspects":
+            # As on large tables, where Spark does not broadcast by its own estimate.
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            try:
+                plans[name] = df.select("*")._jdf.queryExecution().executedPlan().toString()
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        return stage(df, name)
+
+    monkeypatch.setattr(dc, "stage_table", staged)
+    assert run(spark, *data) == Counter(expected(*data))
+    assert "BroadcastHashJoin" in plans["suspects"] and "SortMergeJoin" not in plans["suspects"]
