@@ -125,9 +125,9 @@ class Lattice:
                     ways.sort(reverse=True)
                 arriving.append(ways)
                 best.append(ways[0][0])
-            yield self._search(arriving, best, spelt)
+            yield self._search(arriving, best) if spelt else self._losses(arriving, best)
 
-    def _search(self, arriving: list[list[tuple]], best: list[float], spelt: bool) -> list[tuple[float, list[int]]]:
+    def _search(self, arriving: list[list[tuple]], best: list[float]) -> list[tuple[float, list[int]]]:
         out: list[tuple[float, list[int]]] = []
         heap: list = [(0.0, 0, len(best) - 1, 0, None)]
         tick = 0
@@ -136,8 +136,6 @@ class Lattice:
             loss, _, at, rank, path = heappop(heap)
             ids: list[int] = []
             out.append((best[-1] - loss, ids))
-            if not spelt and len(out) == self.nbest > 1:
-                break
             while at:
                 ways = arriving[at]
                 if rank + 1 < len(ways):
@@ -145,7 +143,7 @@ class Lattice:
                     heappush(heap, (loss + ways[rank][0] - ways[rank + 1][0], tick, at, rank + 1, path))
                 _, at, piece = ways[rank]
                 path, rank = (piece, path), 0
-            while path is not None and (spelt or len(out) == 1):
+            while path is not None:
                 if type(path[0]) is int:
                     ids.append(path[0])
                 else:
@@ -153,6 +151,45 @@ class Lattice:
                 path = path[1]
         return out
 
+    def _losses(self, arriving: list[list[tuple]], best: list[float]) -> list[tuple[float, list[int]]]:
+        """As ``_search``, in the same order, with the ids of the best one only.
+
+        The ways left are a list that is searched once for each of the few segmentations; of
+        equal losses the first one counts, as in the heap.
+        """
+        at, top, walked = len(best) - 1, best[-1], []
+        losses, places = [], []
+        while at:
+            ways = arriving[at]
+            first = ways[0]
+            if len(ways) > 1:
+                losses.append(first[0] - ways[1][0])
+                places.append((at, 1))
+            walked.append(first[2])
+            at = first[1]
+        ids: list[int] = []
+        for piece in reversed(walked):
+            if type(piece) is int:
+                ids.append(piece)
+            else:
+                ids += piece
+        out = [(top, ids)]
+        while losses and len(out) < self.nbest:
+            number = losses.index(min(losses))
+            loss, (at, rank) = losses.pop(number), places.pop(number)
+            out.append((top - loss, []))
+            if len(out) == self.nbest:
+                break
+            while at:
+                ways = arriving[at]
+                own = ways[rank]
+                rank += 1
+                if rank < len(ways):
+                    losses.append(loss + own[0] - ways[rank][0])
+                    places.append((at, rank))
+                at, rank = own[1], 0
+        return out
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.text.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
@@ -161,7 +198,10 @@ class Lattice:
         """Bytes of all ids end to end, and where each id's bytes begin."""
         size = self.size_of[ids]
         total = np.concatenate([[0], np.cumsum(size)])
-        return self.raw[np.arange(total[-1]) + np.repeat(self.at_of[ids] - total[:-1], size)].tobytes(), total
+        kind = np.int32 if total[-1] < 1 << 31 else np.int64
+        places = np.repeat((self.at_of[ids] - total[:-1]).astype(kind), size)
+        places += np.arange(total[-1], dtype=kind)
+        return self.raw[places].tobytes(), total
 
     def round_trips(self, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> list[bool]:
         """Whether each segmentation of a text decodes to it; segmentations are ranges of ``ids``, texts ranges of segmentations."""
@@ -190,13 +230,17 @@ class Encoder(dict):
     def _learn(self, units: list[str]) -> None:
         flat: list[int] = []
         ends, scores, losses, first = [], [], [], len(self.ids)
-        none = [(-np.inf, [])] * (self.nbest - 1)
+        none = [np.inf] * (self.nbest - 1)
         for found in self.lattice.units(units):
             best, ids = found[0]
             flat += ids
             ends.append(first + len(flat))
             scores.append(best)
-            losses += [best - s for s, _ in (found + none)[1 : self.nbest]]
+            if len(found) == self.nbest == 3:
+                losses.append(best - found[1][0])
+                losses.append(best - found[2][0])
+            else:
+                losses += ([best - s for s, _ in found[1:]] + none)[: self.nbest - 1]
         self.update(zip(units, range(len(self.scores), len(self.scores) + len(units)), strict=True))
         for kept, new, kind in ((self.ids, flat, np.int32), (self.ends, ends, np.int64), (self.scores, scores, np.float64), (self.losses, losses, np.float64)):
             kept.frombytes(np.array(new, kind).tobytes())

@@ -151,3 +151,13 @@ def test_forgetting_changes_nothing(library, model, monkeypatch):
     for text in cases.sentences(17, 30, 20):
         counter.trim()
         assert counter.count(text) == len(library.encode(text))
+
+
+def test_unspelt_search_gives_the_scores_of_the_spelt_one(model):
+    """The quick search of the encoder against the heap, also where losses tie and paths run out."""
+    lattice = pn.Lattice(model, 4)
+    rng = random.Random(5)
+    units = sorted({pn.SPACE * rng.randrange(1, 4) + "".join(rng.choice("aeinrst1日é") for _ in range(rng.randrange(0, 30))) for _ in range(400)})
+    quick, spelt = list(lattice.units(units)), list(lattice.units(units, True))
+    assert [[s for s, _ in own] for own in quick] == [[s for s, _ in own] for own in spelt]
+    assert [own[0][1] for own in quick] == [own[0][1] for own in spelt]
