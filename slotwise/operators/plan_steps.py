@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import plan_text as pt
-from slotwise.operators.joins import sized
+from slotwise.operators.staging import staged
 
 JOB_KEYS = ("project_id", "user_email", "job_id")
 STEP_KEYS = ("project_id", "user_email", "job_id", "stage_name", "kind")
@@ -218,10 +218,13 @@ def with_table_sizes(report: DataFrame, table_storage: DataFrame) -> DataFrame:
 # In-row form: the five join keys all come from one job row, so the
 # predicate -> column -> table matching can run inside the row over its
 # ``job_stages`` array (no explode of the whole plan, no join, no shuffle).
-# It equals the join form where a job id is on one row and its input stages have
-# names of their own.  The aggregated reports (P11, P12) bring the parsed stages of a
-# job's rows together first; for the listing (P14) ``split_regular`` tells those
-# rows from the others, which take the join form.
+# It equals the join form where a job's keys are on one row; input stages of one
+# name share their columns and tables inside the row.  The aggregated reports
+# bring the parsed stages of a job's rows together first; for the listing
+# ``split_regular`` tells rows with the keys of another from the rest, and they take the join form.
+
+#: Bits that the keys of repeated jobs are spread over, in blocks of 4 KB (16 MB in all).
+REPEAT_BITS = 1 << 27
 
 
 def with_keys(jobs: DataFrame) -> DataFrame:
@@ -229,18 +232,38 @@ def with_keys(jobs: DataFrame) -> DataFrame:
     return jobs.filter(" AND ".join(f"{c} IS NOT NULL" for c in JOB_KEYS))
 
 
+def _repeat_bit() -> Column:
+    return F.pmod(F.xxhash64(*JOB_KEYS), F.lit(REPEAT_BITS))
+
+
+def repeated_bits(jobs: DataFrame) -> DataFrame | None:
+    """Blocks of bits, set for the hashed keys that are on several rows (None if none are).
+
+    One grouped count over the keys' hashes decides; it is a job of its own and reads the keys only.
+    However many keys repeat, the blocks have at most ``REPEAT_BITS`` bits, so they can be broadcast.
+    """
+    again = jobs.select(F.xxhash64(*JOB_KEYS).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    bit = F.pmod("_hash", F.lit(REPEAT_BITS))
+    # The positions are shuffled, not partial blocks, of which every task would have nearly all.
+    positions = again.select(F.bitmap_bucket_number(bit).alias("_block"), F.bitmap_bit_position(bit).alias("_at")).repartition("_block")
+    blocks = staged(positions.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits")), "repeated-jobs")
+    return None if blocks.isEmpty() else blocks
+
+
 def split_regular(jobs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows fit for the in-row form, and the others (None if there are none).
 
-    One grouped count over job ids and stage names decides; it is a job of its own.
+    The bit of a row's keys decides, in place and without a shuffle.  Rows of one job go the same
+    way; a job that shares its bit with a repeated one is among the others, whose form suits any job.
     """
-    inputs = F.filter(F.transform("job_stages", lambda s: s["name"]), lambda n: n.endswith(pt.INPUT_STAGE_SUFFIX))
-    clash = F.size(F.array_distinct(inputs)) < F.size(inputs)
-    groups = jobs.filter("job_id IS NOT NULL").groupBy("job_id").agg(F.count(F.lit(1)).alias("times"), F.max(clash).alias("clash"))
-    others, rows = sized(groups.filter("times > 1 OR clash").select("job_id"))
-    if not rows:
+    blocks = repeated_bits(jobs)
+    if blocks is None:
         return jobs, None
-    return jobs.join(others, "job_id", "left_anti"), jobs.join(others, "job_id", "left_semi")
+    at = F.bitmap_bit_position(_repeat_bit())
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    again = (F.col("_block") == F.bitmap_bucket_number(_repeat_bit())) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    blocks = F.broadcast(blocks)
+    return jobs.join(blocks, again, "left_anti"), jobs.join(blocks, again, "left_semi")
 
 
 def _exploded(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
@@ -398,19 +421,26 @@ def table_predicates_in_row(
 
     Each input stage becomes a row and is parsed once; then every WHERE sub-step,
     every ``$k`` in it, every column of that key and every table are exploded in
-    turn, so no job's whole result is ever one array.
+    turn, so no job's whole result is ever one array.  Where input stages of a row share
+    a name, its plan goes along, and a stage takes the columns and tables of all of that name.
     """
     job_columns = list(job_columns)
-    stages = _exploded(jobs, job_columns, _input_stages(), "js")
+    inputs = jobs.select(*job_columns, _input_stages().alias("_inputs"))
+    names = F.transform("_inputs", lambda s: s["name"])
+    clash = F.size(F.array_distinct(names)) < F.size(names)
+    plan = F.transform("_inputs", lambda s: F.struct(s["name"].alias("name"), s["steps"].alias("steps")))
+    stages = _exploded(inputs.withColumn("_plan", F.when(clash, plan)), [*job_columns, "_plan"], F.col("_inputs"), "js")
     fields = [F.col(f"js.{c}").alias(c) for c in STAGE_COLUMNS[2:]]
-    named = stages.select(*job_columns, *fields, F.col("js.name").alias("stage_name"), _read_substeps(F.col("js")).alias("_subs"))
     scalars = [*job_columns, *STAGE_COLUMNS[2:], "stage_name"]
-    subs = F.col("_subs")
-    parsed = named.select(
+    named = stages.select(*job_columns, *fields, F.col("js.name").alias("stage_name"), "_plan", _read_substeps(F.col("js")).alias("_own"))
+    of_name = F.filter("_plan", lambda s: s["name"] == F.col("stage_name"))
+    subs = F.when(F.col("_plan").isNull(), F.col("_own")).otherwise(F.flatten(F.transform(of_name, _read_substeps)))
+    shared = named.select(*scalars, "_own", subs.alias("_subs"))
+    parsed = shared.select(
         *scalars,
-        F.filter(subs, lambda x: x.startswith(pt.WHERE_PREFIX)).alias("_wheres"),
-        _column_pairs(subs, strict, trim).alias("_cols"),
-        F.transform(_tables(subs), lambda t: F.struct(t.alias("table_name"))).alias("_tables"),
+        F.filter("_own", lambda x: x.startswith(pt.WHERE_PREFIX)).alias("_wheres"),
+        _column_pairs(F.col("_subs"), strict, trim).alias("_cols"),
+        F.transform(_tables(F.col("_subs")), lambda t: F.struct(t.alias("table_name"))).alias("_tables"),
     )
     wheres = _exploded(parsed, [*scalars, "_cols", "_tables"], F.col("_wheres"), "substep")
     keys = _exploded(wheres, [*scalars, "_cols", "_tables", "substep"], pt.predicate_keys(F.col("substep")), "_key")

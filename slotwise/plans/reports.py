@@ -493,9 +493,8 @@ def predicate_listing(
 ) -> DataFrame:
     """Every (predicate, column, table) occurrence, un-aggregated.
 
-    Job ids on several rows and jobs whose input stages share a name take the join
-    form; a count over job ids, run when the report is built, finds them.
-    ``unique_jobs=True`` skips it (see P11).
+    Jobs whose keys are on several rows take the join form; a count over the hashed
+    keys, run when the report is built, finds them. ``unique_jobs=True`` skips it (see P11).
     """
     j = _plan_jobs(jobs, s, open_ended=True)
 
